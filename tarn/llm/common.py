@@ -7,7 +7,6 @@ import math
 import tempfile
 import uuid
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -88,5 +87,9 @@ def join_hot(rows: DataFrame, groups: DataFrame, keys: list[str], count: str, to
     )
 
 
-def batch_of(schema: pa.Schema, **columns) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type, from_pandas=False) for f in schema], schema=schema)
+def input_bytes(df: DataFrame) -> int:
+    """The size of what a DataFrame reads, from file sizes where Spark knows them, else by summing its texts."""
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    if size < 1 << 50:
+        return size
+    return int(df.select(F.sum(F.octet_length(F.col("text").cast("string")))).first()[0] or 0)

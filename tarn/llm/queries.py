@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tarn.llm.exact_dedup import exact_report
 from tarn.llm.mixing import mix
 from tarn.llm.sharding import shard
+from tarn.llm.substring_dedup import remove_repeats
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,6 +24,10 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard(spark, documents(spark, sf_dir), shards=8)
 
 
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(spark, documents(spark, sf_dir))
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(spark, documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -30,6 +35,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_exact_dedup": op4_exact_dedup,
     "op6_sharding": op6_sharding,
+    "op8_substring_dedup": op8_substring_dedup,
     "op10_mixing": op10_mixing,
 }
 
