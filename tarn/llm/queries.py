@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tarn.llm.exact_dedup import exact_report
 from tarn.llm.mixing import mix
+from tarn.llm.near_dedup import near_groups
 from tarn.llm.sharding import shard
 from tarn.llm.substring_dedup import remove_repeats
 
@@ -16,6 +17,10 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_groups(spark, documents(spark, sf_dir), shingle=2).drop("tag", "class_id")
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_report(spark, documents(spark, sf_dir))
 
@@ -33,6 +38,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_near_dedup": op3_near_dedup,
     "op4_exact_dedup": op4_exact_dedup,
     "op6_sharding": op6_sharding,
     "op8_substring_dedup": op8_substring_dedup,
