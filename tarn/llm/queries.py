@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tarn.llm import language_id
 from tarn.llm.exact_dedup import exact_report
+from tarn.llm.fingerprints import fingerprints
 from tarn.llm.mixing import mix
 from tarn.llm.near_dedup import near_groups
 from tarn.llm.sharding import shard
@@ -17,6 +19,11 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return language_id.predict(docs, language_id.fit(spark, docs))
+
+
 def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_groups(spark, documents(spark, sf_dir), shingle=2).drop("tag", "class_id")
 
@@ -25,6 +32,10 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_report(spark, documents(spark, sf_dir))
 
 
+def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints(spark, documents(spark, sf_dir))
+
+
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard(spark, documents(spark, sf_dir), shards=8)
 
@@ -38,8 +49,10 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_language_id": op1_language_id,
     "op3_near_dedup": op3_near_dedup,
     "op4_exact_dedup": op4_exact_dedup,
+    "op5_fingerprints": op5_fingerprints,
     "op6_sharding": op6_sharding,
     "op8_substring_dedup": op8_substring_dedup,
     "op10_mixing": op10_mixing,
