@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tarn.llm import language_id
 from tarn.llm.exact_dedup import exact_report
 from tarn.llm.fingerprints import fingerprints
+from tarn.llm.license_scan import scan
 from tarn.llm.mixing import mix
 from tarn.llm.near_dedup import near_groups
 from tarn.llm.sharding import shard
@@ -40,6 +41,10 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard(spark, documents(spark, sf_dir), shards=8)
 
 
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan(documents(spark, sf_dir))
+
+
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(spark, documents(spark, sf_dir))
 
@@ -54,6 +59,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_exact_dedup": op4_exact_dedup,
     "op5_fingerprints": op5_fingerprints,
     "op6_sharding": op6_sharding,
+    "op7_license_scan": op7_license_scan,
     "op8_substring_dedup": op8_substring_dedup,
     "op10_mixing": op10_mixing,
 }
