@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tarn.llm import language_id
+from tarn.llm import language_id, quality
 from tarn.llm.exact_dedup import exact_report
 from tarn.llm.fingerprints import fingerprints
 from tarn.llm.license_scan import scan
@@ -49,6 +49,11 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(spark, documents(spark, sf_dir))
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return quality.judge(docs, quality.fit(spark, docs))
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(spark, documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -61,6 +66,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_sharding": op6_sharding,
     "op7_license_scan": op7_license_scan,
     "op8_substring_dedup": op8_substring_dedup,
+    "op9_quality": op9_quality,
     "op10_mixing": op10_mixing,
 }
 
