@@ -29,50 +29,56 @@ from tarn.llm.common import input_bytes, partitions
 
 COORDINATES = 128
 RANGE_BYTES = 16 << 20
-_TERMS_AT_ONCE = 4096
-_SEEDS = flat.keyed(3 * COORDINATES, 5).reshape(3, COORDINATES)
+#: Terms sampled at a time: few enough for the cache, and always so many, so that any machine rounds alike.
+_TERMS_AT_ONCE = 128
+_SEEDS = flat.keyed(COORDINATES, 5)
 
 
 def _samples(term: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For weighted terms (rows) and coordinates (columns): the sampling key, least wins, and 16 bits that name the sample."""
-    with np.errstate(over="ignore"):
-        a, b, c = (flat.mix64(term[:, None] ^ seed[None, :]) for seed in _SEEDS)
-    low, high, unit = np.uint64(0xFFFFFFFF), np.uint64(32), 2.0**-32
-    r = -np.log(((a & low) + 0.5) * unit * (((a >> high) + 0.5) * unit))
-    ln_c = np.log(-np.log(((b & low) + 0.5) * unit * (((b >> high) + 0.5) * unit)))
-    beta = ((c & low) + 0.5) * unit
-    step = np.floor(np.log(weight)[:, None] / r + beta)
-    key = ln_c - r * (step - beta) - r
-    name = flat.mix64(a + step.astype(np.int64).view(np.uint64)) >> np.uint64(48)
+    a = flat.mix64(term[:, None] ^ _SEEDS[None, :])
+    b = (a ^ (a >> np.uint64(31))) * np.uint64(0xD6E8FEB86659FD93)
+    b ^= b >> np.uint64(32)
+    unit, half, mask = np.float32(2.0**-24), np.float32(0.5), np.uint64(0xFFFFFF)
+
+    def uniform(bits: np.ndarray, shift: int) -> np.ndarray:
+        return (((bits >> np.uint64(shift)) & mask).astype(np.uint32).astype(np.float32) + half) * unit
+
+    r = -np.log(uniform(a, 40) * uniform(a, 16))
+    ln_c = np.log(-np.log(uniform(b, 40) * uniform(b, 16)))
+    beta = ((a & np.uint64(0xFFFF)).astype(np.uint32).astype(np.float32) + half) * np.float32(2.0**-16)
+    step = np.floor(np.log(weight.astype(np.float32))[:, None] / r + beta)
+    key = ln_c - r * (step - beta + np.float32(1))
+    name = ((b ^ (step.astype(np.int64).view(np.uint64) << np.uint64(40))) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(48)
     return key, name.astype(np.uint16)
 
 
-def sketches(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A row of 16-bit coordinates per document, and whether it has a word."""
+def bags(data: np.ndarray, at: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """The distinct words' hashes, ascending, and their counts, for each document."""
     w = flat.words(data, at)
-    n = len(at) - 1
-    out, some = np.zeros((n, COORDINATES), np.uint16), np.diff(w.first) > 0
-    terms, weights, edge = [], [], [0]
-    for d in range(n):
-        t, c = np.unique(w.hash[w.first[d] : w.first[d + 1]], return_counts=True)
-        terms.append(t)
-        weights.append(c)
-        edge.append(edge[-1] + len(t))
+    return [np.unique(w.hash[a:b], return_counts=True) for a, b in zip(w.first[:-1], w.first[1:], strict=True)]
+
+
+def sketches(bag: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """A row of 16-bit coordinates per bag, and whether it has a word."""
+    out, some = np.zeros((len(bag), COORDINATES), np.uint16), np.array([len(t) > 0 for t, _ in bag], bool)
+    edge = np.concatenate([[0], np.cumsum([len(t) for t, _ in bag], dtype=np.int64)])
     if not edge[-1]:
         return out, some
-    terms, weights = np.concatenate(terms), np.concatenate(weights)
-    every, place = np.unique(flat.mix64(terms + weights.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), return_index=True)
-    where = np.searchsorted(every, flat.mix64(terms + weights.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
-    key, name = np.empty((len(every), COORDINATES)), np.empty((len(every), COORDINATES), np.uint16)
-    for a in range(0, len(every), _TERMS_AT_ONCE):
+    terms, weights = np.concatenate([t for t, _ in bag]), np.concatenate([c for _, c in bag])
+    _, place, where = np.unique(flat.mix64(terms + weights.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), return_index=True, return_inverse=True)
+    size = -len(place) % _TERMS_AT_ONCE
+    place = np.concatenate([place, np.zeros(size, np.int64)])
+    key, name = np.empty((len(place), COORDINATES), np.float32), np.empty((len(place), COORDINATES), np.uint16)
+    for a in range(0, len(place), _TERMS_AT_ONCE):
         rows = place[a : a + _TERMS_AT_ONCE]
-        key[a : a + len(rows)], name[a : a + len(rows)] = _samples(terms[rows], weights[rows].astype(np.float64))
+        key[a : a + _TERMS_AT_ONCE], name[a : a + _TERMS_AT_ONCE] = _samples(terms[rows], weights[rows])
     columns = np.arange(COORDINATES)
     for d in np.flatnonzero(some):
         mine = where[edge[d] : edge[d + 1]]
         least, chosen = None, None
-        for a in range(0, len(mine), _TERMS_AT_ONCE):
-            part = mine[a : a + _TERMS_AT_ONCE]
+        for a in range(0, len(mine), 4096):
+            part = mine[a : a + 4096]
             keys = key[part]
             best = np.argmin(keys, axis=0)
             value, names = keys[best, columns], name[part[best], columns]
@@ -129,19 +135,21 @@ def fingerprints(spark: SparkSession, docs: DataFrame) -> DataFrame:
     rows = rows.repartition(max(partitions(spark), ranges), "part").sortWithinPartitions("part", "border", F.col("doc_id").asc_nulls_last(), "tag")
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: tuple | None = None  # the row that waits for its next: part, id, text, sketch, some
+        held: list | None = None  # the row that waits for its next: part, border, id, text, sketch, some
         for batch in batches:
             for piece, data, at in flat.slices(batch, limit=flat.SLICE_BYTES // 2):
-                sketch, some = sketches(data, at)
-                now = list(zip(piece.column(0).to_pylist(), piece.column(1).to_pylist(), piece.column(2).to_pylist(), piece.column(3).to_pylist(), sketch, some, strict=True))
+                now = [[*x, None, None] for x in zip(*(piece.column(k).to_pylist() for k in range(4)), strict=True)]
                 line = ([held] if held else []) + now
-                pairs = [(x, y) for x, y in zip(line, line[1:], strict=False) if x[0] == y[0] and not x[1]]
+                pairs = [(k, k + 1) for k in range(len(line) - 1) if line[k][0] == line[k + 1][0] and not line[k][1]]
+                edited = [line[k][3][: len(line[k][3]) - len(line[k][3]) // 2] + line[n][3][: len(line[k][3]) // 2] for k, n in pairs]
+                sketch, some = sketches(bags(data, at) + bags(*flat.buffers(pa.array(edited, pa.large_string()))))
+                for k, x in enumerate(now):
+                    x[4], x[5] = sketch[k], some[k]
+                other, other_some = sketch[len(now) :], some[len(now) :]
                 held = line[-1]
                 if not pairs:
                     continue
-                edited = [x[3][: len(x[3]) - len(x[3]) // 2] + y[3][: len(x[3]) // 2] for x, y in pairs]
-                raw, raw_at = flat.buffers(pa.array(edited, pa.large_string()))
-                other, other_some = sketches(raw, raw_at)
+                pairs = [(line[k], line[n]) for k, n in pairs]
                 own, own_some = np.stack([x[4] for x, _ in pairs]), np.array([x[5] for x, _ in pairs])
                 nxt, nxt_some = np.stack([y[4] for _, y in pairs]), np.array([y[5] for _, y in pairs])
                 yield pa.RecordBatch.from_arrays(
