@@ -229,7 +229,7 @@ def near_groups(spark: SparkSession, docs: DataFrame, shingle: int = 5, percent:
     for turn in range(PIVOT_ROUNDS):
         small = active.filter(f"held <= {ALL_PAIRS}").select("key", "cls")
         pairs = small.alias("x").join(small.alias("y"), "key").filter("x.cls < y.cls").select(F.col("x.cls").alias("p"), F.col("y.cls").alias("m"))
-        large = active.filter(f"held > {ALL_PAIRS}")
+        large = active.filter(f"held > {ALL_PAIRS}").select("key", "cls", "meets")
         pivots = large.groupBy("key").agg(F.max(F.struct("meets", "cls"))["cls"].alias("p"), F.count("*").alias("n"))
         pivoted = scratch.keep(join_hot(large, pivots, ["key"], "n", total), f"pivoted-{turn}")
         pairs = pairs.union(pivoted.filter("p != cls").select("p", F.col("cls").alias("m"))).distinct()
@@ -268,6 +268,7 @@ def near_groups(spark: SparkSession, docs: DataFrame, shingle: int = 5, percent:
         roots = components(scratch, links, f"cc-{turn}")
         d = (1 - F.col("both") / F.col("union")).alias("d")
         away = measured.select(F.col("a").alias("p"), F.col("b").alias("cls"), d).union(measured.select("b", "a", d))
+        away = away.groupBy("p", "cls").agg(F.min("d").alias("d"))
         state = (
             pivoted.join(away, ["p", "cls"], "left")
             .join(roots.select(F.col("node").alias("cls"), "root"), "cls", "left")
@@ -287,7 +288,6 @@ def near_groups(spark: SparkSession, docs: DataFrame, shingle: int = 5, percent:
         scratch.drop(f"pivoted-{turn}", f"state-{turn}", f"left-{turn}", f"active-{turn}")
         if active.isEmpty():
             break
-        active = active.select("cls", "key", "held", "meets", "root")
     else:
         # blocks of about BLOCK classes of a band; each pair of blocks is a group of its own
         blocked = active.withColumn("of", F.ceil(F.col("held") / BLOCK).cast("int")).withColumn("i", F.pmod(F.xxhash64("cls"), F.col("of")).cast("int"))
@@ -296,7 +296,7 @@ def near_groups(spark: SparkSession, docs: DataFrame, shingle: int = 5, percent:
             F.when(F.col("i") == F.col("other"), 1).when(F.col("i") < F.col("other"), 0).otherwise(2).alias("role"),
         )
         found = (
-            sides.join(candidates, "cls").repartition(parts, "key", "i", "j").sortWithinPartitions("key", "i", "j")
+            sides.join(candidates.hint("merge"), "cls").repartition(parts, "key", "i", "j").sortWithinPartitions("key", "i", "j")
             .mapInArrow(_blocks(shingle, percent), "a binary, b binary")
         )
         links = links.union(scratch.keep(found, "block-links"))
