@@ -12,6 +12,7 @@ from tarn.llm.fingerprints import fingerprints
 from tarn.llm.license_scan import scan
 from tarn.llm.mixing import mix
 from tarn.llm.near_dedup import near_groups
+from tarn.llm.packing import pack_documents
 from tarn.llm.sharding import shard
 from tarn.llm.substring_dedup import remove_repeats
 
@@ -25,6 +26,10 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.predict(docs, language_id.fit(spark, docs))
 
 
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(spark, documents(spark, sf_dir))
+
+
 def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_groups(spark, documents(spark, sf_dir), shingle=2).drop("tag", "class_id")
 
@@ -60,6 +65,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
+    "op2_packing": op2_packing,
     "op3_near_dedup": op3_near_dedup,
     "op4_exact_dedup": op4_exact_dedup,
     "op5_fingerprints": op5_fingerprints,
