@@ -1,7 +1,8 @@
 """Connected components of an edge table, by least labels and pointer jumping.
 
-Labels and edges stay distributed; each step is cut by a written table.  Nodes with many edges and labels
-with many nodes are joined apart (see join_hot), so a star around one node is no hot task.
+Labels and edges stay distributed; each step is cut by a written table.  Both sides of a join are such
+tables and nothing but a sort stands between them and the join, so Spark can split the partition of a node
+with very many edges (adaptive skew joins).
 """
 
 from __future__ import annotations
@@ -9,33 +10,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarn.llm.common import Scratch, join_hot
+from tarn.llm.common import Scratch
 
 
 def components(scratch: Scratch, edges: DataFrame, name: str = "cc") -> DataFrame:
     """(node, root) for all nodes of edges(a, b); root is the least node of the component."""
     both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
     both = scratch.keep(both, f"{name}-edges")
-    n = both.count()
-    labels = scratch.keep(
-        both.groupBy("a").agg(F.min("b").alias("least"), F.count("*").alias("degree")).select(
-            F.col("a").alias("node"), F.least("a", "least").alias("root"), "degree"
-        ),
-        f"{name}-0",
-    )
+    first = both.groupBy("a").agg(F.min("b").alias("least")).select(F.col("a").alias("node"), F.least("a", "least").alias("root"))
+    labels = scratch.keep(first, f"{name}-0")
     step = 0
     while True:
         step += 1
-        known = labels.select(F.col("node").alias("a"), "root", "degree")
-        offered = join_hot(both, known, ["a"], "degree", n).groupBy(F.col("b").alias("node")).agg(F.min("root").alias("offer"))
-        lower = labels.join(offered, "node").select("node", F.col("root").alias("was"), F.least("root", "offer").alias("root"), "degree")
+        offered = both.join(labels.withColumnRenamed("node", "a"), "a").groupBy(F.col("b").alias("node")).agg(F.min("root").alias("offer"))
+        lower = labels.join(offered, "node").select("node", F.col("root").alias("was"), F.least("root", "offer").alias("root"))
         lower = scratch.keep(lower, f"{name}-{step}-low")
-        held = lower.groupBy("root").agg(F.count("*").alias("held"))
-        jump = lower.select(F.col("node").alias("root"), F.col("root").alias("next")).join(held, "root")
-        jumped = join_hot(lower, jump, ["root"], "held", n).select("node", "was", F.col("next").alias("root"), "degree")
-        jumped = scratch.keep(jumped, f"{name}-{step}")
+        jump = lower.select(F.col("node").alias("root"), F.col("root").alias("next"))
+        jumped = scratch.keep(lower.join(jump, "root").select("node", "was", F.col("next").alias("root")), f"{name}-{step}")
         changed = not jumped.filter("root != was").isEmpty()
         scratch.drop(f"{name}-{step}-low", f"{name}-{step - 1}")
         labels = jumped.drop("was")
         if not changed:
-            return labels.select("node", "root")
+            return labels

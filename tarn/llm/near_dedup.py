@@ -9,12 +9,12 @@ with the Jaccard similarity of the sets, concentrated as in Chernoff's bounds.
 Rows with one and the same set form a class; only classes go on.  32 bands of 4 coordinates are matched: a
 pair at similarity 0.8 shares none with probability 5e-8.  Bands with up to 12 classes compare all pairs.
 A larger band compares all its classes with one pivot, the class that meets the most others over all bands,
-so that a group of copies around an original is settled in one linear round.  What the pivot can't settle
-is left for the next round: Jaccard distance obeys the triangle inequality, so a class linked to the pivot
-at distance d can only link to one whose distance from the pivot is at most d + 0.2.  After three rounds, what
-is left in large bands is compared block by block inside tasks, which return links only.  Pairs are verified
-on full sets.  Pairs whose sketches agree in fewer than 66 of 128 coordinates are not fetched; at similarity
-0.8 that has a probability below 1e-14.
+so that a group of copies around an original is settled in one linear step.  What a pivot leaves open is
+settled by blocks: the classes that share a large band with the pivot but are not connected to it are compared
+with all of the pivot's classes that they could link to, 64 by 64 inside tasks that return links only.  Jaccard
+distance obeys the triangle inequality, so classes nearer to the pivot than the least distance of those less 0.2
+are spared.  Pairs are verified on full sets.  Pairs whose sketches agree in fewer than 66 of 128 coordinates
+are not fetched; at similarity 0.8 that has a probability below 1e-14.
 
 Defined results: text that is null, empty or blank has the empty set and is linked with nothing; fewer words
 than a shingle make one shingle; equal sets are linked at any size; a null doc_id is never the smallest,
@@ -29,11 +29,11 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarn.llm import flat
-from tarn.llm.common import Scratch, join_hot, partitions
+from tarn.llm.common import Scratch, partitions
 from tarn.llm.components import components
 
 COORDINATES = 128
@@ -41,7 +41,6 @@ BAND_ROWS = 4
 #: Coordinates that must agree before a pair's texts are fetched.
 LEAST_AGREEING = 66
 ALL_PAIRS = 12
-PIVOT_ROUNDS = 3
 BLOCK = 64
 
 
@@ -151,40 +150,39 @@ def _verify(size: int):
 
 
 def _blocks(size: int, percent: int):
-    """Over rows (key, i, j, cls, root, text, role) sorted by key, i, j: links between the classes of two blocks."""
-
-    def links(rows: list) -> Iterator[tuple[bytes, bytes]]:
-        left = [r for r in rows if r[3] <= 1]
-        right = [r for r in rows if r[3] >= 1]  # role 1: one block with itself
-        for x in left:
-            for y in right:
-                if x[1] != y[1] and (x[3] == 0 or x[0] < y[0]) and 100 * min(len(x[2]), len(y[2])) >= percent * max(len(x[2]), len(y[2])):
-                    k = _overlap(x[2], y[2])
-                    if 100 * k >= percent * (len(x[2]) + len(y[2]) - k):
-                        yield x[0], y[0]
+    """Over rows (p, i, j, side, cls, root, sk, text) sorted by p, i, j: links between the open classes (side 0) and all (side 1) of two blocks."""
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, rows = None, []
+        now, sides = None, ([], [])
 
         def emit() -> pa.RecordBatch:
-            found = list(links(rows))
-            return pa.RecordBatch.from_arrays(
-                [pa.array([x[0] for x in found], pa.binary()), pa.array([x[1] for x in found], pa.binary())], names=["a", "b"]
-            )
+            a, b = [], []
+            left, right = sides
+            if left and right:
+                x, y = (np.frombuffer(b"".join(r[2] for r in rows), np.uint8).reshape(-1, COORDINATES) for rows in sides)
+                nx, ny = (np.array([len(r[3]) for r in rows]) for rows in sides)
+                roots = {r: k for k, r in enumerate({r[1] for rows in sides for r in rows})}
+                rx, ry = (np.array([roots[r[1]] for r in rows]) for rows in sides)
+                near = (x[:, None, :] == y[None, :, :]).sum(axis=2) >= LEAST_AGREEING
+                near &= rx[:, None] != ry[None, :]
+                near &= 100 * np.minimum(nx[:, None], ny[None, :]) >= percent * np.maximum(nx[:, None], ny[None, :])
+                for i, j in zip(*np.nonzero(near), strict=True):
+                    k = _overlap(left[i][3], right[j][3])
+                    if 100 * k >= percent * (len(left[i][3]) + len(right[j][3]) - k):
+                        a.append(left[i][0]), b.append(right[j][0])
+            return pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
 
         for batch in batches:
             for part, data, at in flat.slices(batch):
                 sets = shingle_sets(data, at, size)
                 cols = {f.name: part.column(k).to_pylist() for k, f in enumerate(part.schema) if f.name != "text"}
                 for k, s in enumerate(sets):
-                    group = (cols["key"][k], cols["i"][k], cols["j"][k])
+                    group = (cols["p"][k], cols["i"][k], cols["j"][k])
                     if group != now:
-                        if rows:
-                            yield emit()
-                        now, rows = group, []
-                    rows.append((cols["cls"][k], cols["root"][k], s, cols["role"][k]))
-        if rows:
-            yield emit()
+                        yield emit()
+                        now, sides = group, ([], [])
+                    sides[cols["side"][k]].append((cols["cls"][k], cols["root"][k], cols["sk"][k], s))
+        yield emit()
 
     return work
 
@@ -194,120 +192,93 @@ def near_groups(spark: SparkSession, docs: DataFrame, shingle: int = 5, percent:
     scratch, parts = Scratch(spark, "near"), partitions(spark)
     far = 1 - percent / 100
     sig = scratch.keep(signatures(docs, shingle), "sig")
-    total = sig.count()
     classes = sig.filter("cls is not null").groupBy("cls").agg(
-        F.min("doc_id").alias("least_id"), F.min(F.struct("doc_id", "tag")).alias("rep"), F.count("*").alias("copies"),
-        F.first("bands").alias("bands"), F.first("sk").alias("sk"),
+        F.min("doc_id").alias("least_id"), F.min(F.struct("doc_id", "tag")).alias("rep"), F.first("bands").alias("bands"), F.first("sk").alias("sk")
     )
     classes = scratch.keep(classes, "classes")
     slots = classes.select("cls", F.explode("bands").alias("key"))
-    shared = slots.groupBy("key").agg(F.count("*").alias("held")).filter("held > 1")
-    members = scratch.keep(join_hot(slots, shared, ["key"], "held", total), "members")
+    shared = scratch.keep(slots.groupBy("key").agg(F.count("*").alias("held")).filter("held > 1"), "shared")
+    members = scratch.keep(slots.join(shared, "key"), "members")
     rank = members.groupBy("cls").agg(F.sum("held").alias("meets"))
-    active = scratch.keep(members.join(rank, "cls"), "active-0")
-    scratch.drop("members")
 
-    sketches = classes.select("cls", "sk")
+    # pairs: all of a small band, and each class of a large one with its pivot
+    large = scratch.keep(members.filter(f"held > {ALL_PAIRS}").join(rank, "cls"), "large")
+    pivots = scratch.keep(large.groupBy("key").agg(F.max(F.struct("meets", "cls"))["cls"].alias("p")), "pivots")
+    family = scratch.keep(large.join(pivots, "key").select("p", "cls").distinct(), "family")
+    small = members.filter(f"held <= {ALL_PAIRS}").select("key", "cls")
+    pairs = small.alias("x").join(small.alias("y"), "key").filter("x.cls < y.cls").select(F.col("x.cls").alias("p"), F.col("y.cls").alias("m"))
+    pairs = scratch.keep(pairs.union(family.filter("p != cls").select("p", F.col("cls").alias("m"))).distinct(), "pairs")
+    scratch.drop("members", "large", "pivots")
 
-    def agreeing(pairs: DataFrame) -> DataFrame:
-        """Pairs (p, m, uses) whose sketches agree often enough; uses: how many pairs p has."""
-        left = join_hot(pairs, sketches.withColumnRenamed("cls", "p").withColumnRenamed("sk", "ps").join(pairs.select("p", "uses").distinct(), "p"), ["p", "uses"], "uses", total)
-        joined = left.join(sketches.withColumnRenamed("cls", "m").withColumnRenamed("sk", "ms"), "m")
-
-        def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                x, y = (np.frombuffer(b"".join(b.column(b.schema.get_field_index(c)).to_pylist()), np.uint8).reshape(-1, COORDINATES) for c in ("ps", "ms"))
-                ok = (x == y).sum(axis=1) >= LEAST_AGREEING
-                yield b.select(["p", "m", "uses"]).filter(pa.array(ok))
-
-        return joined.select("p", "m", "uses", "ps", "ms").mapInArrow(work, "p binary, m binary, uses long")
-
-    candidates = measured = None
-    links: DataFrame | None = None
-    roots: DataFrame | None = None
-    seen: DataFrame | None = None
-    for turn in range(PIVOT_ROUNDS):
-        small = active.filter(f"held <= {ALL_PAIRS}").select("key", "cls")
-        pairs = small.alias("x").join(small.alias("y"), "key").filter("x.cls < y.cls").select(F.col("x.cls").alias("p"), F.col("y.cls").alias("m"))
-        large = active.filter(f"held > {ALL_PAIRS}").select("key", "cls", "meets")
-        pivots = large.groupBy("key").agg(F.max(F.struct("meets", "cls"))["cls"].alias("p"), F.count("*").alias("n"))
-        pivoted = scratch.keep(join_hot(large, pivots, ["key"], "n", total), f"pivoted-{turn}")
-        pairs = pairs.union(pivoted.filter("p != cls").select("p", F.col("cls").alias("m"))).distinct()
-        if seen is not None:
-            pairs = pairs.join(seen, ["p", "m"], "left_anti")
-        pairs = scratch.keep(pairs, f"pairs-{turn}")
-        uses = pairs.groupBy("p").agg(F.count("*").alias("uses"))
-        chosen = scratch.keep(agreeing(join_hot(pairs, uses, ["p"], "uses", total)), f"chosen-{turn}")
-        seen = pairs if seen is None else seen.union(pairs)
-        if candidates is None:
-            # texts of all classes that any pair of this or a later turn can name
-            named = active.select("cls").distinct() if not large.isEmpty() else chosen.select(F.explode(F.array("p", "m")).alias("cls")).distinct()
-            reps = classes.join(named, "cls").select("cls", "rep.doc_id", "rep.tag")
-            rows = _rows(docs)
-            on = rows["doc_id"].eqNullSafe(reps["doc_id"]) & (rows["tag"] == reps["tag"])
-            texts = scratch.keep(rows.join(reps, on).select("cls", "text"), "texts")
-            if not texts.groupBy("cls").count().filter("count > 1").isEmpty():
-                texts = scratch.keep(texts.dropDuplicates(["cls"]), "texts-once")
-            candidates = texts
-        # a pivot's text goes to one group per BLOCK partners, a partner's once
-        dealt = chosen.withColumn("part", F.pmod(F.xxhash64("m"), F.ceil(F.col("uses") / BLOCK)))
-        wanted = dealt.select("p", "part", F.lit(0).alias("role"), F.col("p").alias("cls")).distinct().union(
-            dealt.select("p", "part", F.lit(1), F.col("m"))
-        )
-        compared = (
-            wanted.join(candidates, "cls").select("role", "cls", "text", "p", "part")
-            .repartition(parts, "p", "part").sortWithinPartitions("p", "part", "role")
-            .mapInArrow(_verify(shingle), "a binary, b binary, both long, union long")
-        )
-        compared = scratch.keep(compared, f"compared-{turn}")
-        measured = compared if measured is None else measured.union(compared)
-        found = compared.filter(f"100 * both >= {percent} * union").select("a", "b")
-        links = found if links is None else links.union(found)
-        if pivoted.isEmpty():
-            break
-        roots = components(scratch, links, f"cc-{turn}")
-        d = (1 - F.col("both") / F.col("union")).alias("d")
-        away = measured.select(F.col("a").alias("p"), F.col("b").alias("cls"), d).union(measured.select("b", "a", d))
-        away = away.groupBy("p", "cls").agg(F.min("d").alias("d"))
-        state = (
-            pivoted.join(away, ["p", "cls"], "left")
-            .join(roots.select(F.col("node").alias("cls"), "root"), "cls", "left")
-            .withColumn("root", F.coalesce("root", "cls"))
-            .withColumn("d", F.when(F.col("cls") == F.col("p"), 0.0).otherwise(F.coalesce("d", F.lit(1 - LEAST_AGREEING / COORDINATES))))
-        )
-        state = scratch.keep(state, f"state-{turn}")
-        base = state.filter("cls = p").select("key", F.col("root").alias("base"), "n")
-        tied = join_hot(state.drop("n"), base, ["key"], "n", total)
-        nearest = tied.filter("root != base").groupBy("key").agg(F.min("d").alias("nearest"), F.count("*").alias("apart"))
-        left = join_hot(tied.drop("n"), nearest.join(base.select("key", "n"), "key"), ["key"], "n", total).filter(
-            (F.col("cls") != F.col("p")) & ((F.col("root") != F.col("base")) | (F.col("d") >= F.col("nearest") - far - 1e-9))
-        )
-        left = scratch.keep(left.select("key", "cls", "meets", "root"), f"left-{turn}")
-        held = left.groupBy("key").agg(F.count("*").alias("held"), F.min("root").alias("lo"), F.max("root").alias("hi")).filter("held > 1 and lo != hi")
-        active = scratch.keep(join_hot(left, held, ["key"], "held", total).select("key", "cls", "held", "meets", "root"), f"active-{turn + 1}")
-        scratch.drop(f"pivoted-{turn}", f"state-{turn}", f"left-{turn}", f"active-{turn}")
-        if active.isEmpty():
-            break
-    else:
-        # blocks of about BLOCK classes of a band; each pair of blocks is a group of its own
-        blocked = active.withColumn("of", F.ceil(F.col("held") / BLOCK).cast("int")).withColumn("i", F.pmod(F.xxhash64("cls"), F.col("of")).cast("int"))
-        sides = blocked.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("of") - 1))).select(
-            "key", F.least("i", "other").alias("i"), F.greatest("i", "other").alias("j"), "cls", "root",
-            F.when(F.col("i") == F.col("other"), 1).when(F.col("i") < F.col("other"), 0).otherwise(2).alias("role"),
+    def agreeing(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x, y = (np.frombuffer(b"".join(b.column(b.schema.get_field_index(c)).to_pylist()), np.uint8).reshape(-1, COORDINATES) for c in ("ps", "ms"))
+            yield b.select(["p", "m"]).filter(pa.array((x == y).sum(axis=1) >= LEAST_AGREEING))
+
+    sketches = classes.select("cls", "sk")
+    both = pairs.join(sketches.select(F.col("cls").alias("m"), F.col("sk").alias("ms")), "m").join(sketches.select(F.col("cls").alias("p"), F.col("sk").alias("ps")), "p")
+    chosen = scratch.keep(both.select("p", "m", "ps", "ms").mapInArrow(agreeing, "p binary, m binary"), "chosen")
+
+    # texts of one row of each class that is compared
+    named = chosen.select(F.explode(F.array("p", "m")).alias("cls")).union(family.select("cls")).distinct()
+    reps, rows = classes.join(named, "cls").select("cls", "rep.doc_id", "rep.tag"), _rows(docs)
+    texts = scratch.keep(rows.join(reps, rows["doc_id"].eqNullSafe(reps["doc_id"]) & (rows["tag"] == reps["tag"])).select("cls", "text"), "texts")
+    if texts.count() > texts.select("cls").distinct().count():
+        texts = scratch.keep(texts.dropDuplicates(["cls"]), "texts-once")
+
+    # a pivot's text goes to one group per BLOCK partners, a partner's once
+    uses = scratch.keep(chosen.groupBy("p").agg(F.count("*").alias("uses")), "uses")
+    dealt = chosen.join(uses, "p").withColumn("part", F.pmod(F.xxhash64("m"), F.ceil(F.col("uses") / BLOCK)))
+    wanted = dealt.select("p", "part", F.lit(0).alias("role"), F.col("p").alias("cls")).distinct().union(dealt.select("p", "part", F.lit(1), F.col("m")))
+    compared = (
+        wanted.join(texts, "cls").select("role", "cls", "text", "p", "part")
+        .repartition(parts, "p", "part").sortWithinPartitions("p", "part", "role").mapInArrow(_verify(shingle), "a binary, b binary, both long, union long")
+    )
+    compared = scratch.keep(compared, "compared")
+    links = compared.filter(f"100 * both >= {percent} * union").select("a", "b")
+    roots = components(scratch, links, "cc-pivots")
+
+    # what pivots leave open
+    d = (1 - F.col("both") / F.col("union")).alias("d")
+    away = compared.select(F.col("a").alias("p"), F.col("b").alias("cls"), d)
+    unknown = F.lit(1 - LEAST_AGREEING / COORDINATES)
+    state = (
+        family.join(away, ["p", "cls"], "left").withColumn("d", F.when(F.col("p") == F.col("cls"), 0.0).otherwise(F.coalesce("d", unknown)))
+        .join(roots.select(F.col("node").alias("cls"), "root"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+    )
+    state = scratch.keep(state, "state")
+    base = scratch.keep(state.filter("p = cls").select("p", F.col("root").alias("base")), "base")
+    nearest = state.join(base, "p").filter("root != base").groupBy("p").agg(F.min("d").alias("nearest"), F.count("*").alias("open"))
+    nearest = scratch.keep(nearest.join(base, "p"), "nearest")
+    if not nearest.isEmpty():
+        left = state.join(nearest, "p").withColumn("side", (F.col("root") == F.col("base")).cast("int")).filter(
+            (F.col("p") != F.col("cls")) & ((F.col("side") == 0) | (F.col("d") >= F.col("nearest") - far - 1e-9))
         )
-        found = (
-            sides.join(candidates.hint("merge"), "cls").repartition(parts, "key", "i", "j").sortWithinPartitions("key", "i", "j")
-            .mapInArrow(_blocks(shingle, percent), "a binary, b binary")
+        left = scratch.keep(left.select("p", "cls", "root", "open", "side"), "open")
+        many = scratch.keep(left.groupBy("p").agg(F.count("*").alias("every")), "many")
+        left = left.join(many, "p").join(sketches, "cls").join(texts.hint("merge"), "cls")
+        own, all_ = F.ceil(F.col("open") / BLOCK).cast("int"), F.ceil(F.col("every") / BLOCK).cast("int")
+        i, j = F.pmod(F.xxhash64("cls"), own).cast("int"), F.pmod(F.xxhash64("cls"), all_).cast("int")
+        columns = ["cls", "root", "sk", "text"]
+        # an open class stands in its own block on side 0, facing every block of side 1, and on side 1 as all others do
+        sides = left.filter("side = 0").select("p", i.alias("i"), F.explode(F.sequence(F.lit(0), all_ - 1)).alias("j"), F.lit(0).alias("side"), *columns).union(
+            left.select("p", F.explode(F.sequence(F.lit(0), own - 1)).alias("i"), j.alias("j"), F.lit(1), *columns)
         )
-        links = links.union(scratch.keep(found, "block-links"))
-        roots = None
-    if roots is None:
-        roots = components(scratch, links, "cc")
-    final = classes.select("cls", "least_id", "copies").join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+        found = sides.repartition(parts, "p", "i", "j").sortWithinPartitions("p", "i", "j").mapInArrow(_blocks(shingle, percent), "a binary, b binary")
+        found = scratch.keep(found.distinct(), "block-links")
+        if not found.isEmpty():
+            # components of components: only roots are joined anew
+            joined = found.join(roots.select(F.col("node").alias("a"), F.col("root").alias("ra")), "a", "left").join(roots.select(F.col("node").alias("b"), F.col("root").alias("rb")), "b", "left")
+            merged = components(scratch, joined.select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b")), "cc-blocks")
+            merged = merged.select(F.col("node").alias("root"), F.col("root").alias("top"))
+            known = roots.join(merged, "root", "left").select("node", F.coalesce("top", "root").alias("root"))
+            alone = merged.join(roots.select(F.col("node").alias("root")), "root", "left_anti").select(F.col("root").alias("node"), F.col("top").alias("root"))
+            roots = scratch.keep(known.union(alone), "roots")
+    final = classes.select("cls", "least_id").join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     final = scratch.keep(final, "final")
-    least = final.groupBy("root").agg(F.min("least_id").alias("component_id"), F.count("*").alias("n"))
-    resolved = scratch.keep(join_hot(final, least, ["root"], "n", total).select("cls", "copies", "component_id"), "resolved")
-    out = join_hot(sig.filter("cls is not null").select("doc_id", "tag", "n", "cls"), resolved, ["cls"], "copies", total).select("doc_id", "tag", "n", "cls", "component_id")
+    least = scratch.keep(final.groupBy("root").agg(F.min("least_id").alias("component_id")), "least")
+    resolved = scratch.keep(final.join(least, "root").select("cls", "component_id"), "resolved")
+    out = sig.filter("cls is not null").select("doc_id", "tag", "n", "cls").join(resolved, "cls").select("doc_id", "tag", "n", "cls", "component_id")
     none = sig.filter("cls is null").select("doc_id", "tag", "n", "cls", F.col("doc_id").alias("component_id"))
     return out.unionByName(none).select(
         "doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), "tag", F.col("cls").alias("class_id")

@@ -58,11 +58,10 @@ def corpus(seed):
     return [*out, (None, rows[0]), (None, "quite alone in this"), (3, rows[3]), (5, "another text under a repeated id")]
 
 
-@pytest.mark.parametrize("all_pairs,block,rounds", [(12, 64, 3), (2, 8, 1)])
-def test_groups_match_brute_force(spark, monkeypatch, all_pairs, block, rounds):
+@pytest.mark.parametrize("all_pairs,block", [(12, 64), (2, 8)])
+def test_groups_match_brute_force(spark, monkeypatch, all_pairs, block):
     monkeypatch.setattr(near_dedup, "ALL_PAIRS", all_pairs)
     monkeypatch.setattr(near_dedup, "BLOCK", block)
-    monkeypatch.setattr(near_dedup, "PIVOT_ROUNDS", rounds)
     rows = corpus(all_pairs)
     got = near_dedup.near_groups(spark, spark.createDataFrame(rows, SCHEMA).repartition(3), shingle=2).collect()
     key = lambda x: tuple((v is None, v) for v in x)
