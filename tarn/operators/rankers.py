@@ -112,7 +112,7 @@ def features(bm: DataFrame, vs: DataFrame, sem: DataFrame) -> DataFrame:
         .unionByName(vs.select("query_id", "doc_id", zero.alias("f0"), over_best("score").alias("f1"), zero.alias("f2"), zero.alias("f3"), zero.alias("f4")))
         .unionByName(sem.select("query_id", "doc_id", zero.alias("f0"), zero.alias("f1"), F.col("score").alias("f2"), zero.alias("f3"), (1.0 / F.col("rank")).alias("f4")))
     )
-    return rows.groupBy("query_id", "doc_id").agg(*(F.round(F.max(f), PLACES).alias(f) for f in ("f0", "f1", "f2", "f3", "f4")))
+    return rows.groupBy("query_id", "doc_id").agg(*(F.max(f).alias(f) for f in ("f0", "f1", "f2", "f3", "f4")))
 
 
 def linear(feats: DataFrame, weights: list[float], k: int | None = 10) -> DataFrame:

@@ -69,7 +69,7 @@ class Setting:
         return table(self.spark, self.sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("v"))
 
 
-PHRASES = [(0, ["thble", "anea"]), (1, ["erin", "thon"]), (2, ["thes", "thor", "thth"])]
+PHRASES = [(0, ["anea", "eriner"]), (1, ["eriner", "thanea"]), (2, ["anea", "eriner", "thanea"]), (3, ["thble", "thes"])]
 NEAR = [(0, ["thble", "anea"], 6), (1, ["erin", "thon", "thes"], 25), (2, ["pain", "pain"], 0)]
 _STOP = ", ".join(f"'{w}'" for w in STOPWORDS)
 
@@ -145,11 +145,11 @@ rocc AS (SELECT query_id, stem, weight, place FROM (SELECT *, row_number() OVER
     SELECT query_id, stem, round(sum(tf * ln((n_docs - df + 0.5) / (df + 0.5) + 1) / 3), 6) AS weight FROM bm JOIN smat USING (doc_id) JOIN sfirst USING (stem) CROSS JOIN stats
     WHERE rank <= 3 GROUP BY query_id, stem) WHERE (query_id, stem) NOT IN (SELECT query_id, stem FROM qs)) WHERE place <= 5),
 sp AS (SELECT DISTINCT stem, doc_id, pos FROM tok),
-feats AS (SELECT query_id, doc_id, round(max(f0), 6) AS f0, round(max(f1), 6) AS f1, round(max(f2), 6) AS f2, round(max(f3), 6) AS f3, round(max(f4), 6) AS f4 FROM (
+feats AS (SELECT query_id, doc_id, max(f0) AS f0, max(f1) AS f1, max(f2) AS f2, max(f3) AS f3, max(f4) AS f4 FROM (
     SELECT query_id, doc_id, score / max(score) OVER (PARTITION BY query_id) AS f0, 0.0 AS f1, 0.0 AS f2, 1.0 / rank AS f3, 0.0 AS f4 FROM bm WHERE rank <= 50
     UNION ALL SELECT query_id, doc_id, 0, score / max(score) OVER (PARTITION BY query_id), 0, 0, 0 FROM vs WHERE rank <= 50
     UNION ALL SELECT query_id, doc_id, 0, 0, score, 0, 1.0 / rank FROM sem WHERE rank <= 50) GROUP BY ALL),
-ltr AS (SELECT query_id, doc_id, round(0.4 * f0 + 0.2 * f1 + 0.2 * f2 + 0.1 * f3 + 0.1 * f4, 6) AS score FROM feats),
+ltr AS (SELECT query_id, doc_id, round(0.4113 * f0 + 0.2071 * f1 + 0.1937 * f2 + 0.0983 * f3 + 0.0896 * f4, 6) AS score FROM feats),
 emb AS (SELECT vec_id AS doc_id, embedding AS v, sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))) AS n FROM embeddings)
 """
 
@@ -273,12 +273,12 @@ def _features(s):
     return rankers.features(rankers.bm25(s.index, terms, 50), rankers.vsm(s.index, terms, 50), rankers.tfidf_cosine(s.index, terms, 50))
 
 
-@query("ltr_features", "SELECT * FROM feats")
+@query("ltr_features", "SELECT query_id, doc_id, round(f0, 6) AS f0, round(f1, 6) AS f1, round(f2, 6) AS f2, round(f3, 6) AS f3, round(f4, 6) AS f4 FROM feats")
 def _(s):
-    return _features(s)
+    return _features(s).select("query_id", "doc_id", *(F.round(f, 6).alias(f) for f in ltr.FEATURES))
 
 
-WEIGHTS = [0.4, 0.2, 0.2, 0.1, 0.1]
+WEIGHTS = [0.4113, 0.2071, 0.1937, 0.0983, 0.0896]
 
 
 @query("ltr_score_fixed", "SELECT query_id, doc_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id)::INT AS rank FROM ltr) WHERE rank <= 10")
@@ -305,7 +305,7 @@ def _(s):
 
 # ---- positions and the boolean language -------------------------------------------------------------------
 
-_PHRASE = """, ph(query_id, k, stem, n) AS (VALUES (0, 0, 'thble', 2), (0, 1, 'anea', 2), (1, 0, 'erin', 2), (1, 1, 'thon', 2), (2, 0, 'thes', 3), (2, 1, 'thor', 3), (2, 2, 'thth', 3)),
+_PHRASE = """, ph(query_id, k, stem, n) AS (VALUES (0, 0, 'anea', 2), (0, 1, 'eriner', 2), (1, 0, 'eriner', 2), (1, 1, 'thanea', 2), (2, 0, 'anea', 3), (2, 1, 'eriner', 3), (2, 2, 'thanea', 3), (3, 0, 'thble', 2), (3, 1, 'thes', 2)),
 pm AS (SELECT query_id, doc_id, count(*)::DOUBLE AS score FROM (SELECT query_id, doc_id, pos - k AS start FROM sp JOIN ph USING (stem) GROUP BY ALL HAVING count(DISTINCT k) = max(n)) GROUP BY ALL)
 """
 
@@ -315,9 +315,9 @@ def _(s):
     return phrase_matches(s.index, s.phrases())
 
 
-@query("phrase_filter_fallback", """, hits AS (SELECT DISTINCT a.doc_id FROM sp a JOIN sp b ON a.doc_id = b.doc_id AND a.stem = 'thble' AND b.stem = 'anea' AND b.pos = a.pos + 1),
-    fl AS (SELECT *, doc_id IN (SELECT doc_id FROM hits) AS hit FROM bm WHERE rank <= 50), fa AS (SELECT *, bool_or(hit) OVER (PARTITION BY query_id) AS some FROM fl)
-    SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id)::INT AS rank FROM fa WHERE hit OR NOT some""")
+@query("phrase_filter_fallback", """, hits AS (SELECT DISTINCT a.doc_id FROM sp a JOIN sp b ON a.doc_id = b.doc_id AND a.stem = 'anea' AND b.stem = 'eriner' AND b.pos = a.pos + 1),
+    fl AS (SELECT *, doc_id IN (SELECT doc_id FROM hits) AS hit FROM bm WHERE rank <= 50), fa AS (SELECT *, bool_or(hit) OVER (PARTITION BY query_id) AS any_hit FROM fl)
+    SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id)::INT AS rank FROM fa WHERE hit OR NOT any_hit""")
 def _(s):
     matches = phrase_matches(s.index, s.spark.createDataFrame(PHRASES[:1], "query_id int, stems array<string>")).select("doc_id")
     ids = s.queries().select("query_id")
@@ -353,7 +353,7 @@ _boolean("boolean_not", "NOT thble", f"NOT {_has('thble')}")
 _boolean("boolean_nested", '(thble OR que) anea NOT (thth AND the) "thble anea"~12', f"""({_has('thble')} OR {_has('que')}) AND {_has('anea')} AND NOT {_has('thth')}
     AND doc_id IN (SELECT a.doc_id FROM sp a JOIN sp b USING (doc_id) WHERE a.stem = 'thble' AND b.stem = 'anea' GROUP BY 1 HAVING min(abs(a.pos - b.pos)) <= 12)""")
 _boolean("wildcard_docs", "threi*", "doc_id IN (SELECT doc_id FROM sp WHERE stem IN (SELECT stem FROM vocab WHERE starts_with(word, 'threi')))")
-_boolean("phrase_docs", '"thble anea"', "doc_id IN (SELECT a.doc_id FROM sp a JOIN sp b ON a.doc_id = b.doc_id AND b.pos = a.pos + 1 WHERE a.stem = 'thble' AND b.stem = 'anea')")
+_boolean("phrase_docs", '"anea eriner"', "doc_id IN (SELECT a.doc_id FROM sp a JOIN sp b ON a.doc_id = b.doc_id AND b.pos = a.pos + 1 WHERE a.stem = 'anea' AND b.stem = 'eriner')")
 
 
 @query("boolean_mixed_ranked", f"""SELECT 0 AS query_id, doc_id, score, rank FROM (SELECT *, row_number() OVER (ORDER BY score DESC, doc_id)::INT AS rank FROM (
@@ -553,7 +553,7 @@ def _(s):
     return curve_json(s.run(), s.qrels())
 
 
-_FOUR = ", ".join(f"printf('%.4f', {m}) AS {m}" for m in evaluation.MEASURES)
+_FOUR = ", ".join(f"printf('%.4f', round({m}, 4)) AS {m}" for m in evaluation.MEASURES)
 
 
 @query("eval_table", f"SELECT model, query_id::VARCHAR AS topic, num_rel::VARCHAR AS num_rel, num_ret::VARCHAR AS num_ret, num_rel_ret::VARCHAR AS num_rel_ret, {_FOUR} FROM met UNION ALL SELECT model, 'MAP/Avg', '-', '-', '-', {_FOUR} FROM means")

@@ -20,7 +20,7 @@ def qrels_lines(qrels: DataFrame) -> DataFrame:
 def metric_rows(measured: DataFrame, types: DataFrame | None = None) -> DataFrame:
     """A row per topic, and a last one of means, as strings with four decimals; `-` where a mean says nothing."""
     def four(name: str) -> Column:
-        return F.format_string("%.4f", name).alias(name)
+        return F.format_string("%.4f", F.round(name, 4)).alias(name)
 
     counts = ("num_rel", "num_ret", "num_rel_ret")
     rows = measured.select("model", F.col("query_id").cast("string").alias("topic"), *(F.col(c).cast("string").alias(c) for c in counts), *(four(m) for m in MEASURES))
