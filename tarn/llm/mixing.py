@@ -55,7 +55,7 @@ def targets(sizes: list[tuple[str | None, int]], weights=WEIGHTS, share=Fraction
 
 
 def fit(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
-    """How many documents of each distinct length > 0 to take, so that the lengths sum to budget or just below.
+    """How many documents of each distinct length > 0 to take, so that the lengths sum to budget or as near as can be.
 
     Exact whenever the dynamic programme over what the first two steps leave free reaches the budget.
     """
@@ -74,24 +74,27 @@ def fit(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
                 take[i] += 1
                 left -= int(lengths[i])
                 moved = True
-    reach = np.zeros(left + 1, bool)
+    # sums beyond what is left count too, as far as nothing at all would be: the nearest sum wins
+    most = 2 * left
+    reach = np.zeros(most + 1, bool)
     reach[0] = True
-    by = np.full(left + 1, -1, np.int64)
+    by = np.full(most + 1, -1, np.int64)
     pieces: list[tuple[int, int]] = []
     for i in order:
-        free, part, w = int(min(counts[i] - take[i], left // lengths[i])), 1, int(lengths[i])
+        free, part, w = int(min(counts[i] - take[i], most // lengths[i])), 1, int(lengths[i])
         while free > 0 and not reach[left]:
             part = min(part, free)
             step = w * part
-            if step <= left:
-                new = reach[: left + 1 - step] & ~reach[step:]
+            if step <= most:
+                new = reach[: most + 1 - step] & ~reach[step:]
                 by[step:][new] = len(pieces)
                 reach[step:] |= new
             pieces.append((int(i), part))
             free, part = free - part, part * 2
         if reach[left]:
             break
-    s = int(np.flatnonzero(reach)[-1])
+    sums = np.flatnonzero(reach)
+    s = int(sums[np.argmin(np.abs(sums - left))])
     while s:
         i, part = pieces[by[s]]
         take[i] += part
@@ -140,7 +143,7 @@ def mix(spark: SparkSession, docs: DataFrame, weights=WEIGHTS, share=Fraction(3,
     target = targets([(None if k == "n" else k[1:], s) for k, s in size.items()], weights, share, most)
     target = {k: target[None if k == "n" else k[1:]] for k in size}
 
-    def plan(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def plan(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         k = key[0]
         budget, whole = int(target[k] + Fraction(1, 2)), size[k]
         times, rest = divmod(budget, whole) if whole else (0, 0)
