@@ -234,7 +234,7 @@ def test_tokens_are_those_of_the_whole_text():
 
     whole = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     rng = random.Random(3)
-    parts = ["a", "B c", " ", "  ", "\n", "\n\n", "\t", " ", " ", "　", "\x1c", "\u0085", "é", "日本", "🙂", "it's", "12", "...", "!", "​", "﻿", "word"]
+    parts = ["a", "B c", " ", "  ", "\n", "\n\n", "\t", " ", " ", "　", "\x1c", "\u0085", "é", "日本", "🙂", "it's", "12", "...", "!", "​", "﻿", "word", "<|endoftext|>", "<|", "-", "(x", "'s", "'", "…", "×", "ß", "Ωx", "don't", ",", ".\n", "\r\n", "\x00", "\x7f"]
     texts = ["".join(rng.choices(parts, k=rng.randrange(0, 25))) for _ in range(1500)] + [t or "" for _, t, *_ in table()]
     data, at = flat.buffers(pa.array(texts))
     ids, edge = Encoder.of("byte_bpe_50k.json").encode(data, at)
