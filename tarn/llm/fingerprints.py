@@ -28,7 +28,8 @@ from tarn.llm import flat
 from tarn.llm.common import input_bytes, partitions
 
 COORDINATES = 128
-RANGE_BYTES = 16 << 20
+#: Bytes of input that a range of ids stands for, and how many ranges there are at most: each has a row on the driver.
+RANGE_BYTES, RANGES = 4 << 20, 20_000
 #: Terms sampled at a time: few enough for the cache, and always so many, so that any machine rounds alike.
 _TERMS_AT_ONCE = 128
 _SEEDS = flat.keyed(COORDINATES, 5)
@@ -108,7 +109,7 @@ def fingerprints(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"))
-    ranges = max(partitions(spark), input_bytes(docs) // RANGE_BYTES)
+    ranges = min(RANGES, max(4 * partitions(spark), input_bytes(docs) // RANGE_BYTES))
     bounds = ids.approxQuantile("doc_id", [i / ranges for i in range(1, ranges)], 0.2 / ranges) if ranges > 1 else []
     bounds = np.unique(np.array(bounds, np.float64).astype(np.int64)) if bounds else np.zeros(0, np.int64)
     deal = _deal(bounds)
@@ -122,7 +123,7 @@ def fingerprints(spark: SparkSession, docs: DataFrame) -> DataFrame:
         schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
         return spark.createDataFrame([], schema)
     border = [(x.part, x.first.doc_id, x.first.tag, firsts[k - 1].part) for k, x in enumerate(firsts)]
-    border = spark.createDataFrame(border, "b_part int, b_id long, b_tag long, b_to int")  # a row per range
+    border = spark.createDataFrame(border, "b_part int, b_id long, b_tag long, b_to int")  # a row per range, RANGES at most
     rows = keys.join(
         F.broadcast(border),
         (F.col("part") == F.col("b_part")) & F.col("doc_id").eqNullSafe(F.col("b_id")) & (F.col("tag") == F.col("b_tag")),
@@ -132,7 +133,7 @@ def fingerprints(spark: SparkSession, docs: DataFrame) -> DataFrame:
         F.array(F.struct("part", F.lit(0).alias("border")), F.struct(F.col("b_to").alias("part"), F.lit(1).alias("border")))
     )
     rows = rows.withColumn("to", F.explode(places)).select("to.part", "to.border", "doc_id", "text", "tag")
-    rows = rows.repartition(max(partitions(spark), ranges), "part").sortWithinPartitions("part", "border", F.col("doc_id").asc_nulls_last(), "tag")
+    rows = rows.repartition(max(partitions(spark), ranges // 4), "part").sortWithinPartitions("part", "border", F.col("doc_id").asc_nulls_last(), "tag")
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list | None = None  # the row that waits for its next: part, border, id, text, sketch, some
