@@ -2,8 +2,9 @@
 
 Rules are regexes over lower-cased text.  Those of common form come from a table of licences: how each is
 named, its SPDX ids and its addresses, put into the phrasings in which licences are mentioned.  Texts of
-licences and notices have rules of their own.  A rule has a keyword, a word that any match contains, so that
-a rule is tried only where its keyword occurs.  A lower rank is tried first and wins where places nest.
+licences and notices have rules of their own.  A rule has keywords, strings that any match contains (inside
+words too: gpl in gplv3), so that a rule is tried only where all of them occur.  A lower rank is tried first
+and wins where places nest.
 """
 
 from __future__ import annotations
@@ -16,11 +17,11 @@ class Rule(NamedTuple):
     label: str
     rank: int
     confidence: float
-    keyword: str
+    keywords: tuple[str, ...]
     pattern: re.Pattern
 
 
-#: label; keyword; how the licence is named; SPDX ids; address.
+#: label; keyword of the name; how the licence is named; SPDX ids; address.
 LICENCES = [
     ("mit", "mit", r"(?:the )?mit(?:/x11| expat)?", "mit", r"opensource\.org/licenses?/mit"),
     ("mit-0", "attribution", r"mit no attribution", "mit-0", ""),
@@ -71,7 +72,7 @@ LICENCES = [
     ("sspl", "server", r"(?:the )?server side public", r"sspl-1\.0", ""),
     ("elastic", "elastic", r"(?:the )?elastic", r"elastic-2\.0", ""),
     ("rpl", "reciprocal", r"(?:the )?reciprocal public", r"rpl-1\.[15]", ""),
-    ("qpl", "q", r"(?:the )?q public", r"qpl-1\.0", ""),
+    ("qpl", "public", r"(?:the )?q public", r"qpl-1\.0", ""),
     ("sleepycat", "sleepycat", r"(?:the )?sleepycat", "sleepycat", ""),
     ("vim", "vim", r"(?:the )?vim", "vim", ""),
     ("postgresql", "postgresql", r"(?:the )?postgresql", "postgresql", ""),
@@ -80,7 +81,7 @@ LICENCES = [
     ("blueoak", "oak", r"(?:the )?blue oak model", r"blueoak-1\.0\.0", ""),
     ("mulan", "mulan", r"(?:the )?mulan (?:permissive|public)(?: software)?", r"mulanpsl-[12]\.0", ""),
     ("cc0", "cc0", r"(?:the )?(?:creative commons )?cc0(?: 1\.0)?(?: universal)?", r"cc0-1\.0", r"creativecommons\.org/publicdomain/zero"),
-    ("cc-by-sa", "sharealike", r"(?:the )?creative commons attribution[ -]share ?alike(?: \d\.\d)?(?: international)?", r"cc-by-sa-[1-4]\.0", r"creativecommons\.org/licenses/by-sa"),
+    ("cc-by-sa", "commons", r"(?:the )?creative commons attribution[ -]share ?alike(?: \d\.\d)?(?: international)?", r"cc-by-sa-[1-4]\.0", r"creativecommons\.org/licenses/by-sa"),
     ("cc-by-nc-sa", "noncommercial", r"(?:the )?creative commons attribution[ -]noncommercial[ -]share ?alike(?: \d\.\d)?", r"cc-by-nc-sa-[1-4]\.0", r"creativecommons\.org/licenses/by-nc-sa"),
     ("cc-by-nc-nd", "noderivatives", r"(?:the )?creative commons attribution[ -]noncommercial[ -]noderivatives(?: \d\.\d)?", r"cc-by-nc-nd-[1-4]\.0", r"creativecommons\.org/licenses/by-nc-nd"),
     ("cc-by-nd", "noderivatives", r"(?:the )?creative commons attribution[ -]noderivatives(?: \d\.\d)?", r"cc-by-nd-[1-4]\.0", r"creativecommons\.org/licenses/by-nd"),
@@ -88,13 +89,13 @@ LICENCES = [
     ("cc-by", "attribution", r"(?:the )?creative commons attribution(?: \d\.\d)?(?: international)?", r"cc-by-[1-4]\.0", r"creativecommons\.org/licenses/by"),
 ]
 
-#: rank; confidence; phrasing around a name.
+#: rank; confidence; keyword, if all alternatives share one; phrasing around a name.
 PHRASINGS = [
-    (10, 1.0, r"\b(?:re)?licen[sc]ed under (?:the terms of )?{name}(?: licen[sc]e)?\b"),
-    (11, 0.95, r"\b(?:released|distributed|available|published|provided|covered) (?:under|by) (?:the terms of )?{name}(?: licen[sc]e)?\b"),
-    (12, 0.95, r"\bunder the (?:terms(?: and conditions)? of|conditions of) {name}(?: licen[sc]e)?\b"),
-    (13, 0.9, r"\blicen[sc]e ?[:=] ?[\"']?{name}(?: licen[sc]e)?\b"),
-    (14, 0.8, r"\b{name} licen[sc]e\b"),
+    (10, 1.0, "licen", r"\b(?:re)?licen[sc]ed under (?:the terms of )?{name}(?: licen[sc]e)?\b"),
+    (11, 0.95, "", r"\b(?:released|distributed|available|published|provided|covered) (?:under|by) (?:the terms of )?{name}(?: licen[sc]e)?\b"),
+    (12, 0.95, "under", r"\bunder the (?:terms(?: and conditions)? of|conditions of) {name}(?: licen[sc]e)?\b"),
+    (13, 0.9, "licen", r"\blicen[sc]e ?[:=] ?[\"']?{name}(?: licen[sc]e)?\b"),
+    (14, 0.8, "licen", r"\b{name} licen[sc]e\b"),
 ]
 
 #: label; rank; confidence; keyword; pattern.  Phrases of licence texts and notices.
@@ -124,12 +125,12 @@ TEXTS = [
 
 def build() -> list[Rule]:
     """All rules, the first to try first."""
-    out = [Rule(a, b, c, d, re.compile(e)) for a, b, c, d, e in TEXTS]
+    out = [Rule(a, b, c, (d,), re.compile(e)) for a, b, c, d, e in TEXTS]
     for place, (label, keyword, name, ids, address) in enumerate(LICENCES):
-        for rank, confidence, phrasing in PHRASINGS:
-            out.append(Rule(label, 100 * rank + place, confidence, keyword, re.compile(phrasing.replace("{name}", f"(?:{name})"))))
+        for rank, confidence, around, phrasing in PHRASINGS:
+            out.append(Rule(label, 100 * rank + place, confidence, (keyword, around) if around else (keyword,), re.compile(phrasing.replace("{name}", f"(?:{name})"))))
         if ids:
-            out.append(Rule(label, 500 + place, 1.0, "spdx", re.compile(rf"\bspdx-license-identifier: ?\(?(?:[\w.+-]+ (?:or|and|with) )*{ids}(?![\w.-])")))
+            out.append(Rule(label, 500 + place, 1.0, ("spdx",), re.compile(rf"\bspdx-license-identifier: ?\(?(?:[\w.+-]+ (?:or|and|with) )*{ids}(?![\w.-])")))
         if address:
-            out.append(Rule(label, 600 + place, 0.9, address.split("\\.")[0].split("/")[-1], re.compile(address)))
+            out.append(Rule(label, 600 + place, 0.9, (address.split("\\.")[0].split("/")[-1],), re.compile(address)))
     return sorted(out, key=lambda r: (r.rank, r.label))

@@ -1,8 +1,8 @@
 """License scan by ordered signature rules.
 
-Words of the whole table are hashed in vectorised passes; a text without any rule's keyword is done with
-that.  Otherwise the rules whose keyword occurs are tried on the whole text, in order; a detection that lies
-inside one of an earlier rule is suppressed.  Base phrases (mit license, apache license, general public
+Words of the whole table are hashed in vectorised passes, and keywords are looked for as strings in a whole
+slice at once; a text that holds all keywords of no rule is done with that.  Otherwise the rules whose keywords
+occur are tried on the whole text, in order; a detection that lies inside one of an earlier rule is suppressed.  Base phrases (mit license, apache license, general public
 license) are counted at every place where their words stand consecutively, and their labels stay in any case.
 
 Defined results: null or blank text has no words, no labels and score 0; n_words, places and labels come
@@ -47,15 +47,28 @@ def detections(text: str, rules: list[Rule]) -> list[tuple[int, int, Rule]]:
     return kept
 
 
+def holders(text: bytes, at: list[int], keyword: bytes) -> list[int]:
+    """Documents, the bytes at[d] to at[d + 1] of text, that hold keyword."""
+    out, found = [], text.find(keyword)
+    while found >= 0:
+        d = bisect.bisect_right(at, found) - 1
+        if found + len(keyword) <= at[d + 1]:
+            out.append(d)
+            found = text.find(keyword, at[d + 1])
+        else:
+            found = text.find(keyword, found + 1)
+    return out
+
+
 def scan(docs: DataFrame, rules: list[Rule] = RULES, spans: bool = False) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score; with spans also the detections.
 
     spans adds `found`: label and start and end of each kept detection, counted in characters.
     """
-    keywords = sorted({r.keyword for r in rules})
-    hashed = np.array([flat.hash_of(k) for k in keywords], np.uint64)
-    order = np.argsort(hashed)
-    sorted_hash, by_keyword = hashed[order], {k: [r for r in rules if r.keyword == k] for k in keywords}
+    keywords = sorted({k for r in rules for k in r.keywords})
+    by_first: dict[str, list[Rule]] = {}
+    for r in rules:
+        by_first.setdefault(r.keywords[0], []).append(r)
     phrases = [(np.array([flat.hash_of(w) for w in p.split()], np.uint64), label) for p, label in BASE]
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -82,15 +95,16 @@ def scan(docs: DataFrame, rules: list[Rule] = RULES, spans: bool = False) -> Dat
                 base = [set() for _ in range(n)]
                 for d, k in zip(doc.tolist(), kind.tolist(), strict=True):
                     base[d].add(phrases[k][1])
-                slot = np.minimum(np.searchsorted(sorted_hash, w.hash), len(sorted_hash) - 1)
-                known = np.flatnonzero(sorted_hash[slot] == w.hash)
-                whose = np.searchsorted(w.first, known, "right") - 1
                 gates: dict[int, set] = {}
-                for d, k in zip(whose.tolist(), order[slot[known]].tolist(), strict=True):
-                    gates.setdefault(d, set()).add(k)
+                lower, edges = data.tobytes().lower(), at.tolist()
+                for k in keywords:
+                    for d in holders(lower, edges, k.encode()):
+                        gates.setdefault(d, set()).add(k)
                 labels, score, found = [set(b) for b in base], np.where(n_base > 0, 0.8, 0.0), [[] for _ in range(n)]
                 for d, gate in gates.items():
-                    tried = [r for k in gate for r in by_keyword[keywords[k]]]
+                    tried = [r for k in gate for r in by_first.get(k, ()) if gate.issuperset(r.keywords)]
+                    if not tried:
+                        continue
                     text = data[at[d] : at[d + 1]].tobytes().decode().translate(_LOWER)
                     for start, end, rule in detections(text, tried):
                         labels[d].add(rule.label)

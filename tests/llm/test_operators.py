@@ -185,6 +185,47 @@ def test_license_rules_and_suppression():
     assert labels("nothing to see") == []
 
 
+def matches(pattern, rng):
+    """A text that the parsed pattern matches, alternatives and repeats drawn at random."""
+    out = ""
+    for op, arg in pattern:
+        name = str(op)
+        if name == "LITERAL":
+            out += chr(arg)
+        elif name == "IN":
+            kind, value = rng.choice(arg)
+            out += "s" if str(kind) == "NEGATE" or str(kind) == "CATEGORY" and "WORD" in str(value) else "3" if str(kind) == "CATEGORY" else chr(value[0] if str(kind) == "RANGE" else value)
+            if str(arg[0][0]) == "NEGATE":
+                out = out[:-1] + "s"
+        elif name == "BRANCH":
+            out += matches(rng.choice(arg[1]), rng)
+        elif name == "SUBPATTERN":
+            out += matches(arg[-1], rng)
+        elif name == "MAX_REPEAT":
+            out += "".join(matches(arg[2], rng) for _ in range(rng.randint(arg[0], min(int(arg[1]), arg[0] + 2))))
+        else:
+            assert name in ("AT", "ASSERT_NOT"), name
+    return out
+
+
+def generated():
+    rng = random.Random(8)
+    return [(rule, matches(re._parser.parse(rule.pattern.pattern), rng)) for rule in license_scan.RULES for _ in range(8)]
+
+
+def test_license_gate_loses_nothing(spark):
+    texts = ["licensed under the GPLv3", "licensed under LGPLv3", "under the terms of the AGPLv3", "License: GPLv2", "License: MPLv2", "Creative Commons Attribution Share Alike license", "limited", ""]
+    made = generated()
+    assert sum(bool(rule.pattern.search(t)) for rule, t in made) > 0.95 * len(made)
+    assert all(k in t for rule, t in made for k in rule.keywords if rule.pattern.search(t))
+    texts += [t.upper() for _, t in made]
+    rows_ = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: [(f.label, f.start, f.end) for f in r.found] for r in license_scan.scan(rows_, spans=True).collect()}
+    want = {i: [(r.label, a, b) for a, b, r in license_scan.detections(t.lower(), license_scan.RULES)] for i, t in enumerate(texts)}
+    assert got == want
+    assert [got[i][0][0] for i in range(6)] == ["gpl", "lgpl", "agpl", "gpl", "mpl", "cc-by-sa"]
+
+
 def test_language(spark, empty):
     rng, kinds = random.Random(2), {"aa": "abcde ", "bb": "vwxyz ", "cc": "lmnopé "}
     data = [(i, "".join(rng.choices(kinds[k], k=200)), k) for i, k in enumerate(rng.choices(list(kinds), k=400))]
