@@ -2,7 +2,8 @@
 
 Words of the whole table are hashed in vectorised passes, and keywords are looked for as strings in a whole
 slice at once; a text that holds all keywords of no rule is done with that.  Otherwise the rules whose keywords
-occur are tried on the whole text, in order; a detection that lies inside one of an earlier rule is suppressed.  Base phrases (mit license, apache license, general public
+occur are tried on the whole text, in order; a detection that lies inside one of an earlier rule is suppressed.  Rules see a run of white space, with line ends and the marks of
+comment lines in it, as one space, so that wrapped texts match; places are those of the text as it is.  Base phrases (mit license, apache license, general public
 license) are counted at every place where their words stand consecutively, and their labels stay in any case.
 
 Defined results: null or blank text has no words, no labels and score 0; n_words, places and labels come
@@ -13,6 +14,7 @@ One pass, no shuffle.
 from __future__ import annotations
 
 import bisect
+import re
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -28,9 +30,26 @@ _LOWER = {c: c + 32 for c in range(65, 91)}
 RULES = build()
 
 
+#: Line ends with comment marks before and after, and other white space that is not a single space.
+FOLD = re.compile(r"(?:(?:[^\S\r\n]++[*#|]++)?[^\S\r\n]*+(?:\r\n?|\n)[^\S\r\n]*+(?:(?:[#*/;%!>|'-]|::)++|(?:rem|dnl)\b)?)++\s*+|\s{2,}+|[^\S ]")
+
+
+def folded(text: str) -> tuple[str, list[int], list[int]]:
+    """Text with every match of FOLD as one space; places of these; and what to add to a place after the first k."""
+    parts, places, added, at, size = [], [], [0], 0, 0
+    for m in FOLD.finditer(text):
+        parts += [text[at : m.start()], " "]
+        size += m.start() - at + 1
+        at = m.end()
+        places.append(size - 1)
+        added.append(at - size)
+    return "".join([*parts, text[at:]]), places, added
+
+
 def detections(text: str, rules: list[Rule]) -> list[tuple[int, int, Rule]]:
     """Places (start, end, rule) in text, already lower-cased, that no earlier place contains."""
-    found = [(m.start(), m.end(), rule) for rule in rules for m in rule.pattern.finditer(text)]
+    line, places, added = folded(text)
+    found = [(m.start(), m.end(), rule) for rule in rules for m in rule.pattern.finditer(line)]
     found.sort(key=lambda x: (x[2].rank // 100, x[0] - x[1], x[2].rank, x[0]))
     kept: list[tuple[int, int, Rule]] = []
     cover: list[tuple[int, int]] = []  # kept places that no other contains: starts and ends both ascend
@@ -44,7 +63,7 @@ def detections(text: str, rules: list[Rule]) -> list[tuple[int, int, Rule]]:
         while high < len(cover) and cover[high][1] <= end:
             high += 1
         cover[low:high] = [(start, end)]
-    return kept
+    return [(a + added[bisect.bisect_left(places, a)], b + added[bisect.bisect_left(places, b)], rule) for a, b, rule in kept]
 
 
 def holders(text: bytes, at: list[int], keyword: bytes) -> list[int]:

@@ -226,6 +226,25 @@ def test_license_gate_loses_nothing(spark):
     assert [got[i][0][0] for i in range(6)] == ["gpl", "lgpl", "agpl", "gpl", "mpl", "cc-by-sa"]
 
 
+def test_license_wrapped(spark):
+    plain = [(rule, t) for rule, t in generated() if " " in t and "\n" not in t and "  " not in t and " -" not in t and rule.pattern.fullmatch(t)]
+    assert {r.label for r, _ in plain} >= {r.label for r in license_scan.RULES if r.rank <= 2}
+    for rule, t in plain:
+        for mark in ("\n", "\r\n", "\n * ", "\n# ", "\n    // ", "  ", " *\n * ", "\n#\n# ", "\n;; ", "\t"):
+            line = f"x {t} y"
+            wrapped = line.replace(" ", mark)
+            found = [wrapped[a:b].replace(mark, " ") for a, b, _ in license_scan.detections(wrapped, [rule])]
+            assert found and found == [m.group() for m in rule.pattern.finditer(line)], (rule, wrapped)
+    header = """/*\n * This is free software; you can redistribute it and/or modify\n * it under the terms of the GNU General Public License"""
+    texts = [header, "Redistribution and use in source and binary forms, with or without\nmodification, are permitted", "Permission to use, copy, modify, and/or distribute this software for any\npurpose", "# Altered source versions must be plainly marked as such, and must not be\n# misrepresented", "limited  to\nnothing"]
+    rows_ = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r for r in license_scan.scan(rows_, spans=True).collect()}
+    assert [got[i].labels for i in range(5)] == ["gpl", "bsd", "isc", "zlib", ""]
+    assert texts[0][got[0].found[0].start : got[0].found[0].end] == header[header.index("you can") :]
+    blank = " " * 200_000 + "x" + "\n" * 200_000 + " \n#" * 50_000
+    assert license_scan.folded(blank)[0] == " x "
+
+
 def test_language(spark, empty):
     rng, kinds = random.Random(2), {"aa": "abcde ", "bb": "vwxyz ", "cc": "lmnopé "}
     data = [(i, "".join(rng.choices(kinds[k], k=200)), k) for i, k in enumerate(rng.choices(list(kinds), k=400))]
