@@ -1,7 +1,7 @@
 """Retrieval packing: documents that belong together share a sequence.
 
 Documents are dealt to shards by hash, about SHARD_BYTES of text each.  A shard tokenises its documents and
-builds a BM25 inverted index of their words.  A seed document opens a window of 2048 tokens; the index
+builds a BM25 inverted index of their words; a seed asks with all of its words.  A seed document opens a window of 2048 tokens; the index
 returns its unused neighbours, best first, and they fill the window.  The one that no longer fits is cut, and
 its rest seeds the next window, so that every window is full; where a seed has no neighbours left, the next
 unused document follows.  What remains at the end of a shard is cut into sequences whose lengths are powers of
@@ -33,10 +33,8 @@ WINDOW = 2048
 CLOSING_ID = 1
 #: Bytes of compressed input a shard stands for.
 SHARD_BYTES = 4 << 20
-#: Words of a seed, the rarest first, that are asked for.
-QUERY_WORDS = 12
-#: Words that more documents of a shard have than this share of them ask for nothing.
-COMMON_SHARE = 0.2
+#: Words that more documents of a shard have than this share of them are kept as rows over all its documents.
+COMMON_SHARE = 0.25
 K1, B = 1.5, 0.75
 
 
@@ -56,24 +54,30 @@ class Index:
         idf = np.log((n - df + 0.5) / (df + 0.5) + 1)
         norm = count + K1 * (1 - B + B * length[doc] / max(1.0, length.mean() if n else 1.0))
         self.doc, self.weight = doc[order], (idf[inverse] * count * (K1 + 1) / norm)[order].astype(np.float32)
-        self.n, self.useful = n, (df > 1) & (df <= max(2, COMMON_SHARE * n))
+        self.n = n
+        common = np.flatnonzero(df > max(2, COMMON_SHARE * n))
+        self.row = np.full(len(df), -1, np.int64)
+        self.row[common] = np.arange(len(common))
+        self.dense = np.zeros((len(common), n), np.float32)
+        for k, t in enumerate(common.tolist()):
+            self.dense[k, self.doc[self.edge[t] : self.edge[t + 1]]] = self.weight[self.edge[t] : self.edge[t + 1]]
         first = np.concatenate([[0], np.cumsum([len(t) for t, _ in own])])
-        self.query = []
-        for d in range(n):
-            mine = inverse[first[d] : first[d + 1]]
-            mine = mine[self.useful[mine]]
-            self.query.append(mine[np.argsort(-idf[mine], kind="stable")[:QUERY_WORDS]])
+        self.query = [(x := inverse[first[d] : first[d + 1]])[df[x] > 1] for d in range(n)]
 
     def neighbours(self, d: int, unused: np.ndarray) -> list[int]:
-        """Unused documents that share a word with d, the best first, ties by place."""
-        rows = [np.arange(self.edge[t], self.edge[t + 1]) for t in self.query[d]]
-        if not rows:
+        """Unused documents that share a word with d, by all words of d, the best first, ties by place."""
+        if not len(self.query[d]):
             return []
-        rows = np.concatenate(rows)
-        rows = rows[unused[self.doc[rows]]]
-        found, where = np.unique(self.doc[rows], return_inverse=True)
-        score = np.bincount(where, weights=self.weight[rows], minlength=len(found))
-        return found[np.argsort(-score, kind="stable")].tolist()
+        row = self.row[self.query[d]]
+        terms = self.query[d][row < 0]
+        size = self.edge[terms + 1] - self.edge[terms]
+        rows = np.repeat(self.edge[terms] - np.cumsum(size) + size, size) + np.arange(size.sum())
+        score = np.bincount(self.doc[rows], weights=self.weight[rows], minlength=self.n).astype(np.float64, copy=False)
+        row = row[row >= 0]
+        for k in range(0, len(row), 64):
+            score += self.dense[row[k : k + 64]].sum(axis=0)
+        found = np.flatnonzero((score > 0) & unused)
+        return found[np.argsort(-score[found], kind="stable")].tolist()
 
 
 def pack(sizes: np.ndarray, texts: np.ndarray, index: Index, window: int = WINDOW) -> list[tuple[int, int, int, int, int]]:

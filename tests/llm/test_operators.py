@@ -341,6 +341,27 @@ def test_neighbours_share_windows():
     assert np.mean([len(set(x)) == 1 for x in by.values()]) > 0.8
 
 
+def test_neighbours_score_all_words():
+    rng = np.random.default_rng(3)
+    words = [np.unique(rng.zipf(1.3, 120) % 4000).astype(np.uint64) for _ in range(50)]
+    words += [np.concatenate([w, np.arange(10**6 + 40 * k, 10**6 + 40 * k + 14, dtype=np.uint64)]) for k, w in enumerate(words[:5])]
+    words += [np.zeros(0, np.uint64), np.array([7, 7, 7], np.uint64)]
+    index, n = packing.Index(words), len(words)
+    mean = np.mean([len(w) for w in words])
+    df = collections.Counter(t for w in words for t in set(w.tolist()))
+    for d in range(n):
+        score = np.zeros(n)
+        for e in range(n):
+            for t in set(words[d].tolist()):
+                tf = int((words[e] == t).sum())
+                if tf and df[t] > 1:
+                    score[e] += np.log((n - df[t] + 0.5) / (df[t] + 0.5) + 1) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len(words[e]) / mean))
+        unused = np.arange(n) != d
+        got = index.neighbours(d, unused)
+        assert sorted(got) == np.flatnonzero((score > 0) & unused).tolist()
+        assert all(score[a] >= score[b] - 1e-4 for a, b in zip(got[:-1], got[1:], strict=True))
+
+
 def test_quality(spark, docs, empty):
     rng = random.Random(1)
     common, long = ["the", "of", "and", "a", "to", "in"], [f"{a}{b}{c}" for a in ("con", "tra", "per") for b in ("ven", "duc", "mit") for c in ("tion", "able", "ing")]
