@@ -1,14 +1,15 @@
 """Retrieval packing: documents that belong together share a sequence.
 
-Documents are dealt to shards by hash, about SHARD_BYTES of text each.  A shard tokenises its documents and
+Documents are dealt to shards by what they are about (see dealing), about SHARD_BYTES each.  A shard tokenises its documents and
 builds a BM25 inverted index of their words; a seed asks with all of its words.  A seed document opens a window of 2048 tokens; the index
 returns its unused neighbours, best first, and they fill the window.  The one that no longer fits is cut, and
 its rest seeds the next window, so that every window is full; where a seed has no neighbours left, the next
 unused document follows.  What remains at the end of a shard is cut into sequences whose lengths are powers of
 two, which need no padding either.
 
-A shard is the unit of work and memory; the number of shards follows the input, and copies spread over all of
-them.  Texts are shuffled once.
+A shard is the unit of work and memory; the number of shards follows the input, and a group of copies larger than
+a shard is split evenly.  Texts are shuffled once.  A seed's neighbours are sought in its own shard only: those that
+the splits have parted from it are not found.
 
 Defined results: null text counts as empty and gives the closing id alone; a text of any length is cut into
 windows; copies of a text are neighbours only if nothing else is left; rows that repeat are separate documents;
@@ -27,6 +28,7 @@ from pyspark.sql import functions as F
 
 from tarn.llm import flat
 from tarn.llm.common import input_bytes, partitions
+from tarn.llm.dealing import deal
 from tarn.llm.tokens import Encoder
 
 WINDOW = 2048
@@ -154,7 +156,8 @@ def pack_documents(spark: SparkSession, docs: DataFrame, vocabulary: str = "byte
     text = F.col("text").cast("string")
     rows = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(text, F.lit("")).alias("text"), F.xxhash64(text).alias("tag")
-    ).withColumn("shard", F.pmod(F.xxhash64("doc_id", "tag"), F.lit(shards)))
+    )
+    rows = deal(rows, shards, F.xxhash64("doc_id", "tag"))
     rows = rows.repartition(max(partitions(spark), min(shards, 4096)), "shard").sortWithinPartitions("shard", "doc_id", "tag")
 
     def finish(shard: int, held: list) -> Iterator[pa.RecordBatch]:

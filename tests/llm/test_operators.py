@@ -10,8 +10,9 @@ from fractions import Fraction
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
-from tarn.llm import exact_dedup, fingerprints, flat, language_id, license_scan, mixing, packing, quality, sharding, substring_dedup
+from tarn.llm import dealing, exact_dedup, fingerprints, flat, language_id, license_scan, mixing, packing, quality, sharding, substring_dedup
 from tarn.llm.tokens import Encoder
 
 SCHEMA = "doc_id long, text string, lang string, source string, tag string, size int, shard string, part string"
@@ -362,6 +363,34 @@ def test_neighbours_score_all_words():
         assert all(score[a] >= score[b] - 1e-4 for a, b in zip(got[:-1], got[1:], strict=True))
 
 
+def test_related_documents_are_dealt_together(spark):
+    rng = random.Random(4)
+    topics = [[f"t{k}x{i}" for i in range(60)] for k in range(8)]
+    common = [f"c{i}" for i in range(50)]
+    data = [(i, " ".join(rng.choices(topics[i % 8], k=25) + rng.choices(common, k=25))) for i in range(1600)]
+    data += [(2000 + i, "one text that many rows hold " + "and again " * 20) for i in range(800)] + [(3000, None), (3001, ""), (None, "x")]
+    docs = spark.createDataFrame(data, "doc_id long, text string").withColumn("tag", F.xxhash64("text"))
+    tag = F.xxhash64("doc_id", "tag")
+    got = [(r.doc_id, r.text, r.shard) for r in dealing.deal(docs, 24, tag).collect()]
+    assert sorted((x[:2] for x in got), key=repr) == sorted(data, key=repr)
+    size, of = collections.Counter(s for *_, s in got), {i: s for i, _, s in got}
+    assert set(size) <= set(range(24)) and max(size.values()) < 4 * len(data) / 24
+    copies = collections.Counter(of[2000 + i] for i in range(800))
+    assert max(copies.values()) < 400 and len(copies) <= 14
+    together = np.mean([of[i] == of[j] for i in range(0, 400) for j in range(i + 8, 400, 8)])
+    apart = np.mean([of[i] == of[j] for i in range(0, 400) for j in range(i + 1, 400, 8)])
+    assert together > 0.25 and apart < 0.03  # by hash: 1 / 24 of either
+    again = {r.doc_id: r.shard for r in dealing.deal(docs.repartition(7), 24, tag).collect()}
+    assert again == of
+    data_, at = flat.buffers(pa.array([t for _, t in data[:300]] + [None, "", data[0][1]]))
+    basis = np.random.default_rng(1).standard_normal((dealing.FEATURES, 5)).astype(np.float32)
+    tags = np.arange(len(at) - 1)
+    whole = dealing.points(data_, at, tags, basis)
+    old, dealing.CHUNK = dealing.CHUNK, 37
+    assert np.allclose(whole, dealing.points(data_, at, tags, basis), atol=1e-4)
+    dealing.CHUNK = old
+
+
 def test_quality(spark, docs, empty):
     rng = random.Random(1)
     common, long = ["the", "of", "and", "a", "to", "in"], [f"{a}{b}{c}" for a in ("con", "tra", "per") for b in ("ven", "duc", "mit") for c in ("tion", "able", "ing")]
