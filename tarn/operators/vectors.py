@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -14,6 +15,10 @@ from tarn.operators.index import Index
 from tarn.operators.rankers import ranked
 
 SEED_RANGES = 1000
+#: Rank of the latent model, as in the reference.
+RANK = 160
+#: Entries of the tf-idf matrix that a bucket stands for.
+BUCKET_ROWS = 200_000
 
 
 def cosine_topk(vectors: DataFrame, queries: DataFrame, k: int | None = 10) -> DataFrame:
@@ -104,48 +109,103 @@ def kmeans(vectors: DataFrame, clusters: int = 4, rounds: int = 30) -> tuple[Dat
     return assign(v, c), c
 
 
-def lsa(spark: SparkSession, index: Index, k: int = 16, passes: int = 6, seed: int = 42) -> tuple[DataFrame, DataFrame]:
+def _block(column: pa.ChunkedArray | pa.Array, size: int) -> np.ndarray:
+    """Lists of `size` numbers as rows."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, size)
+
+
+def _lists(rows: np.ndarray) -> pa.Array:
+    offsets = pa.array(np.arange(len(rows) + 1, dtype=np.int32) * rows.shape[1])
+    return pa.ListArray.from_arrays(offsets, pa.array(np.ascontiguousarray(rows).ravel()))
+
+
+def lsa(spark: SparkSession, index: Index, k: int = RANK, passes: int = 120, tolerance: float = 1e-6) -> tuple[DataFrame, DataFrame]:
     """Latent vectors of documents (doc_id, v) and stems (stem, idf, v) by block subspace iteration.
 
-    A pass multiplies by the tf-idf matrix and its transpose: two joins and sums over (doc_id, stem, w) rows.
-    Only k by k matrices reach the driver.
+    The rank is k, or the number of documents or stems if that is less.  The block has twice as many columns, and
+    passes go on until no singular value moves by more than `tolerance` of itself, at most `passes` times.
+    A pass multiplies by the tf-idf matrix and its transpose, in buckets of (doc_id, stem, w) rows that meet each
+    vector once.  Only matrices of the block's size reach the driver, one per task.
     """
     from tarn.operators.store import keep
 
     matrix = keep(spark, index.stem_matrix().select("doc_id", "stem", "w", "df"), "matrix")
-    stems = matrix.select("stem").distinct()
-    start = F.array(*[(F.xxhash64(F.lit(seed + i), "stem") / F.lit(float(2**63))) for i in range(k)])
-    v = keep(spark, stems.select("stem", start.alias("v")), "start")
+    held = matrix.agg(F.count("*").alias("n"), F.count_distinct("doc_id").alias("d"), F.count_distinct("stem").alias("s")).first()
+    size = max(1, min(2 * k, held.d, held.s))
+    buckets = max(4, held.n // BUCKET_ROWS)
+    kinds = {name: matrix.schema[name].dataType.simpleString() for name in ("doc_id", "stem")}
+
+    def bucket(by: str) -> Column:
+        return F.pmod(F.xxhash64(by), F.lit(buckets)).alias("bucket")
+
+    def summed(key: pa.ChunkedArray, rows: Callable[[np.ndarray], np.ndarray], to: str) -> pa.Table:
+        names, inverse = np.unique(key.to_numpy(), return_inverse=True)
+        order = np.argsort(inverse, kind="stable")
+        edge = np.searchsorted(inverse[order], np.arange(len(names)))
+        out = np.zeros((len(names), size))
+        for a in range(0, len(names), 256):  # a few names at a time, so that no copy of all rows is made
+            b = min(a + 256, len(names))
+            take = order[edge[a] : edge[b] if b < len(names) else len(order)]
+            out[a:b] = np.add.reduceat(rows(take), edge[a:b] - edge[a], axis=0)
+        return pa.table({to: pa.array(names), "v": _lists(out)})
 
     def times(rows: DataFrame, by: str, to: str) -> DataFrame:
-        scaled = matrix.join(rows, by).select(to, *((F.col("w") * F.col("v")[i]).alias(f"d{i}") for i in range(k)))
-        sums = scaled.groupBy(to).agg(*(F.sum(f"d{i}").alias(f"d{i}") for i in range(k)))
-        return sums.select(to, F.array(*(F.col(f"d{i}") for i in range(k))).alias("v"))
+        schema = f"{to} {kinds[to]}, v array<double>"
+
+        def multiply(_, left, right):
+            if not left.num_rows or not right.num_rows:
+                return pa.table({to: left[to].slice(0, 0), "v": _lists(np.zeros((0, size)))})
+            names = right[by].to_numpy()
+            order = np.argsort(names)
+            v, w = _block(right["v"], size)[order], left["w"].to_numpy()
+            at = np.searchsorted(names[order], left[by].to_numpy())
+            return summed(left[to], lambda take: v[at[take]] * w[take, None], to)
+
+        def add(_, part):
+            v = _block(part["v"], size)
+            return summed(part[to], lambda take: v[take], to)
+
+        pairs = matrix.select("doc_id", "stem", F.col("w").cast("double").alias("w"), bucket(by)).groupBy("bucket")
+        parts = pairs.cogroup(rows.select(by, "v", bucket(by)).groupBy("bucket")).applyInArrow(multiply, schema)
+        return parts.select("*", bucket(to)).groupBy("bucket").applyInArrow(add, schema)
 
     def gram(rows: DataFrame) -> np.ndarray:
-        got = rows.agg(*(F.sum(F.col("v")[i] * F.col("v")[j]).alias(f"g{i}_{j}") for i in range(k) for j in range(i, k))).first()
-        g = np.zeros((k, k))
-        for i in range(k):
-            for j in range(i, k):
-                g[i, j] = g[j, i] = got[f"g{i}_{j}"] or 0.0
-        return g
+        def products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = np.zeros((size, size))
+            for batch in batches:
+                v = _block(batch.column(0), size)
+                total += v.T @ v
+            yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["g"])
+
+        return sum((np.frombuffer(bytes(r.g)).reshape(size, size) for r in rows.select("v").mapInArrow(products, "g binary").collect()), np.zeros((size, size)))
 
     def turned(rows: DataFrame, by: str, m: np.ndarray) -> DataFrame:
-        columns = [sum((F.col("v")[i] * float(m[i, j]) for i in range(k)), F.lit(0.0)) for j in range(m.shape[1])]
-        return rows.select(by, F.array(*columns).alias("v"))
+        def turn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                yield pa.RecordBatch.from_arrays([batch.column(0), _lists(_block(batch.column(1), size) @ m)], names=[by, "v"])
+
+        return rows.select(by, "v").mapInArrow(turn, f"{by} {kinds[by]}, v array<double>")
 
     def orthonormal(rows: DataFrame, by: str) -> DataFrame:
         values, vectors = np.linalg.eigh(gram(rows))
         inverse = np.where(values > values.max() * 1e-12, 1 / np.sqrt(np.maximum(values, 1e-300)), 0.0)
         return turned(rows, by, vectors * inverse)
 
+    start = F.transform(F.sequence(F.lit(1), F.lit(size)), lambda i: F.xxhash64(i, F.col("stem")) / F.lit(float(2**63)))
+    v = keep(spark, matrix.select("stem").distinct().select("stem", start.alias("v")), "start")
+    before = None
     for step in range(passes):
         v = keep(spark, orthonormal(v, "stem"), f"q{step}")
         u = keep(spark, times(v, "stem", "doc_id"), f"u{step}")
-        if step < passes - 1:
-            v = keep(spark, times(u, "doc_id", "stem"), f"v{step}")
-    values, vectors = np.linalg.eigh(gram(u))
-    order = np.argsort(-values)
+        values, vectors = np.linalg.eigh(gram(u))
+        sigma = np.sqrt(np.maximum(values[::-1][: min(k, size)], 0))
+        if before is not None and (np.abs(sigma - before) <= tolerance * np.maximum(sigma, 1e-6)).all() or step == passes - 1:
+            break
+        before = sigma
+        v = keep(spark, times(u, "doc_id", "stem"), f"v{step}")
+    order = np.argsort(-values)[: min(k, size)]
     rotation = vectors[:, order] * np.where(np.abs(vectors[:, order]).max(axis=0) == vectors[:, order].max(axis=0), 1, -1)
     n = index.statistics().select("n_docs")
     idf = matrix.groupBy("stem").agg(F.first("df").alias("df")).crossJoin(F.broadcast(n)).select("stem", F.log(F.col("n_docs").cast("double") / F.col("df")).alias("idf"))

@@ -604,13 +604,13 @@ def _(s):
 
 @query("lsa_topk")
 def _(s):
-    documents, stems = vectors.lsa(s.spark, s.index, k=8, passes=4)
-    return vectors.cosine_topk(documents, vectors.project(s.terms(), stems, 8), 10)
+    documents, stems = vectors.lsa(s.spark, s.index)
+    return vectors.cosine_topk(documents, vectors.project(s.terms(), stems, len(stems.first().v)), 10)
 
 
 @query("cluster_keywords")
 def _(s):
-    documents, stems = vectors.lsa(s.spark, s.index, k=8, passes=4)
+    documents, stems = vectors.lsa(s.spark, s.index)
     from tarn.operators.store import keep
 
     documents = keep(s.spark, documents, "latent")

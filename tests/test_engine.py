@@ -192,6 +192,22 @@ def test_latent_full_rank_ranks_as_tfidf(spark):
         assert np.ptp(ratio) < 1e-3
 
 
+def test_latent_vectors_are_singular_vectors(spark):
+    rng = np.random.default_rng(2)
+    docs = spark.createDataFrame([(i, " ".join(f"qq{'abcdefghij'[x // 10]}{'klmnoprtuv'[x % 10]}" for x in rng.integers(0, 70, 25))) for i in range(60)], "doc_id long, text string")
+    index = Index(docs)
+    matrix = index.stem_matrix().toPandas().pivot_table(index="doc_id", columns="stem", values="w", fill_value=0.0)
+    u, s, vt = np.linalg.svd(matrix.to_numpy().astype(float), full_matrices=False)
+    documents, stems = vectors.lsa(spark, index, k=6)
+    d = np.array([r.v for r in documents.orderBy("doc_id").collect()])
+    v = {r.stem: r.v for r in stems.collect()}
+    w = np.array([v[x] for x in matrix.columns])
+    assert d.shape == (60, 6) and np.allclose(np.linalg.norm(d, axis=0), s[:6], rtol=1e-4)
+    assert np.allclose(np.abs((w * vt[:6].T).sum(axis=0)), 1, atol=1e-2)
+    documents, stems = vectors.lsa(spark, index)
+    assert len(documents.first().v) == len(stems.first().v) == min(vectors.RANK, *matrix.shape)
+
+
 def test_learning(spark):
     rng = np.random.default_rng(1)
     rows = [(q, d, int(x[2] > 0.7), *map(float, x)) for q in range(6) for d, x in enumerate(rng.random((20, 5)))]
