@@ -6,6 +6,8 @@ import atexit
 import math
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,12 +19,16 @@ HOT_SHARE = 1000
 def shared_dir(spark: SparkSession) -> str:
     """The folder in spark.checkpoint.dir, which driver and executors share.
 
-    Only where that is unset, as in tests on one machine, a temporary folder is made and set.
+    Where that is unset and all runs on one machine, as in tests, a temporary folder is made and set.  On a
+    cluster it has to be set: a folder of the driver's own is none that executors see.
     """
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
         at = spark.sparkContext.getCheckpointDir()
     if not at:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         at = "file://" + tempfile.mkdtemp(prefix="tarn-")
         spark.sparkContext.setCheckpointDir(at)
         spark.conf.set("spark.checkpoint.dir", at)
@@ -36,17 +42,36 @@ def remove(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+#: The scratch folders made inside each released() that is open, the innermost last.
+_open: list[list[Scratch]] = []
+
+
+@contextmanager
+def released() -> Iterator[None]:
+    """Deletes on leaving what operators called inside have kept: for callers that have written the results by then."""
+    _open.append([])
+    try:
+        yield
+    finally:
+        for scratch in _open.pop():
+            scratch._end()
+
+
 class Scratch:
     """Tables of one run of an operator, each in its own folder below shared_dir().
 
     keep() cuts the lineage by writing Parquet: a lost executor costs no recomputation of what is written.
-    drop() frees a table that later steps no longer read.
+    drop() frees a table that later steps no longer read.  What an operator returns still reads its last
+    tables; they go when the innermost released() around the call ends, else when the interpreter does.
     """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
-        atexit.register(self._end)
+        if _open:
+            _open[-1].append(self)
+        else:
+            atexit.register(self._end)
 
     def _end(self) -> None:
         try:
@@ -68,9 +93,26 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def named(name: str) -> Column:
+    """The column with exactly this name, dots and backticks included."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def unused(df: DataFrame, *wanted: str) -> list[str]:
+    """Names for helper columns, the wanted ones with as many underscores added as it takes for df to have none like them."""
+    have = {c.lower() for c in df.columns}
+    out = []
+    for name in wanted:
+        while name.lower() in have:
+            name += "_"
+        have.add(name.lower())
+        out.append(name)
+    return out
+
+
 def column_or_null(df: DataFrame, name: str, kind: str) -> Column:
     """The column cast to a type, or null where the table lacks it."""
-    return (df[name] if name in df.columns else F.lit(None)).cast(kind)
+    return (named(name) if name in df.columns else F.lit(None)).cast(kind)
 
 
 def join_hot(rows: DataFrame, groups: DataFrame, keys: list[str], count: str, total: int) -> DataFrame:

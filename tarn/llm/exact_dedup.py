@@ -5,6 +5,11 @@ reduced to one row per digest, sort-merge anti-joined with the index, and what i
 table is bucketed, only the batch is shuffled.  Texts never leave the scan: all that moves is 32 bytes of
 digest and an id per row.
 
+Every entry names the batch that brought it.  A batch that is sent again, after a job that died between the
+append and the caller's own output, finds its own entries and gives the same answer as the first time.  The
+number of buckets is written beside the table, so that sessions with other settings append to it as it is.
+One writer at a time.
+
 Defined results: null text counts as empty; of equal texts the row with the largest doc_id stays (a null
 doc_id stays only if all are null); rows that repeat both text and doc_id of the row that stays are all
 reported as kept, and deduplicate() leaves one of them; an empty table gives an empty report; columns of
@@ -18,35 +23,45 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarn.llm.common import Scratch, join_hot, partitions, shared_dir
+from tarn.llm.common import Scratch, join_hot, named, partitions, shared_dir, unused
 
 
 class DigestIndex:
-    """digest binary, keep_id long: one row for each text ever seen."""
+    """digest binary, keep_id long, batch string: one row for each text ever seen.
+
+    path is a folder in a store that all sessions share; opened there again, it is the same index.  buckets
+    counts only where the index is new.
+    """
 
     def __init__(self, spark: SparkSession, name: str, path: str | None = None, buckets: int | None = None):
-        self.spark, self.name, self.buckets = spark, name, buckets or partitions(spark)
+        self.spark, self.name = spark, name
         self.path = path or f"{shared_dir(spark)}/{name}"
-
-    def exists(self) -> bool:
-        return self.spark.catalog.tableExists(self.name)
+        note = f"{self.path}/buckets"
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(note)
+        if at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at):
+            self.buckets = int(spark.read.text(note).first()[0])
+        else:
+            self.buckets = buckets or partitions(spark)
+            spark.createDataFrame([(str(self.buckets),)], "value string").coalesce(1).write.mode("overwrite").text(note)
+        if not spark.catalog.tableExists(name):
+            spark.sql(
+                f"CREATE TABLE {name} (digest BINARY, keep_id BIGINT, batch STRING) USING parquet "
+                f"CLUSTERED BY (digest) SORTED BY (digest) INTO {self.buckets} BUCKETS LOCATION '{self.path}/entries'"
+            )
 
     def read(self) -> DataFrame:
         return self.spark.table(self.name)
 
-    def append(self, groups: DataFrame) -> None:
+    def append(self, groups: DataFrame, batch: str) -> None:
         """Add those digests of groups(digest, keep_id) that the index lacks."""
-        fresh = groups.select("digest", "keep_id")
-        if self.exists():
-            fresh = fresh.join(self.read().hint("merge"), "digest", "left_anti")
-        (
-            fresh.repartition(self.buckets, "digest")
-            .write.mode("append")
-            .bucketBy(self.buckets, "digest")
-            .sortBy("digest")
-            .option("path", self.path)
-            .saveAsTable(self.name)
-        )
+        dealt = groups.select("digest", "keep_id").repartition(self.buckets, "digest")
+        fresh = dealt.join(self.read().select("digest").hint("merge"), "digest", "left_anti")
+        fresh.select("digest", "keep_id", F.lit(batch).alias("batch")).write.insertInto(self.name)
+        self.spark.catalog.refreshTable(self.name)
+
+    def drop(self) -> None:
+        """Forget the table; the folder is the caller's."""
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
 
 
 def digests(docs: DataFrame) -> DataFrame:
@@ -56,29 +71,41 @@ def digests(docs: DataFrame) -> DataFrame:
     )
 
 
-def exact_report(spark: SparkSession, docs: DataFrame, index: DigestIndex | None = None) -> DataFrame:
+def _groups(rows: DataFrame, *more: str) -> DataFrame:
+    return rows.groupBy("digest", *more).agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
+
+
+def exact_report(spark: SparkSession, docs: DataFrame, index: DigestIndex | None = None, batch: str | None = None) -> DataFrame:
     """One row per document: doc_id, keep_id, group_size, kept, text_sha256.
 
-    With an index that already holds a text, keep_id is the id that the index has and no row of this batch
-    is kept; group_size counts the rows of the batch.
+    With an index, keep_id of a text that an earlier batch brought is the id that the index has, and no row of
+    this batch is kept; group_size counts the rows of the batch.  batch names it; unless given, its rows do,
+    in any order.  Without an index the table is loaded into a new one in two batches, the larger half of the
+    ids first, so that the smaller half is deduplicated against it.
     """
     scratch = Scratch(spark, "exact")
-    index = index or DigestIndex(spark, f"digest_index_{uuid.uuid4().hex[:12]}", f"{scratch.path}/index")
     rows = scratch.keep(digests(docs), "rows")
-    groups = rows.groupBy("digest").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
-    before = index.exists()
-    known = index.read().select("digest", F.lit(True).alias("known")) if before else None
-    if before:
-        known = scratch.keep(groups.select("digest").join(known.hint("merge"), "digest"), "known")
-    index.append(groups)
-    resolved = groups.drop("keep_id").join(index.read().hint("merge"), "digest")
-    resolved = (
-        resolved.join(known, "digest", "left").withColumn("known", F.coalesce("known", F.lit(False)))
-        if known is not None
-        else resolved.withColumn("known", F.lit(False))
-    )
-    resolved = scratch.keep(resolved, "resolved")
-    return join_hot(rows, resolved, ["digest"], "group_size", rows.count()).select(
+    about = rows.agg(F.count("*"), F.sum(F.xxhash64("doc_id", "digest").cast("decimal(38,0)"))).first()
+    if index is None:
+        own = DigestIndex(spark, f"digest_index_{uuid.uuid4().hex[:12]}", f"{scratch.path}/index")
+        middle = (rows.approxQuantile("doc_id", [0.5], 0.1) or [0.0])[0]
+        late = F.coalesce(F.col("doc_id") > int(middle), F.lit(False))
+        # written, so that a join finds one row per digest and no optimiser joins before it aggregates
+        groups = scratch.keep(_groups(rows.withColumn("late", late), "late"), "groups")
+        own.append(groups.filter("late"), "late")
+        own.append(groups.filter("not late"), "early")
+        sizes = groups.groupBy("digest").agg(F.sum("group_size").alias("group_size"))
+        resolved = scratch.keep(sizes.join(own.read().select("digest", "keep_id").hint("merge"), "digest").withColumn("known", F.lit(False)), "resolved")
+        own.drop()
+        scratch.drop("index", "groups")
+    else:
+        batch = batch or f"{about[0]}:{about[1]}"
+        groups = scratch.keep(_groups(rows), "groups")
+        index.append(groups, batch)
+        entries = index.read().withColumn("known", F.col("batch") != batch).drop("batch")
+        resolved = scratch.keep(groups.drop("keep_id").join(entries.hint("merge"), "digest"), "resolved")
+        scratch.drop("groups")
+    return join_hot(rows, resolved, ["digest"], "group_size", about[0]).select(
         "doc_id",
         "keep_id",
         "group_size",
@@ -87,18 +114,15 @@ def exact_report(spark: SparkSession, docs: DataFrame, index: DigestIndex | None
     )
 
 
-def deduplicate(spark: SparkSession, docs: DataFrame, index: DigestIndex | None = None) -> DataFrame:
+def deduplicate(spark: SparkSession, docs: DataFrame, index: DigestIndex | None = None, batch: str | None = None) -> DataFrame:
     """The documents that stay, with all their columns."""
     scratch = Scratch(spark, "exact-kept")
-    kept = scratch.keep(exact_report(spark, docs, index).filter("kept").select("doc_id", "text_sha256"), "kept")
-    stay = kept.groupBy(F.col("doc_id").alias("_id"), F.unhex("text_sha256").alias("_digest")).agg(F.count("*").alias("_n"))
-    tagged = docs.withColumn("_digest", F.unhex(F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")), 256)))
-    repeated = stay.filter("_n > 1")
-    out = tagged.join(
-        stay.drop("_n"),
-        tagged["doc_id"].cast("long").eqNullSafe(stay["_id"]) & (tagged["_digest"] == stay["_digest"]),
-        "left_semi",
-    )
-    if not repeated.isEmpty():
-        out = out.dropDuplicates(["doc_id", "_digest"])
-    return out.select(*docs.columns)
+    of, own, times, mine, other = unused(docs, "of", "own", "times", "mine", "other")
+    kept = scratch.keep(exact_report(spark, docs, index, batch).filter("kept").select("doc_id", "text_sha256"), "kept")
+    stay = kept.groupBy(F.col("doc_id").alias(of), F.unhex("text_sha256").alias(own)).agg(F.count("*").alias(times))
+    digest = F.unhex(F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")), 256))
+    tagged = docs.withColumns({mine: digest, other: F.col("doc_id").cast("long")})
+    out = tagged.join(stay.drop(times), F.col(other).eqNullSafe(F.col(of)) & (F.col(mine) == F.col(own)), "left_semi")
+    if not stay.filter(F.col(times) > 1).isEmpty():
+        out = out.dropDuplicates([other, mine])
+    return out.select(*(named(c) for c in docs.columns))
