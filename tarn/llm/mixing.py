@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tarn.llm import flat
-from tarn.llm.common import Scratch, column_or_null, join_hot
+from tarn.llm.common import Scratch, column_or_null, join_hot, named, unused
 
 WEIGHTS = (3, 1, 2)
 #: Words of a source's budget that are left to the dynamic programme, at least.
@@ -186,16 +186,15 @@ def apply_mix(spark: SparkSession, docs: DataFrame, **how) -> DataFrame:
     gets its own decision, in either order.
     """
     scratch = Scratch(spark, "mix-applied")
-    decided = mix(spark, docs, **how).groupBy(F.col("doc_id").alias("_id"), F.col("crc").alias("_crc")).agg(
-        F.sum(F.when(F.col("size") > 0, F.col("copies")).otherwise(0)).alias("_all"), F.count("*").alias("_n")
-    )
+    of, own, times, every, mine, other, place, copy = unused(docs, "of", "own", "times", "every", "mine", "other", "place", "copy")
+    copies = F.sum(F.when(F.col("size") > 0, F.col("copies")).otherwise(0))
+    decided = mix(spark, docs, **how).groupBy(F.col("doc_id").alias(of), F.col("crc").alias(own)).agg(copies.alias(every), F.count("*").alias(times))
     decided = scratch.keep(decided, "decided")
-    tagged = docs.withColumn("_crc2", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))))
-    joined = tagged.join(
-        decided, tagged["doc_id"].cast("long").eqNullSafe(decided["_id"]) & (tagged["_crc2"] == decided["_crc"])
-    ).filter("_all > 0")
-    if not decided.filter("_n > 1").isEmpty():
-        joined = joined.withColumn("_k", F.row_number().over(Window.partitionBy("doc_id", "_crc2").orderBy("_all"))).withColumn(
-            "_all", F.floor(F.col("_all") / F.col("_n")) + (F.col("_k") <= F.col("_all") % F.col("_n")).cast("int")
-        ).filter("_all > 0")
-    return joined.withColumn("_copy", F.explode(F.array_repeat(F.lit(1), F.col("_all").cast("int")))).select(*docs.columns)
+    tagged = docs.withColumns({mine: F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))), other: F.col("doc_id").cast("long")})
+    joined = tagged.join(decided, F.col(other).eqNullSafe(F.col(of)) & (F.col(mine) == F.col(own))).filter(F.col(every) > 0)
+    if not decided.filter(F.col(times) > 1).isEmpty():
+        joined = joined.withColumn(place, F.row_number().over(Window.partitionBy(other, mine).orderBy(every)))
+        each = F.floor(F.col(every) / F.col(times)) + (F.col(place) <= F.col(every) % F.col(times)).cast("int")
+        joined = joined.withColumn(every, each).filter(F.col(every) > 0)
+    joined = joined.withColumn(copy, F.explode(F.array_repeat(F.lit(1), F.col(every).cast("int"))))
+    return joined.select(*(named(c) for c in docs.columns))

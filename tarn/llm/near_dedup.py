@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarn.llm import flat
-from tarn.llm.common import Scratch, partitions
+from tarn.llm.common import Scratch, named, partitions, unused
 from tarn.llm.components import components
 
 COORDINATES = 128
@@ -288,10 +288,11 @@ def near_groups(spark: SparkSession, docs: DataFrame, shingle: int = 5, percent:
 def one_per_group(spark: SparkSession, docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
     """The documents that stay, with all their columns; of rows that repeat the kept id, all of its component stay but exact repeats."""
     scratch = Scratch(spark, "near-kept")
-    kept = near_groups(spark, docs, shingle, percent).filter("kept").groupBy(F.col("doc_id").alias("_id"), F.col("tag").alias("_tag")).agg(F.count("*").alias("_n"))
+    of, own, times, mine, other = unused(docs, "of", "own", "times", "mine", "other")
+    kept = near_groups(spark, docs, shingle, percent).filter("kept").groupBy(F.col("doc_id").alias(of), F.col("tag").alias(own)).agg(F.count("*").alias(times))
     kept = scratch.keep(kept, "kept")
-    tagged = docs.withColumn("_t", F.xxhash64(F.col("text").cast("string")))
-    out = tagged.join(kept, tagged["doc_id"].cast("long").eqNullSafe(kept["_id"]) & (tagged["_t"] == kept["_tag"]), "left_semi")
-    if not kept.filter("_n > 1").isEmpty():
-        out = out.dropDuplicates(["doc_id", "_t"])
-    return out.select(*docs.columns)
+    tagged = docs.withColumns({mine: F.xxhash64(F.col("text").cast("string")), other: F.col("doc_id").cast("long")})
+    out = tagged.join(kept, F.col(other).eqNullSafe(F.col(of)) & (F.col(mine) == F.col(own)), "left_semi")
+    if not kept.filter(F.col(times) > 1).isEmpty():
+        out = out.dropDuplicates([other, mine])
+    return out.select(*(named(c) for c in docs.columns))

@@ -23,13 +23,18 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, StructField, StructType
 
 from tarn.llm import flat
-from tarn.llm.common import Scratch
+from tarn.llm.common import Scratch, named, unused
 
 ABSTAIN, CLEAN, JUNK = 0, 1, 2
 DIMENSIONS = 2048
 SAMPLE_ROWS = 4000
+#: A labeller's share of junk votes among its votes on clean texts, at most.
+FALSE_ALARMS = 0.05
+#: Rows' worth of weight from which a kind counts as much as the other in training.
+LEAST_ROWS = 5.0
 #: A text is rejected when the scorer's probability of junk exceeds this.
 REJECT_ABOVE = 0.6
 
@@ -120,16 +125,22 @@ class Weak(NamedTuple):
 
 
 def expectation_maximisation(v: np.ndarray, n: np.ndarray, rounds: int = 100) -> Weak:
-    """How labellers vote on clean and junk texts, from vote patterns and how often each occurs."""
+    """How labellers vote on clean and junk texts, from vote patterns and how often each occurs.
+
+    A labeller is taken to be better than chance: at most FALSE_ALARMS of its votes on clean texts say junk, and
+    as many more of those on junk.  Without that, and with most texts junk, the two kinds would settle on two
+    sorts of junk.  The share of junk is free.
+    """
     table = np.tile(np.array([[1, 0.97, 0.03], [1, 0.6, 0.4]]), (v.shape[1], 1, 1))
-    prior, onehot = 0.2, np.stack([v == k for k in range(3)], axis=2).astype(float)
+    prior, onehot = 0.5, np.stack([v == k for k in range(3)], axis=2).astype(float)
     for _ in range(rounds):
         junk = posterior(Weak(prior, table), v)
         new = []
-        for weight in (n * (1 - junk), n * junk):
+        for weight, low, high in ((n * (1 - junk), 0.0, FALSE_ALARMS), (n * junk, 2 * FALSE_ALARMS, 1.0)):
             counts = np.einsum("p,plk->lk", weight, onehot)[:, 1:] + 0.5
-            new.append(np.concatenate([np.ones((len(counts), 1)), counts / counts.sum(axis=1, keepdims=True)], axis=1))
-        table, prior = np.stack(new, axis=1), float(np.clip((n * junk).sum() / n.sum(), 1e-4, 0.5))
+            says = np.clip(counts[:, 1] / counts.sum(axis=1), max(low, 1e-4), min(high, 1 - 1e-4))
+            new.append(np.stack([np.ones(len(says)), 1 - says, says], axis=1))
+        table, prior = np.stack(new, axis=1), float(np.clip((n * junk).sum() / n.sum(), 1e-4, 1 - 1e-4))
     return Weak(prior, table)
 
 
@@ -169,12 +180,12 @@ def features(data: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 
 def train(x: np.ndarray, y: np.ndarray, rounds: int = 400, step: float = 8.0, decay: float = 1e-5) -> tuple[np.ndarray, float]:
-    """Logistic regression on soft labels, each kind weighing the same, by gradient steps with momentum."""
-    weight = y / max(y.sum(), 1e-9) + (1 - y) / max((1 - y).sum(), 1e-9)
+    """Logistic regression on soft labels, by gradient steps with momentum; each kind weighs the same, unless there is next to nothing of it."""
+    weight = y / max(y.sum(), LEAST_ROWS) + (1 - y) / max((1 - y).sum(), LEAST_ROWS)
     w, b = np.zeros(x.shape[1], np.float32), 0.0
     vw, vb = np.zeros_like(w), 0.0
     for _ in range(rounds):
-        p = 1 / (1 + np.exp(-(x @ w + b)))
+        p = 1 / (1 + np.exp(-np.clip(x @ w + b, -60, 60)))
         g = ((p - y) * weight).astype(np.float32)
         vw = 0.9 * vw - step * (x.T @ g + decay * w)
         vb = 0.9 * vb - step * float(g.sum())
@@ -228,12 +239,14 @@ def fit(spark: SparkSession, docs: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
     return Model(weak, *train(x, y))
 
 
-def judge(docs: DataFrame, model: Model | None, reject_above: float = REJECT_ABOVE, columns: list[str] | None = None) -> DataFrame:
+def judge(docs: DataFrame, model: Model | None, reject_above: float = REJECT_ABOVE, verdict: str | None = None) -> DataFrame:
     """doc_id, quality (probability of clean), weak_junk (the labellers' posterior), kept.
 
-    columns: these columns of docs instead of doc_id, and only `kept` added, for filtering.
+    verdict: all columns of docs instead, and one of that name that says whether the row is kept.
     """
-    rows = docs.select(*columns) if columns else docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    # mapInArrow resolves columns by name, dots and all, so they get plain ones for it
+    plain = ["text" if c == "text" else f"c{k}" for k, c in enumerate(docs.columns)]
+    rows = docs.toDF(*plain) if verdict else docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -246,18 +259,17 @@ def judge(docs: DataFrame, model: Model | None, reject_above: float = REJECT_ABO
                     clean = np.where(some, 1 / (1 + np.exp(np.clip(score, -60, 60))), 0.0)
                     weak = np.where(some, posterior(model.weak, votes(s)), 1.0)
                 kept = pa.array(some & (1 - clean <= reject_above))
-                if columns:
-                    yield pa.RecordBatch.from_arrays([*part.columns, kept], names=[*part.schema.names, "_kept"])
+                if verdict:
+                    yield pa.RecordBatch.from_arrays([*part.columns, kept], names=[*part.schema.names, "verdict"])
                 else:
                     yield pa.RecordBatch.from_arrays([part.column(0), pa.array(clean.astype(np.float64)), pa.array(weak), kept], names=["doc_id", "quality", "weak_junk", "kept"])
 
-    if not columns:
+    if not verdict:
         return rows.mapInArrow(work, "doc_id long, quality double, weak_junk double, kept boolean")
-    from pyspark.sql.types import BooleanType, StructField, StructType
-
-    return rows.mapInArrow(work, StructType([*rows.schema.fields, StructField("_kept", BooleanType())])).filter("_kept").drop("_kept")
+    return rows.mapInArrow(work, StructType([*rows.schema.fields, StructField("verdict", BooleanType())])).toDF(*docs.columns, verdict)
 
 
 def keep_good(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """The documents that the classifier keeps, with all their columns."""
-    return judge(docs, fit(spark, docs), columns=docs.columns)
+    (verdict,) = unused(docs, "verdict")
+    return judge(docs, fit(spark, docs), verdict=verdict).filter(named(verdict)).drop(verdict)
