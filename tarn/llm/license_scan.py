@@ -50,7 +50,7 @@ def detections(text: str, rules: list[Rule]) -> list[tuple[int, int, Rule]]:
     """Places (start, end, rule) in text, already lower-cased, that no earlier place contains."""
     line, places, added = folded(text)
     found = [(m.start(), m.end(), rule) for rule in rules for m in rule.pattern.finditer(line)]
-    found.sort(key=lambda x: (x[2].rank // 100, x[0] - x[1], x[2].rank, x[0]))
+    found.sort(key=lambda x: (x[2].rank // 1000, x[0] - x[1], x[2].rank, x[0]))
     kept: list[tuple[int, int, Rule]] = []
     cover: list[tuple[int, int]] = []  # kept places that no other contains: starts and ends both ascend
     for start, end, rule in found:
