@@ -74,13 +74,77 @@ def test_exact(spark, docs, empty):
     assert exact_dedup.exact_report(spark, empty).count() == 0
 
 
-def test_exact_index_persists(spark):
-    index = exact_dedup.DigestIndex(spark, "digests_of_a_test", buckets=2)
+def test_exact_index_persists(spark, tmp_path):
+    index = exact_dedup.DigestIndex(spark, "digests_of_a_test", f"file://{tmp_path}/index", buckets=2)
     one, two = (spark.createDataFrame(x, "doc_id long, text string") for x in ([(1, "a"), (2, "b")], [(7, "b"), (8, "c"), (9, "c")]))
     assert rows(exact_dedup.exact_report(spark, one, index).filter("kept"), "doc_id") == [(1,), (2,)]
     assert rows(exact_dedup.exact_report(spark, two, index), "doc_id", "keep_id", "kept") == [(7, 2, False), (8, 9, False), (9, 9, True)]
     assert index.read().count() == 3
-    spark.sql("DROP TABLE digests_of_a_test")
+    # a batch sent again finds its own entries
+    assert rows(exact_dedup.exact_report(spark, two.repartition(3), index), "doc_id", "keep_id", "kept") == [(7, 2, False), (8, 9, False), (9, 9, True)]
+    assert rows(exact_dedup.deduplicate(spark, two, index), "doc_id") == [(9,)] and index.read().count() == 3
+    # under another name the same texts are known
+    assert exact_dedup.exact_report(spark, two, index, "again").filter("kept").count() == 0
+    index.drop()
+    # another session: no such table, another number of shuffle partitions
+    spark.conf.set("spark.sql.shuffle.partitions", "3")
+    try:
+        later = exact_dedup.DigestIndex(spark, "digests_of_another_test", f"file://{tmp_path}/index", buckets=7)
+        assert later.buckets == 2
+        three = spark.createDataFrame([(20, "c"), (21, "d")], "doc_id long, text string")
+        assert rows(exact_dedup.exact_report(spark, three, later), "doc_id", "keep_id", "kept") == [(20, 9, False), (21, 21, True)]
+        groups = spark.createDataFrame([(b"x", 1)], "digest binary, keep_id long")
+        plan = groups.repartition(2, "digest").join(later.read().hint("merge"), "digest", "left_anti")._jdf.queryExecution().toString()
+        assert "SortMergeJoin" in plan and "LeftAnti" in plan and "Bucketed: true" in plan
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+        spark.sql("DROP TABLE IF EXISTS digests_of_another_test")
+
+
+def test_exact_leaves_no_table(spark, docs):
+    before = spark.catalog.listTables()
+    exact_dedup.exact_report(spark, docs).count()
+    assert spark.catalog.listTables() == before
+
+
+def test_scratch_is_released(spark, docs):
+    from tarn.llm import common
+
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    exists = lambda path: (at := jvm.org.apache.hadoop.fs.Path(path)).getFileSystem(conf).exists(at)
+    with common.released():
+        scratch = common.Scratch(spark, "of-a-test")
+        assert scratch.keep(docs, "t").count() == docs.count() and exists(scratch.path)
+        with common.released():
+            inner = common.Scratch(spark, "inner")
+            inner.keep(docs, "t")
+        assert not exists(inner.path) and exists(scratch.path)
+    assert not exists(scratch.path)
+
+
+def test_hot_keys_and_components(spark):
+    from tarn.llm import common, components
+
+    data = spark.createDataFrame([(k % 3 if k < 3000 else k, k) for k in range(4000)], "key int, v int")
+    groups = data.groupBy("key").agg(F.count("*").alias("n"))
+    got = common.join_hot(data, groups, ["key"], "n", 4000)
+    assert rows(got.select("key", "v", "n"), "key", "v", "n") == rows(data.join(groups, "key"), "key", "v", "n")
+    size = common.input_bytes(spark.createDataFrame([("abc",), (None,)], "text string"))
+    assert size > 0
+    rng = random.Random(2)
+    edges = [(i, i + 1) for i in range(60)] + [(100, 100 + i) for i in range(1, 80)] + [(rng.randrange(200, 300), rng.randrange(200, 300)) for _ in range(70)]
+    root = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for a, b in edges:
+        a, b = find(a), find(b)
+        root[max(a, b)] = min(a, b)
+    found = components.components(common.Scratch(spark, "cc-test"), spark.createDataFrame(edges, "a long, b long"))
+    assert {r.node: r.root for r in found.collect()} == {x: find(x) for x in root}
 
 
 def test_sharding(spark, docs, empty):
@@ -178,12 +242,30 @@ def test_license_rules_and_suppression():
     def labels(text):
         return [(r.label, text[a:b]) for a, b, r in license_scan.detections(text, license_scan.RULES)]
 
-    assert len(license_scan.RULES) > 300
+    assert len(license_scan.RULES) > 300 and len({r.pattern.pattern for r in license_scan.RULES}) == len(license_scan.RULES)
     assert labels("licensed under the apache license, version 2.0.")[0][0] == "apache"
     assert {x for x, _ in labels("spdx-license-identifier: bsd-3-clause")} == {"bsd"}
     nested = "you can redistribute it and/or modify it under the terms of the gnu general public license"
     assert [x for x, _ in labels(nested)] == ["gpl"]
     assert labels("nothing to see") == []
+    # what the licences say in other places than their first sentence
+    for text, label in (("the origin of this software must not be misrepresented; you must not", "zlib"), ("redistributions of source code must retain the above copyright notice, this list of conditions", "bsd"), ("gnu lesser general public license", "lgpl"), ("creative commons attribution-sharealike 4.0 international license", "cc-by-sa")):
+        assert labels(text)[0][0] == label and {x for x, _ in labels(text)} == {label}
+
+
+def test_license_suppression_is_that_of_all_pairs():
+    rng = random.Random(4)
+    made = [t for _, t in generated()]
+    for _ in range(150):
+        text = " ".join(rng.choices(made, k=3))
+        line, places, added = license_scan.folded(text)
+        found = [(m.start(), m.end(), rule) for rule in license_scan.RULES for m in rule.pattern.finditer(line)]
+        order = lambda x: (x[2].rank // 1000, x[0] - x[1], x[2].rank, x[0])
+        kept = []
+        for x in sorted(found, key=order):
+            if not any(y[0] <= x[0] and x[1] <= y[1] for y in kept):
+                kept.append(x)
+        assert [(line[a:b], r) for a, b, r in kept] == [(license_scan.folded(text[a:b])[0], r) for a, b, r in license_scan.detections(text, license_scan.RULES)]
 
 
 def matches(pattern, rng):
@@ -198,6 +280,8 @@ def matches(pattern, rng):
             out += "s" if str(kind) == "NEGATE" or str(kind) == "CATEGORY" and "WORD" in str(value) else "3" if str(kind) == "CATEGORY" else chr(value[0] if str(kind) == "RANGE" else value)
             if str(arg[0][0]) == "NEGATE":
                 out = out[:-1] + "s"
+        elif name == "NOT_LITERAL":
+            out += "s"
         elif name == "BRANCH":
             out += matches(rng.choice(arg[1]), rng)
         elif name == "SUBPATTERN":
@@ -229,7 +313,7 @@ def test_license_gate_loses_nothing(spark):
 
 def test_license_wrapped(spark):
     plain = [(rule, t) for rule, t in generated() if " " in t and "\n" not in t and "  " not in t and " -" not in t and rule.pattern.fullmatch(t)]
-    assert {r.label for r, _ in plain} >= {r.label for r in license_scan.RULES if r.rank <= 2}
+    assert {r.pattern.pattern for r, _ in plain} >= {r.pattern.pattern for r in license_scan.RULES if r.rank < 1000 and " -" not in r.pattern.pattern}
     for rule, t in plain:
         for mark in ("\n", "\r\n", "\n * ", "\n# ", "\n    // ", "  ", " *\n * ", "\n#\n# ", "\n;; ", "\t"):
             line = f"x {t} y"
@@ -391,6 +475,30 @@ def test_related_documents_are_dealt_together(spark):
     dealing.CHUNK = old
 
 
+def test_expectation_maximisation_by_rows():
+    rng = random.Random(3)
+    v = np.array([[rng.choice([0, 0, 1, 1, 1, 2]) for _ in range(4)] for _ in range(120)])
+    kinds, n = np.unique(v, axis=0, return_counts=True)
+    got = quality.expectation_maximisation(kinds, n.astype(float), rounds=7)
+    prior, says = 0.5, [[0.03] * 4, [0.4] * 4]
+    for _ in range(7):
+        p = []
+        for row in v:
+            like = [1 - prior, prior]
+            for k in (0, 1):
+                for lab, vote in enumerate(row):
+                    like[k] *= {0: 1, 1: 1 - says[k][lab], 2: says[k][lab]}[int(vote)]
+            p.append(like[1] / sum(like))
+        new = [[], []]
+        for k, (low, high) in enumerate(((0.0001, 0.05), (0.1, 0.9999))):
+            for lab in range(4):
+                weight = [x if k else 1 - x for x in p]
+                junk, clean = (sum(w for w, row in zip(weight, v, strict=True) if row[lab] == vote) + 0.5 for vote in (2, 1))
+                new[k].append(min(max(junk / (junk + clean), low), high))
+        says, prior = new, sum(p) / len(p)
+    assert abs(got.prior - prior) < 1e-9 and np.allclose(got.table[:, :, 2].T, says)
+
+
 def test_quality(spark, docs, empty):
     rng = random.Random(1)
     common, long = ["the", "of", "and", "a", "to", "in"], [f"{a}{b}{c}" for a in ("con", "tra", "per") for b in ("ven", "duc", "mit") for c in ("tion", "able", "ing")]
@@ -405,4 +513,22 @@ def test_quality(spark, docs, empty):
     kept = quality.keep_good(spark, table_)
     assert kept.columns == table_.columns and kept.count() == sum(r.kept for r in got.values())
     assert quality.judge(docs, quality.fit(spark, docs)).count() == len(table())
+    texts = [t for _, t, _ in data]
+    for share in (0.05, 0.2, 0.6, 0.8, 0.95):
+        made = [(rng.choice(bad)(rng.randrange(2, 20)), 0) if rng.random() < share else (good(rng.randrange(1, 20)), 1) for _ in range(800)]
+        data_, at = flat.buffers(pa.array([t for t, _ in made]))
+        v = quality.votes(quality.statistics(data_, at))
+        kinds, n = np.unique(quality.pattern(v), return_counts=True)
+        weak = quality.expectation_maximisation(quality.unpattern(kinds), n.astype(float))
+        x, clean = quality.features(data_, at), np.array([k for _, k in made], bool)
+        w, b = quality.train(x, quality.posterior(weak, v))
+        kept = 1 / (1 + np.exp(-np.clip(x @ w + b, -60, 60))) <= quality.REJECT_ABOVE
+        assert abs(weak.prior - share) < 0.1 and (kept & ~clean).sum() <= 0.05 * (~clean).sum() and (~kept & clean).sum() <= max(3, 0.05 * clean.sum())
+    # nothing but clean texts: all stay
+    data_, at = flat.buffers(pa.array([t for t, (_, _, k) in zip(texts, data, strict=True) if k]))
+    v = quality.votes(quality.statistics(data_, at))
+    kinds, n = np.unique(quality.pattern(v), return_counts=True)
+    weak = quality.expectation_maximisation(quality.unpattern(kinds), n.astype(float))
+    w, b = quality.train(x := quality.features(data_, at), quality.posterior(weak, v))
+    assert (1 / (1 + np.exp(-(x @ w + b))) <= quality.REJECT_ABOVE).mean() > 0.99
     assert quality.judge(docs, quality.fit(spark, empty)).filter("kept").count() == 0 and quality.judge(empty, model).count() == 0

@@ -3,6 +3,8 @@
 import collections
 import random
 
+import pytest
+
 import corpus_pipeline
 from tarn.llm import mixing, near_dedup, quality
 
@@ -49,6 +51,31 @@ def test_stages(spark, tmp_path):
     assert [f.__module__ for f in (quality.keep_good, near_dedup.one_per_group, mixing.apply_mix)] == ["tarn.llm.quality", "tarn.llm.near_dedup", "tarn.llm.mixing"]
 
 
+HELPERS = "of own times every mine other place copy verdict digest keep_id group_size kept tag cls crc _id _digest _n _t _all _kept _crc _crc2 _copy _k rank size h skey part shard k a.b `tick`".split()
+
+
+@pytest.mark.parametrize("name,stage", corpus_pipeline.STAGES[:4])
+def test_stages_leave_columns_alone(spark, tmp_path, name, stage):
+    """Columns named as the operators' own, null and repeated ids, and no rows at all."""
+    data = corpus()[:60] + corpus()[:2] + [(None, corpus()[5][1], None, None, 1), (None, corpus()[7][1] + " And so on.", "en", "src1", 1), (7, "a text of a repeated id that the rest of us know. " * 3, "en", "src1", 1)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{c.replace('`', '``')}` string" for c in HELPERS)
+    marked = [(*row, *(f"{c}{k}" for c in HELPERS)) for k, row in enumerate(data)]
+    docs = spark.createDataFrame(marked, schema)
+    out = stage(spark, docs, str(tmp_path))
+    assert out.columns == docs.columns and out.schema == docs.schema
+    by = {row[5]: row for row in marked}
+    got = [tuple(r) for r in out.collect()]
+    assert got and all(by[r[5]] == r for r in got)
+    assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0
+
+
+def test_packing_stage_on_odd_tables(spark, tmp_path):
+    pack = corpus_pipeline.STAGES[4][1]
+    docs = spark.createDataFrame([(1, "a b", "x"), (1, "a b", "y"), (None, None, "z"), (None, None, "z")], "doc_id long, text string, shard string")
+    assert pack(spark, docs, str(tmp_path)).groupBy("doc_id").sum("length").count() == 2
+    assert pack(spark, docs.limit(0), str(tmp_path)).count() == 0
+
+
 def test_run(spark, tmp_path):
     spark.createDataFrame(corpus()[:40], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     out = corpus_pipeline.run(spark, str(tmp_path))
