@@ -3,10 +3,12 @@
 A text becomes a vector of hashed byte n-grams (1 to 3 bytes; A-Z folded, other ASCII that is no letter
 counts as one space), weighted by tf-idf and of length one.  The training vectors of a language are grouped
 by spherical k-means into a few centroids; a text gets the language of the centroid with the highest cosine.
-A text that is farther from its centroid than nearly all training texts were is marked as rejected.
+A text that is farther from its language's centroids than nearly all texts of that language are is marked as
+rejected; how far that is comes from texts that the centroids were not fitted on, in FOLDS turns.
 
 Fitting reads a bounded sample: at most SAMPLE_ROWS labelled rows, the same number per language at most,
-those first in seeded hash order.  Prediction reads every text whole, in one pass without a shuffle.
+those first in seeded hash order.  A threshold on the hash, from counts per language, cuts the rows to about
+twice that before anything is ordered.  Prediction reads every text whole, in one pass without a shuffle.
 
 Defined results: `und` with score 0 for a text that is null or has no letter, and for all texts if nothing
 was learned; ties go to the alphabetically first language; a null doc_id is never trained on and not held
@@ -32,8 +34,9 @@ SAMPLE_ROWS = 2400
 ROWS_PER_LANGUAGE = 400
 CENTROIDS = 4
 ROUNDS = 12
-#: Share of a centroid's training texts that may lie beyond its rejection distance.
+#: Share of a language's texts that may lie beyond its rejection distance.
 REJECTED_SHARE = 0.005
+FOLDS = 4
 
 _LETTER = regex.compile(r"\p{L}")
 _ASCII_LETTER = np.zeros(256, bool)
@@ -48,7 +51,7 @@ class Model(NamedTuple):
     idf: np.ndarray
     centroids: np.ndarray
     language: np.ndarray  # of each centroid
-    least: np.ndarray  # cosine below which each centroid rejects
+    least: np.ndarray  # cosine below which each centroid rejects, the same for those of a language
 
 
 def ngram_counts(data: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -99,41 +102,69 @@ def is_held_out(doc_id):
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
+def weights(counts: np.ndarray) -> np.ndarray:
+    """Inverse document frequencies of the n-grams."""
+    return (np.log((1 + len(counts)) / (1 + (counts > 0).sum(axis=0))) + 1).astype(np.float32)
+
+
+def rejection(counts: np.ndarray, labels: np.ndarray) -> dict[str, float]:
+    """For each language the cosine that all but REJECTED_SHARE of its texts reach with a model fitted on other texts."""
+    fold, near = np.arange(len(labels)) % FOLDS, np.full(len(labels), np.nan)
+    for k in range(FOLDS):
+        rest = fold != k
+        if not rest.any():
+            continue
+        idf = weights(counts[rest])
+        for lang in set(labels[rest]):
+            own = (fold == k) & (labels == lang)
+            if own.any():
+                c, _ = spherical_kmeans(vectors(counts[rest & (labels == lang)], idf), CENTROIDS)
+                near[own] = (vectors(counts[own], idf) @ c.T).max(axis=1)
+    out = {}
+    for lang in set(labels):
+        seen = near[(labels == lang) & ~np.isnan(near)]
+        out[lang] = float(np.quantile(seen, REJECTED_SHARE)) if len(seen) else 0.0
+    return out
+
+
 def fit(spark: SparkSession, docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model | None:
     """Learn from text and lang of rows that are not held out."""
     doc_id, lang = F.col("doc_id").cast("long"), column_or_null(docs, "lang", "string")
-    usable = docs.filter(doc_id.isNotNull() & lang.isNotNull() & F.col("text").isNotNull() & ~is_held_out(doc_id)).select(
-        doc_id.alias("doc_id"), lang.alias("lang"), F.col("text").cast("string").alias("text")
+    usable = docs.select(doc_id.alias("doc_id"), lang.alias("lang"), F.col("text").cast("string").alias("text")).filter(
+        F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & ~is_held_out(F.col("doc_id"))
     )
-    languages = usable.select("lang").distinct().count()
-    if not languages:
+    # ids and languages alone, no texts: how many rows a language has says which hashes are low enough
+    have = {r.lang: r.n for r in usable.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    if not have:
         return None
-    each = max(1, min(ROWS_PER_LANGUAGE, sample_rows // languages))
-    order = Window.partitionBy("lang").orderBy(F.xxhash64(F.lit(7), "doc_id"), "doc_id")
-    chosen = usable.select("doc_id", "lang").withColumn("k", F.row_number().over(order)).filter(F.col("k") <= each).drop("k").distinct()
+    each = max(1, min(ROWS_PER_LANGUAGE, sample_rows // len(have)))
+    below = spark.createDataFrame([(k, min(1.0, (2 * each + 50) / n)) for k, n in have.items()], "lang string, share double")
+    hashed = F.xxhash64(F.lit(7), "doc_id")
+    low = usable.select("doc_id", "lang").join(F.broadcast(below), "lang").filter(F.pmod(hashed, F.lit(1 << 40)) < F.col("share") * (1 << 40))  # below: a row per language
+    order = Window.partitionBy("lang").orderBy(hashed, "doc_id")
+    chosen = low.select("doc_id", "lang").distinct().withColumn("k", F.row_number().over(order)).filter(F.col("k") <= each).drop("k")
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, data, at in flat.slices(batch):
                 rows = [x.tobytes() for x in ngram_counts(data, at)]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(rows, pa.binary())], names=["lang", "counts"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(rows, pa.binary())], names=["doc_id", "lang", "counts"])
 
-    picked = usable.join(F.broadcast(chosen), ["doc_id", "lang"]).select("lang", "text").mapInArrow(count, "lang string, counts binary")
-    rows = sorted((r.lang, bytes(r.counts)) for r in picked.collect())
-    labels = np.array([r[0] for r in rows])
-    counts = np.frombuffer(b"".join(r[1] for r in rows), np.float32).reshape(len(rows), DIMENSIONS)
-    idf = (np.log((1 + len(rows)) / (1 + (counts > 0).sum(axis=0))) + 1).astype(np.float32)
+    picked = usable.join(F.broadcast(chosen), ["doc_id", "lang"]).filter("text is not null").select("doc_id", "lang", "text")  # chosen: the sample's ids
+    picked = picked.mapInArrow(count, "doc_id long, lang string, counts binary").groupBy("doc_id", "lang").agg(F.min("counts").alias("counts"))
+    rows = sorted((r.lang, r.doc_id, bytes(r.counts)) for r in picked.collect())
+    if not rows:
+        return None
+    labels = np.array([r[0] for r in rows], object)
+    counts = np.frombuffer(b"".join(r[2] for r in rows), np.float32).reshape(len(rows), DIMENSIONS)
+    idf, far = weights(counts), rejection(counts, labels)
     x = vectors(counts, idf)
-    centroids, language, least = [], [], []
+    centroids, language = [], []
     for lang in sorted(set(labels)):
-        own = x[labels == lang]
-        c, at = spherical_kmeans(own, CENTROIDS)
-        near = (own * c[at]).sum(axis=1)
-        for j in range(len(c)):
-            centroids.append(c[j])
-            language.append(lang)
-            least.append(float(np.quantile(near[at == j], REJECTED_SHARE)) if (at == j).any() else 0.0)
-    return Model(idf, np.stack(centroids).astype(np.float32), np.array(language, object), np.array(least))
+        c, _ = spherical_kmeans(x[labels == lang], CENTROIDS)
+        centroids.extend(c)
+        language.extend([lang] * len(c))
+    return Model(idf, np.stack(centroids).astype(np.float32), np.array(language, object), np.array([far[k] for k in language]))
 
 
 def predict(docs: DataFrame, model: Model | None) -> DataFrame:
