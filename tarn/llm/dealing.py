@@ -1,10 +1,13 @@
 """Dealing documents to shards by what they are about, so that related ones meet.
 
 A bounded sample gives document frequencies of hashed words and, by subspace iteration, the main directions of its
-tf-idf vectors.  Every document becomes a point in these directions.  A second sample, a fixed number of points per
-shard, is split again and again, at a weighted quantile of its main direction, into as many parts of equal bytes as
-there are shards: so shards grow in number with the input while related documents stay together.  A last small
-coordinate comes from a hash and alone tells copies apart, so that a group larger than a shard is split evenly.
+tf-idf vectors.  Every document becomes a point in these directions.  A second sample is split again and again, at a
+weighted quantile of its main direction, into REGIONS parts of equal bytes, or as many as there are shards.  A region
+that stands for several shards is cut across its main direction, at quantiles that its sample gives and evenly between
+them.  So shards grow in number with the input, related documents stay together, and neither the samples nor what the
+driver sends out grows.  A last small coordinate comes from a hash and alone tells copies apart, so that a group larger
+than a shard is split evenly.  Rows that agree in id and text too have nothing to tell them apart; those that a task
+meets several times go to shards by a hash of how many it has met, so that any number of them spreads over all shards.
 """
 
 from __future__ import annotations
@@ -13,6 +16,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,21 +26,29 @@ FEATURES = 1 << 13
 RANK = 48
 #: Documents that the directions are fitted on, at most about.
 FIT_ROWS = 3000
-#: Points of the second sample per shard.
-SHARD_POINTS = 16
+#: Points of the second sample per shard, until there are REGIONS shards.
+SHARD_POINTS = 32
+REGIONS = 1024
+#: Points between two quantiles of a region.
+QUANTILE_POINTS = 4
 NOISE = 1e-3
 CHUNK = 1 << 17
 
 
 class Tree(NamedTuple):
-    """Node k sends a point to left[k] if its product with direction[k] is below cut[k]; a leaf -s - 1 is shard s."""
+    """Node k sends a point to left[k] if its product with direction[k] is below cut[k]; a leaf -s - 1 is region s.
+
+    Region s is cut along across[s]: between marks[s][q] and marks[s][q + 1] lies the same share for all q.
+    """
 
     direction: np.ndarray
     cut: np.ndarray
     left: np.ndarray
     right: np.ndarray
+    across: np.ndarray
+    marks: list[np.ndarray]
 
-    def shard(self, points: np.ndarray) -> np.ndarray:
+    def region(self, points: np.ndarray) -> np.ndarray:
         node = np.zeros(len(points), np.int64) if len(self.cut) else np.full(len(points), -1, np.int64)
         moving = np.flatnonzero(node >= 0)
         while len(moving):
@@ -46,6 +58,18 @@ class Tree(NamedTuple):
             moving = moving[node[moving] >= 0]
         return -node - 1
 
+    def shard(self, points: np.ndarray, parts: int) -> np.ndarray:
+        """Region by region, each cut into `parts` shards."""
+        region = self.region(points)
+        if parts == 1:
+            return region
+        place = np.einsum("ij,ij->i", points.astype(np.float64), self.across[region])
+        share = np.zeros(len(points))
+        for s in np.unique(region):
+            own, marks = region == s, self.marks[s]
+            share[own] = np.interp(place[own], marks, np.linspace(0, 1, len(marks)))
+        return region * parts + np.minimum((share * parts).astype(np.int64), parts - 1)
+
 
 def buckets(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Features of all words, and each document's first."""
@@ -83,29 +107,46 @@ def points(data: np.ndarray, at: np.ndarray, tags: np.ndarray, basis: np.ndarray
     return out
 
 
-def tree(sample: np.ndarray, weight: np.ndarray, shards: int) -> Tree:
-    """Splits of the sample into shards of about equal weight."""
-    direction, cut, left, right, shard = [], [], [], [], 0
-    todo = [(np.arange(len(sample)), shards, None, None)]
+def main_direction(x: np.ndarray) -> np.ndarray | None:
+    """The unit vector along which the points lie farthest apart; None where they are one point."""
+    if not len(x):
+        return None
+    middle = x.mean(axis=0)
+    values, vectors = np.linalg.eigh((x - middle).T @ (x - middle))
+    if values[-1] <= 1e-12 * len(x):
+        return None
+    return vectors[:, -1] * (1 if vectors[np.argmax(np.abs(vectors[:, -1])), -1] > 0 else -1)
+
+
+def tree(sample: np.ndarray, weight: np.ndarray, regions: int) -> Tree:
+    """Splits of the sample into regions of about equal weight, and their quantiles."""
+    direction, cut, left, right, region = [], [], [], [], 0
+    hashed = np.eye(sample.shape[1])[-1]
+    across, marks = [], []
+    todo = [(np.arange(len(sample)), regions, None, None)]
     while todo:
         rows, parts, parent, side = todo.pop()
+        x = sample[rows].astype(np.float64)
+        best = main_direction(x)
         if parts == 1:
-            at = -shard - 1
-            shard += 1
+            at = -region - 1
+            region += 1
+            across.append(hashed if best is None else best)
+            if best is None:  # a single point or none: the hash decides
+                marks.append(np.array([0.0, NOISE]))
+            else:
+                line = np.sort(x @ best)
+                marks.append(np.quantile(line, np.linspace(0, 1, max(2, len(line) // QUANTILE_POINTS + 1))))
         else:
             at = len(cut)
-            x = sample[rows].astype(np.float64)
-            middle = x.mean(axis=0) if len(rows) else np.zeros(sample.shape[1])
-            values, vectors = np.linalg.eigh((x - middle).T @ (x - middle))
-            best = vectors[:, -1] * (1 if vectors[np.argmax(np.abs(vectors[:, -1])), -1] > 0 else -1)
-            if len(rows) and values[-1] > 1e-12 * len(rows):
+            if best is not None:
                 place = x @ best
                 order = np.argsort(place, kind="stable")
                 half = np.searchsorted(np.cumsum(weight[rows][order]), weight[rows].sum() * (parts // 2) / parts)
                 half = min(max(1, int(half)), len(rows) - 1)
                 middle_cut = (place[order[half - 1]] + place[order[half]]) / 2
-            else:  # a single point or none: the hash decides
-                best, order, half = np.eye(sample.shape[1])[-1], np.arange(len(rows)), 0
+            else:
+                best, order, half = hashed, np.arange(len(rows)), 0
                 middle_cut = NOISE * (parts // 2) / parts
             direction.append(best.astype(np.float32))
             cut.append(middle_cut)
@@ -116,17 +157,19 @@ def tree(sample: np.ndarray, weight: np.ndarray, shards: int) -> Tree:
         if side is not None:
             side[parent] = at
     empty = np.zeros((0, sample.shape[1]), np.float32)
-    return Tree(np.array(direction) if direction else empty, np.array(cut), np.array(left, np.int64), np.array(right, np.int64))
+    return Tree(np.array(direction) if direction else empty, np.array(cut), np.array(left, np.int64), np.array(right, np.int64), np.array(across), marks)
 
 
-def fit(rows: DataFrame, shards: int, tag: Column) -> tuple[np.ndarray, Tree]:
+def fit(rows: DataFrame, regions: int, tag: Column) -> tuple[np.ndarray, Tree]:
     """Directions and tree for rows(doc_id, text, tag); `tag` is a number that differs between rows, its hash samples."""
     n = rows.count()
     pick = F.xxhash64(F.lit("sample"), tag)
 
     def sample(wanted: int) -> DataFrame:
         share = min(1.0, wanted / max(1, n))
-        return rows.filter(F.pmod(pick, F.lit(1 << 30)) < int(share * (1 << 30))) if share < 1 else rows
+        # rows that agree in everything are one point of the sample, however many there are
+        few = rows.filter(F.pmod(pick, F.lit(1 << 40)) < int(share * (1 << 40))) if share < 1 else rows
+        return few.select("text", tag.alias("k")).groupBy("k").agg(F.first("text").alias("text"))
 
     def count(batches):
         for batch in batches:
@@ -137,7 +180,7 @@ def fit(rows: DataFrame, shards: int, tag: Column) -> tuple[np.ndarray, Tree]:
                 yield pa.RecordBatch.from_arrays([part.column(part.schema.get_field_index("k")), *columns], names=["k", "feature", "count"])
 
     # only the hash decides, so that the sample is the same on any partitioning
-    first = sample(FIT_ROWS).select("text", tag.alias("k")).mapInArrow(count, "k long, feature binary, count binary").orderBy("k").limit(FIT_ROWS + 500).collect()
+    first = sample(FIT_ROWS).select("text", "k").mapInArrow(count, "k long, feature binary, count binary").orderBy("k").limit(FIT_ROWS + 500).collect()
     basis = directions([(np.frombuffer(bytes(r.feature), np.int32), np.frombuffer(bytes(r["count"]), np.int32)) for r in first])
 
     def project(batches):
@@ -147,26 +190,50 @@ def fit(rows: DataFrame, shards: int, tag: Column) -> tuple[np.ndarray, Tree]:
                 p = points(data, at, tags, basis)
                 yield pa.RecordBatch.from_arrays([pa.array(tags), pa.array(np.diff(at) + 64), pa.array([x.tobytes() for x in p], pa.binary())], names=["k", "size", "point"])
 
-    second = sample(SHARD_POINTS * shards).select("text", tag.alias("k")).mapInArrow(project, "k long, size long, point binary").collect()
+    second = sample(SHARD_POINTS * regions).select("text", "k").mapInArrow(project, "k long, size long, point binary").collect()
     second.sort(key=lambda r: (r.k, r.size))
     spots = np.frombuffer(b"".join(bytes(r.point) for r in second), np.float32).reshape(-1, basis.shape[1] + 1)
-    return basis, tree(spots, np.array([r.size for r in second], np.float64), shards)
+    return basis, tree(spots, np.array([r.size for r in second], np.float64), regions)
+
+
+class Repeats:
+    """Rows of a task whose tag it has met before, or meets again in the same slice, with a hash for each."""
+
+    def __init__(self, task: int):
+        self.task, self.met = np.uint64(task), {}
+
+    def find(self, tags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which rows repeat, and hashes that differ between all of one tag and between tasks."""
+        names, inverse, count = np.unique(tags, return_inverse=True, return_counts=True)
+        before = np.array([self.met.get(t, 0) for t in names.tolist()], np.int64)
+        self.met.update(zip(names.tolist(), (before + count).tolist(), strict=True))
+        order = np.argsort(inverse, kind="stable")
+        turn = np.empty(len(tags), np.int64)
+        turn[order] = np.arange(len(tags)) - np.repeat(np.cumsum(count) - count, count)
+        turn += before[inverse]
+        salt = flat.mix64(turn.view(np.uint64) + (self.task << np.uint64(40)))
+        return ((before > 0) | (count > 1))[inverse], flat.mix64(tags.view(np.uint64) + salt)
 
 
 def deal(rows: DataFrame, shards: int, tag: Column) -> DataFrame:
-    """rows with a column shard, 0 to shards - 1."""
+    """rows with a column shard, below `shards` or the next multiple of REGIONS above it."""
     if shards == 1:
         return rows.withColumn("shard", F.lit(0).cast("long"))
-    basis, splits = fit(rows, shards, tag)
+    regions = min(shards, REGIONS)
+    parts = -(-shards // regions)
+    basis, splits = fit(rows, regions, tag)
     spark = rows.sparkSession
-    shared = spark.sparkContext.broadcast((basis, splits))
+    shared = spark.sparkContext.broadcast((basis, splits))  # at most REGIONS directions and quantiles
 
     def place(batches):
         basis_, splits_ = shared.value
+        repeats = Repeats(TaskContext.get().partitionId())
         for batch in batches:
             for part, data, at in flat.slices(batch):
                 tags = part.column(part.schema.get_field_index("k")).to_numpy(zero_copy_only=False).astype(np.int64)
-                shard = splits_.shard(points(data, at, tags, basis_))
+                shard = splits_.shard(points(data, at, tags, basis_), parts)
+                again, hashed = repeats.find(tags)
+                shard[again] = (hashed[again] % np.uint64(regions * parts)).astype(np.int64)
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(shard, pa.int64())], names=[*part.schema.names[:-1], "shard"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema) + ", shard bigint"

@@ -35,6 +35,8 @@ WINDOW = 2048
 CLOSING_ID = 1
 #: Bytes of compressed input a shard stands for.
 SHARD_BYTES = 4 << 20
+#: Shards that a task packs one after another, about, where there are more than the session's shuffle partitions ask for.
+SHARDS_PER_TASK = 8
 #: Words that more documents of a shard have than this share of them are kept as rows over all its documents.
 COMMON_SHARE = 0.25
 K1, B = 1.5, 0.75
@@ -158,7 +160,7 @@ def pack_documents(spark: SparkSession, docs: DataFrame, vocabulary: str = "byte
         F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(text, F.lit("")).alias("text"), F.xxhash64(text).alias("tag")
     )
     rows = deal(rows, shards, F.xxhash64("doc_id", "tag"))
-    rows = rows.repartition(max(partitions(spark), min(shards, 4096)), "shard").sortWithinPartitions("shard", "doc_id", "tag")
+    rows = rows.repartition(max(partitions(spark), -(-shards // SHARDS_PER_TASK)), "shard").sortWithinPartitions("shard", "doc_id", "tag")
 
     def finish(shard: int, held: list) -> Iterator[pa.RecordBatch]:
         encoder = Encoder.of(vocabulary)
