@@ -5,8 +5,10 @@ hash alone, two gamma and one uniform variable per word, and samples one (word,
 agree in a coordinate with the generalised Jaccard similarity of their bags, sum of minima over sum of
 maxima.  A fingerprint is 128 coordinates of 16 bits, as hexadecimal digits.
 
-Next documents meet without a global sort in one task: rows are dealt into ranges of ids, and the first row
-of each range goes to the range before it as well.  Texts are shuffled once.
+Next documents meet without a global sort in one task: rows are dealt into ranges of ids, and the first rows
+of each range go to the range before it as well.  A range begins at an id that occurs, so its first rows are
+known by their id.  Rows without an id follow in the order of their text's hash, in ranges of that.  The ranges
+come from a sample of ids, which grows with the input by a row for some MB.  Texts are shuffled once.
 
 Defined results: null or blank text has the empty bag, whose fingerprint is all zeros and is like another
 empty one (1) and unlike any other (0); null ids come last; rows that repeat an id follow each other in the
@@ -28,8 +30,8 @@ from tarn.llm import flat
 from tarn.llm.common import input_bytes, partitions
 
 COORDINATES = 128
-#: Bytes of input that a range of ids stands for, and how many ranges there are at most: each has a row on the driver.
-RANGE_BYTES, RANGES = 4 << 20, 20_000
+#: Bytes of input that a range of ids stands for, and how many sampled ids it takes to place its start.
+RANGE_BYTES, RANGE_SAMPLE = 32 << 20, 4
 #: Terms sampled at a time: few enough for the cache, and always so many, so that any machine rounds alike.
 _TERMS_AT_ONCE = 128
 _SEEDS = flat.keyed(COORDINATES, 5)
@@ -97,43 +99,64 @@ def likeness(a: np.ndarray, some_a, b: np.ndarray, some_b) -> np.ndarray:
     return np.where(some_a & some_b, (a == b).mean(axis=-1), (some_a == some_b).astype(float))
 
 
-def _deal(bounds: np.ndarray):
-    @F.pandas_udf("int")
-    def part(ids: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(bounds, ids.to_numpy(np.int64), "right").astype(np.int32))
+class Ranges:
+    """Ranges of (id) and, beyond the last id, of (hash of a text without one): each begins at a key that occurs."""
 
-    return part
+    def __init__(self, ids: np.ndarray, hashes: np.ndarray):
+        self.ids, self.hashes = np.unique(ids), np.unique(hashes)
+
+    def part(self, ids: np.ndarray, null: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The range of each row, and for a range's first rows the range before it, around the end; -1 for others."""
+        total = len(self.ids) + len(self.hashes)
+        part = np.where(null, len(self.ids) + np.searchsorted(self.hashes, hashes, "right"), np.searchsorted(self.ids, ids, "right")) - 1
+        starts = np.concatenate([self.ids, self.hashes])[part]
+        first = starts == np.where(null, hashes, ids)
+        return part.astype(np.int64), np.where(first, (part - 1) % total, -1)
+
+
+def _ranges(spark: SparkSession, docs: DataFrame) -> Ranges | None:
+    ids = docs.select(F.col("doc_id").cast("long").alias("key"))
+    about = ids.agg(F.count("*").alias("n"), F.count("key").alias("named"), F.min("key").alias("least")).first()
+    if not about.n:
+        return None
+    wanted = max(4 * partitions(spark), input_bytes(docs) // RANGE_BYTES)
+
+    share = min(1.0, wanted * RANGE_SAMPLE / about.n)
+
+    def starts(keys: DataFrame, least: int) -> np.ndarray:
+        low = keys.filter(F.pmod(F.xxhash64(F.lit(9), "key"), F.lit(1 << 40)) < int(share * (1 << 40))).distinct()
+        found = np.sort(low.toPandas()["key"].to_numpy(np.int64))
+        return np.append(found[::RANGE_SAMPLE], np.int64(least))
+
+    nameless = np.zeros(0, np.int64)
+    if about.named < about.n:
+        tags = docs.filter(F.col("doc_id").cast("long").isNull()).select(F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("key"))
+        nameless = starts(tags, tags.agg(F.min("key")).first()[0])
+    return Ranges(starts(ids.filter("key is not null"), about.least) if about.named else np.zeros(0, np.int64), nameless)
 
 
 def fingerprints(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"))
-    ranges = min(RANGES, max(4 * partitions(spark), input_bytes(docs) // RANGE_BYTES))
-    bounds = ids.approxQuantile("doc_id", [i / ranges for i in range(1, ranges)], 0.2 / ranges) if ranges > 1 else []
-    bounds = np.unique(np.array(bounds, np.float64).astype(np.int64)) if bounds else np.zeros(0, np.int64)
-    deal = _deal(bounds)
-    part = F.when(F.col("doc_id").isNull(), F.lit(len(bounds))).otherwise(deal(F.coalesce("doc_id", F.lit(0))))
-    keys = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).withColumn("tag", F.xxhash64("text")).withColumn("part", part)
-    firsts = (
-        keys.withColumn("last", F.col("doc_id").isNull())
-        .groupBy("part").agg(F.min(F.struct("last", "doc_id", "tag")).alias("first")).orderBy("part").collect()
-    )
-    if not firsts:
+    ranges = _ranges(spark, docs)
+    if ranges is None:
         schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
         return spark.createDataFrame([], schema)
-    border = [(x.part, x.first.doc_id, x.first.tag, firsts[k - 1].part) for k, x in enumerate(firsts)]
-    border = spark.createDataFrame(border, "b_part int, b_id long, b_tag long, b_to int")  # a row per range, RANGES at most
-    rows = keys.join(
-        F.broadcast(border),
-        (F.col("part") == F.col("b_part")) & F.col("doc_id").eqNullSafe(F.col("b_id")) & (F.col("tag") == F.col("b_tag")),
-        "left",
-    )
-    places = F.when(F.col("b_to").isNull(), F.array(F.struct("part", F.lit(0).alias("border")))).otherwise(
-        F.array(F.struct("part", F.lit(0).alias("border")), F.struct(F.col("b_to").alias("part"), F.lit(1).alias("border")))
-    )
-    rows = rows.withColumn("to", F.explode(places)).select("to.part", "to.border", "doc_id", "text", "tag")
-    rows = rows.repartition(max(partitions(spark), ranges // 4), "part").sortWithinPartitions("part", "border", F.col("doc_id").asc_nulls_last(), "tag")
+    total = len(ranges.ids) + len(ranges.hashes)
+    shared = spark.sparkContext.broadcast(ranges)  # a number per range
+
+    @F.pandas_udf("part long, before long")
+    def place(ids: pd.Series, null: pd.Series, hashes: pd.Series) -> pd.DataFrame:
+        part, before = shared.value.part(ids.to_numpy(np.int64), null.to_numpy(bool), hashes.to_numpy(np.int64))
+        return pd.DataFrame({"part": part, "before": before})
+
+    keys = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).withColumn("tag", F.xxhash64("text"))
+    keys = keys.withColumn("at", place(F.coalesce("doc_id", F.lit(0)), F.col("doc_id").isNull(), "tag"))
+    own = F.struct(F.col("at.part").alias("part"), F.lit(0).alias("border"))
+    other = F.struct(F.col("at.before").alias("part"), F.lit(1).alias("border"))
+    rows = keys.withColumn("to", F.explode(F.when(F.col("at.before") < 0, F.array(own)).otherwise(F.array(own, other))))
+    rows = rows.select("to.part", "to.border", "doc_id", "text", "tag")
+    rows = rows.repartition(max(partitions(spark), total // 4), "part").sortWithinPartitions("part", "border", F.col("doc_id").asc_nulls_last(), "tag")
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list | None = None  # the row that waits for its next: part, border, id, text, sketch, some
