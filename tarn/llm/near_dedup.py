@@ -11,10 +11,13 @@ pair at similarity 0.8 shares none with probability 5e-8.  Bands with up to 12 c
 A larger band compares all its classes with one pivot, the class that meets the most others over all bands,
 so that a group of copies around an original is settled in one linear step.  What a pivot leaves open is
 settled by blocks: the classes that share a large band with the pivot but are not connected to it are compared
-with all of the pivot's classes that they could link to, 64 by 64 inside tasks that return links only.  Jaccard
-distance obeys the triangle inequality, so classes nearer to the pivot than the least distance of those less 0.2
-are spared.  Pairs are verified on full sets.  Pairs whose sketches agree in fewer than 66 of 128 coordinates
-are not fetched; at similarity 0.8 that has a probability below 1e-14.
+with all of the pivot's classes that they could link to, 64 by 64 inside tasks.  First sketches alone go to the
+blocks, which name the classes that have a partner there; the texts of these follow, and links alone return.
+Jaccard distance obeys the triangle inequality, so classes nearer to the pivot than the least distance of the open
+ones less 0.2 are spared; where a distance was not measured, bounds stand for it that hold but for a probability of
+1e-9: the distance of an open class is at least what its sketch allows, that of another at most 1.  Pairs are
+verified on full sets.  Pairs whose sketches agree in fewer coordinates than all but 1e-12 of pairs at the wanted
+similarity do (66 or so of 128 at 0.8) are not fetched.
 
 Defined results: text that is null, empty or blank has the empty set and is linked with nothing; fewer words
 than a shingle make one shingle; equal sets are linked at any size; a null doc_id is never the smallest,
@@ -38,12 +41,28 @@ from tarn.llm.components import components
 
 COORDINATES = 128
 BAND_ROWS = 4
-#: Coordinates that must agree before a pair's texts are fetched.
-LEAST_AGREEING = 66
 ALL_PAIRS = 12
 BLOCK = 64
 
 
+def agreement(similarity: np.ndarray) -> np.ndarray:
+    """For each similarity a row: how probable it is that at most 0, 1 .. COORDINATES coordinates agree."""
+    log = np.concatenate([[0.0], np.cumsum(np.log(np.arange(1, COORDINATES + 1)))])
+    k, s = np.arange(COORDINATES + 1), np.clip(similarity, 1e-12, 1 - 1e-12)[:, None]
+    return np.cumsum(np.exp(log[-1] - log[k] - log[::-1] + k * np.log(s) + (COORDINATES - k) * np.log(1 - s)), axis=1)
+
+
+def least_agreeing(percent: int) -> int:
+    """Coordinates that must agree before a pair's texts are fetched."""
+    return int(np.searchsorted(agreement(np.array([percent / 100]))[0], 1e-12))
+
+
+def least_distances() -> np.ndarray:
+    """By the number of agreeing coordinates: a Jaccard distance that two sets almost surely have at least."""
+    grid = np.arange(1001) / 1000
+    return 1 - np.array([grid[(column > 1e-9).nonzero()[0].max()] for column in agreement(grid).T])
+
+
 def fast_sketch(elements: np.ndarray, first: np.ndarray, t: int = COORDINATES) -> np.ndarray:
     """Sketches of the sets elements[first[d]:first[d + 1]], a row of t coordinates each; t is a power of two up to 128."""
     docs = len(first) - 1
@@ -149,6 +168,46 @@ def _verify(size: int):
     return work
 
 
+def _near(x: np.ndarray, y: np.ndarray, rx: list, ry: list, nx: np.ndarray, ny: np.ndarray, percent: int) -> np.ndarray:
+    """Which rows (sketch, root, set size) of two sides may be linked and are not yet connected."""
+    roots = {r: k for k, r in enumerate({*rx, *ry})}
+    near = (x[:, None, :] == y[None, :, :]).sum(axis=2) >= least_agreeing(percent)
+    near &= np.array([roots[r] for r in rx])[:, None] != np.array([roots[r] for r in ry])[None, :]
+    return near & (100 * np.minimum(nx[:, None], ny[None, :]) >= percent * np.maximum(nx[:, None], ny[None, :]))
+
+
+def _partnered(percent: int):
+    """Over rows (p, i, j, side, cls, root, sk, n) sorted by p, i, j: the rows that have a partner on the other side of their block."""
+
+    def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def emit(rows: pa.Table) -> pa.Table:
+            side, root, n = rows["side"].to_numpy(), rows["root"].to_pylist(), rows["n"].to_numpy()
+            sk = np.frombuffer(b"".join(rows["sk"].to_pylist()), np.uint8).reshape(-1, COORDINATES)
+            left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+            near = _near(sk[left], sk[right], [root[k] for k in left], [root[k] for k in right], n[left], n[right], percent)
+            return rows.take(np.concatenate([left[near.any(axis=1)], right[near.any(axis=0)]]))
+
+        def blocks(rows: pa.Table, last: bool) -> tuple[list[pa.Table], pa.Table]:
+            """The whole blocks of rows, and what may go on in the next batch."""
+            key = list(zip(rows["p"].to_pylist(), rows["i"].to_pylist(), rows["j"].to_pylist(), strict=True))
+            edge = [0, *(k for k in range(1, len(key)) if key[k] != key[k - 1]), len(key)]
+            whole = [rows.slice(a, b - a) for a, b in zip(edge[:-1], edge[1:], strict=True) if b > a]
+            return (whole, rows.slice(0, 0)) if last or not whole else (whole[:-1], whole[-1])
+
+        rest = None
+        for batch in batches:
+            rows = pa.Table.from_batches([batch])
+            whole, rest = blocks(rows if rest is None else pa.concat_tables([rest, rows]).combine_chunks(), False)
+            for part in whole:
+                yield from emit(part).to_batches()
+        for part in blocks(rest, True)[0] if rest is not None else []:
+            yield from emit(part).to_batches()
+
+    return work
+
+
 def _blocks(size: int, percent: int):
     """Over rows (p, i, j, side, cls, root, sk, text) sorted by p, i, j: links between the open classes (side 0) and all (side 1) of two blocks."""
 
@@ -161,11 +220,7 @@ def _blocks(size: int, percent: int):
             if left and right:
                 x, y = (np.frombuffer(b"".join(r[2] for r in rows), np.uint8).reshape(-1, COORDINATES) for rows in sides)
                 nx, ny = (np.array([len(r[3]) for r in rows]) for rows in sides)
-                roots = {r: k for k, r in enumerate({r[1] for rows in sides for r in rows})}
-                rx, ry = (np.array([roots[r[1]] for r in rows]) for rows in sides)
-                near = (x[:, None, :] == y[None, :, :]).sum(axis=2) >= LEAST_AGREEING
-                near &= rx[:, None] != ry[None, :]
-                near &= 100 * np.minimum(nx[:, None], ny[None, :]) >= percent * np.maximum(nx[:, None], ny[None, :])
+                near = _near(x, y, [r[1] for r in left], [r[1] for r in right], nx, ny, percent)
                 for i, j in zip(*np.nonzero(near), strict=True):
                     k = _overlap(left[i][3], right[j][3])
                     if 100 * k >= percent * (len(left[i][3]) + len(right[j][3]) - k):
@@ -193,7 +248,7 @@ def near_groups(spark: SparkSession, docs: DataFrame, shingle: int = 5, percent:
     far = 1 - percent / 100
     sig = scratch.keep(signatures(docs, shingle), "sig")
     classes = sig.filter("cls is not null").groupBy("cls").agg(
-        F.min("doc_id").alias("least_id"), F.min(F.struct("doc_id", "tag")).alias("rep"), F.first("bands").alias("bands"), F.first("sk").alias("sk")
+        F.min("doc_id").alias("least_id"), F.min(F.struct("doc_id", "tag")).alias("rep"), F.first("bands").alias("bands"), F.first("sk").alias("sk"), F.first("n").alias("n")
     )
     classes = scratch.keep(classes, "classes")
     slots = classes.select("cls", F.explode("bands").alias("key"))
@@ -206,18 +261,24 @@ def near_groups(spark: SparkSession, docs: DataFrame, shingle: int = 5, percent:
     pivots = scratch.keep(large.groupBy("key").agg(F.max(F.struct("meets", "cls"))["cls"].alias("p")), "pivots")
     family = scratch.keep(large.join(pivots, "key").select("p", "cls").distinct(), "family")
     small = members.filter(f"held <= {ALL_PAIRS}").select("key", "cls")
-    pairs = small.alias("x").join(small.alias("y"), "key").filter("x.cls < y.cls").select(F.col("x.cls").alias("p"), F.col("y.cls").alias("m"))
-    pairs = scratch.keep(pairs.union(family.filter("p != cls").select("p", F.col("cls").alias("m"))).distinct(), "pairs")
+    pairs = small.alias("x").join(small.alias("y"), "key").filter("x.cls < y.cls").select(F.col("x.cls").alias("p"), F.col("y.cls").alias("m"), F.lit(False).alias("pivot"))
+    pairs = pairs.union(family.filter("p != cls").select("p", F.col("cls").alias("m"), F.lit(True))).groupBy("p", "m").agg(F.max("pivot").alias("pivot"))
+    pairs = scratch.keep(pairs, "pairs")
     scratch.drop("members", "large", "pivots")
+    least = least_agreeing(percent)
 
     def agreeing(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             x, y = (np.frombuffer(b"".join(b.column(b.schema.get_field_index(c)).to_pylist()), np.uint8).reshape(-1, COORDINATES) for c in ("ps", "ms"))
-            yield b.select(["p", "m"]).filter(pa.array((x == y).sum(axis=1) >= LEAST_AGREEING))
+            same = (x == y).sum(axis=1)
+            pivot = b.column(b.schema.get_field_index("pivot")).to_numpy(zero_copy_only=False)
+            out = pa.RecordBatch.from_arrays([*b.select(["p", "m"]).columns, pa.array(same, pa.int32())], names=["p", "m", "same"])
+            yield out.filter(pa.array((same >= least) | pivot))
 
-    sketches = classes.select("cls", "sk")
-    both = pairs.join(sketches.select(F.col("cls").alias("m"), F.col("sk").alias("ms")), "m").join(sketches.select(F.col("cls").alias("p"), F.col("sk").alias("ps")), "p")
-    chosen = scratch.keep(both.select("p", "m", "ps", "ms").mapInArrow(agreeing, "p binary, m binary"), "chosen")
+    sketches = classes.select("cls", "sk", "n")
+    both = pairs.join(classes.select(F.col("cls").alias("m"), F.col("sk").alias("ms")), "m").join(classes.select(F.col("cls").alias("p"), F.col("sk").alias("ps")), "p")
+    agreed = scratch.keep(both.select("p", "m", "pivot", "ps", "ms").mapInArrow(agreeing, "p binary, m binary, same int"), "agreed")
+    chosen = agreed.filter(F.col("same") >= least).select("p", "m")
 
     # texts of one row of each class that is compared
     named = chosen.select(F.explode(F.array("p", "m")).alias("cls")).union(family.select("cls")).distinct()
@@ -241,29 +302,34 @@ def near_groups(spark: SparkSession, docs: DataFrame, shingle: int = 5, percent:
     # what pivots leave open
     d = (1 - F.col("both") / F.col("union")).alias("d")
     away = compared.select(F.col("a").alias("p"), F.col("b").alias("cls"), d)
-    unknown = F.lit(1 - LEAST_AGREEING / COORDINATES)
+    bounds = F.array(*(F.lit(float(x)) for x in least_distances()))
     state = (
-        family.join(away, ["p", "cls"], "left").withColumn("d", F.when(F.col("p") == F.col("cls"), 0.0).otherwise(F.coalesce("d", unknown)))
+        family.join(away, ["p", "cls"], "left").join(agreed.select("p", F.col("m").alias("cls"), "same"), ["p", "cls"], "left")
+        .withColumn("d", F.when(F.col("p") == F.col("cls"), 0.0).otherwise(F.col("d")))
+        .withColumn("low", F.coalesce("d", bounds[F.coalesce("same", F.lit(COORDINATES))]))
         .join(roots.select(F.col("node").alias("cls"), "root"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     )
     state = scratch.keep(state, "state")
     base = scratch.keep(state.filter("p = cls").select("p", F.col("root").alias("base")), "base")
-    nearest = state.join(base, "p").filter("root != base").groupBy("p").agg(F.min("d").alias("nearest"), F.count("*").alias("open"))
+    nearest = state.join(base, "p").filter("root != base").groupBy("p").agg(F.min("low").alias("nearest"), F.count("*").alias("open"))
     nearest = scratch.keep(nearest.join(base, "p"), "nearest")
     if not nearest.isEmpty():
         left = state.join(nearest, "p").withColumn("side", (F.col("root") == F.col("base")).cast("int")).filter(
-            (F.col("p") != F.col("cls")) & ((F.col("side") == 0) | (F.col("d") >= F.col("nearest") - far - 1e-9))
+            (F.col("p") != F.col("cls")) & ((F.col("side") == 0) | (F.coalesce("d", F.lit(1.0)) >= F.col("nearest") - far - 1e-9))
         )
         left = scratch.keep(left.select("p", "cls", "root", "open", "side"), "open")
         many = scratch.keep(left.groupBy("p").agg(F.count("*").alias("every")), "many")
-        left = left.join(many, "p").join(sketches, "cls").join(texts.hint("merge"), "cls")
+        left = left.join(many, "p").join(sketches, "cls")
         own, all_ = F.ceil(F.col("open") / BLOCK).cast("int"), F.ceil(F.col("every") / BLOCK).cast("int")
         i, j = F.pmod(F.xxhash64("cls"), own).cast("int"), F.pmod(F.xxhash64("cls"), all_).cast("int")
-        columns = ["cls", "root", "sk", "text"]
+        columns = ["cls", "root", "sk", "n"]
         # an open class stands in its own block on side 0, facing every block of side 1, and on side 1 as all others do
         sides = left.filter("side = 0").select("p", i.alias("i"), F.explode(F.sequence(F.lit(0), all_ - 1)).alias("j"), F.lit(0).alias("side"), *columns).union(
             left.select("p", F.explode(F.sequence(F.lit(0), own - 1)).alias("i"), j.alias("j"), F.lit(1), *columns)
         )
+        schema = "p binary, i int, j int, side int, cls binary, root binary, sk binary, n long"
+        sides = sides.repartition(parts, "p", "i", "j").sortWithinPartitions("p", "i", "j").mapInArrow(_partnered(percent), schema)
+        sides = scratch.keep(sides, "partnered").drop("n").join(texts.hint("merge"), "cls")
         found = sides.repartition(parts, "p", "i", "j").sortWithinPartitions("p", "i", "j").mapInArrow(_blocks(shingle, percent), "a binary, b binary")
         found = scratch.keep(found.distinct(), "block-links")
         if not found.isEmpty():
