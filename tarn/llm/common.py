@@ -119,13 +119,13 @@ def join_hot(rows: DataFrame, groups: DataFrame, keys: list[str], count: str, to
     """Inner join of rows with one group row per key; `count` in groups is the number of rows of the key.
 
     A key with more than 1/1000 of all rows is hot.  There are fewer than 1000 hot groups, whatever the
-    data, so these are broadcast; all other keys are small enough for a shuffled join.
+    data, so these are broadcast; all other keys are small enough for a shuffled join, and are never broadcast.
     """
     limit = max(1000, math.ceil(total / HOT_SHARE))
     hot = groups.filter(F.col(count) > limit)
     cold = groups.filter(F.col(count) <= limit)
     return rows.join(F.broadcast(hot), keys).unionByName(
-        rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(cold, keys)
+        rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(cold.hint("merge"), keys)
     )
 
 

@@ -6,8 +6,8 @@ then single documents in seeded order until little is left, and for that a bound
 programme over the lengths still free.  The plan says how many documents of each length are taken, and the
 seeded hash order of the documents of that length says which.
 
-The driver sees one row per source.  A histogram of lengths is solved per source in one task: its rows are
-distinct lengths, not documents.  Documents of a common length are ranked in hash buckets of about 10,000
+The driver sees one row per source, and sends targets out as a table that is joined.  A histogram of lengths
+is solved per source in one task: its rows are distinct lengths, not documents.  Documents of a common length are ranked in hash buckets of about 10,000
 rows, so a length that a third of all rows share is no hot group.
 
 Defined results: null or blank text has size 0 and is taken 0 times; null is a source of its own, the last
@@ -141,23 +141,24 @@ def mix(spark: SparkSession, docs: DataFrame, weights=WEIGHTS, share=Fraction(3,
     total = sum(r.n for r in sums)
     size = {r.skey: int(r.size) for r in sums}
     target = targets([(None if k == "n" else k[1:], s) for k, s in size.items()], weights, share, most)
-    target = {k: target[None if k == "n" else k[1:]] for k in size}
-
-    def plan(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        k = key[0]
-        budget, whole = int(target[k] + Fraction(1, 2)), size[k]
-        times, rest = divmod(budget, whole) if whole else (0, 0)
-        lengths, counts = pdf["size"].to_numpy(), pdf["n"].to_numpy()
+    budgets = []
+    for k, whole in size.items():
+        wanted = target[None if k == "n" else k[1:]]
+        times, rest = divmod(int(wanted + Fraction(1, 2)), whole) if whole else (0, 0)
+        budgets.append((k, whole, float(wanted), times, rest if times < most else 0))
+    schema = "skey string, source_size long, target double, times long, rest long"
+    budgets = spark.createDataFrame(budgets, schema)
+
+    def plan(pdf: pd.DataFrame) -> pd.DataFrame:
+        lengths, counts, rest = pdf["size"].to_numpy(), pdf["n"].to_numpy(), int(pdf["rest"].iloc[0])
         extra = np.zeros(len(pdf), np.int64)
-        if rest and times < most:
+        if rest:
             full = lengths > 0
             extra[full] = fit(lengths[full], counts[full], rest)
-        return pdf.assign(times=np.int64(times), extra=extra, source_size=np.int64(whole), target=float(target[k]))
+        return pdf.assign(extra=extra)
 
-    hist = rows.groupBy("skey", "size").agg(F.count("*").alias("n"))
-    plans = hist.groupBy("skey").applyInPandas(
-        plan, "skey string, size long, n long, times long, extra long, source_size long, target double"
-    )
+    hist = rows.groupBy("skey", "size").agg(F.count("*").alias("n")).join(budgets.hint("merge"), "skey")
+    plans = hist.groupBy("skey").applyInPandas(plan, f"skey string, size long, n long, {schema.partition(', ')[2]}, extra long").drop("rest")
     plans = scratch.keep(plans, "plans")
     planned = scratch.keep(join_hot(rows, plans, ["skey", "size"], "n", total), "planned")
     split = (F.col("extra") > 0) & (F.col("extra") < F.col("n"))
@@ -170,7 +171,7 @@ def mix(spark: SparkSession, docs: DataFrame, weights=WEIGHTS, share=Fraction(3,
     inside = Window.partitionBy("skey", "size", "bucket").orderBy("h", "doc_id")
     ranked = (
         cut.withColumn("rank", F.row_number().over(inside))
-        .join(heads, ["skey", "size", "bucket"])
+        .join(heads.hint("merge"), ["skey", "size", "bucket"])
         .withColumn("one", (F.col("base") + F.col("rank") <= F.col("extra")).cast("long"))
     )
     rest = planned.filter(~split).withColumn("one", (F.col("extra") > 0).cast("long"))
