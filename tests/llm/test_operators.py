@@ -158,6 +158,22 @@ def test_sharding(spark, docs, empty):
         assert r.grown_shard in (r.shard, 8)
     assert all(sorted(x) == list(range(len(x))) for x in by.values())
     assert sharding.shard(spark, empty).count() == 0
+    # a third of all rows alike
+    hot = sharding.shard(spark, spark.createDataFrame([(None, None)] * 2600 + [(i, "x") for i in range(5000)], "doc_id long, text string")).collect()
+    by = collections.defaultdict(list)
+    for r in hot:
+        by[r.shard].append(r.slot)
+    assert len(hot) == 7600 and all(sorted(x) == list(range(len(x))) for x in by.values())
+
+    def jump(key, shards):  # one key at a time, as published
+        b, j = -1, 0
+        while j < shards:
+            b, key = j, (key * 2862933555777941757 + 1) % 2**64
+            j = int((b + 1) * (float(1 << 31) / float((key >> 33) + 1)))
+        return b
+
+    some = flat.mix64(np.arange(500, dtype=np.uint64))
+    assert all(sharding.jump(some, n).tolist() == [jump(k, n) for k in some.tolist()] for n in (1, 8, 9, 1000))
     keys = np.arange(50_000, dtype=np.uint64)
     for n in (1, 2, 7, 100):
         a, b = sharding.jump(flat.mix64(keys), n), sharding.jump(flat.mix64(keys), n + 1)
@@ -342,6 +358,24 @@ def test_language(spark, empty):
     held = [(got[i].lang_pred, k) for i, t, k in data if i is not None and i < 400 and got[i].held_out]
     assert len(held) > 50 and np.mean([a == b for a, b in held]) > 0.98
     assert all(0 <= r.score <= 1 for r in got.values()) and got[1003].lang_pred in kinds
+    assert sum(got[i].rejected for i in range(400)) <= 0.03 * 400
+    # n-grams, weights and cosines again, one text and one n-gram at a time
+    for i, text, _ in data[:25]:
+        chars, vector = "".join(c.lower() if c.isascii() and c.isalpha() else c if ord(c) > 127 else " " for c in text).encode(), collections.Counter()
+        for size in (1, 2, 3):
+            for k in range(len(chars) - size + 1):
+                gram = chars[k : k + size]
+                if b"  " not in gram and gram != b" ":
+                    vector[((int.from_bytes(gram, "big") + size * 0x1000193) % 2**32 * 0x9E3779B1 % 2**32) >> 20] += 1
+        dense = np.zeros(language_id.DIMENSIONS)
+        for slot, n in vector.items():
+            dense[slot] = np.log1p(n) * model.idf[slot]
+        near = [float(c @ dense) / np.sqrt(dense @ dense) for c in model.centroids.astype(float)]
+        assert got[i].lang_pred == model.language[int(np.argmax(near))] and abs(got[i].score - max(near)) < 1e-4
+    # a third of all rows under one id, and far more rows than the sample takes
+    many = spark.createDataFrame([(i, kinds[k] * 5 + str(i), k) for i, k in enumerate(rng.choices(list(kinds), k=6000))] + [(12, "abcd", "aa")] * 3000, "doc_id long, text string, lang string")
+    hot = language_id.fit(spark, many, 300)
+    assert hot is not None and set(hot.language) == set(kinds) and len(hot.language) <= 12
     assert language_id.predict(docs, language_id.fit(spark, empty)).filter("lang_pred = 'und'").count() == len(data)
 
 
@@ -373,6 +407,21 @@ def test_fingerprints(spark, docs, empty):
     assert fingerprints.fingerprints(spark, alone).first().near_next == 1.0
 
 
+def test_fingerprints_of_all_neighbours(spark):
+    """Ids of any size, repeated ones, and many rows without an id, over several ranges."""
+    rng = random.Random(6)
+    ids = [*range(150), *[2**62 + i for i in range(20)], *[-5] * 30, *[None] * 150]
+    data = [(i, " ".join(rng.choices("abcdefgh", k=rng.randrange(0, 12))) if rng.random() < 0.9 else None) for i in ids]
+    docs = spark.createDataFrame(data, "doc_id long, text string").repartition(5)
+    text = F.coalesce("text", F.lit(""))
+    line = docs.select("doc_id", text.alias("t")).orderBy(F.col("doc_id").asc_nulls_last(), F.xxhash64("t")).collect()
+    want = []
+    for k, r in enumerate(line):
+        a, b = r.t, line[(k + 1) % len(line)].t
+        want.append((r.doc_id, hashlib.sha256((a[: len(a) - len(a) // 2] + b[: len(a) // 2]).encode()).hexdigest()))
+    assert rows(fingerprints.fingerprints(spark, docs), "doc_id", "edited_sha256") == sorted(want, key=repr)
+
+
 def test_tokens_are_those_of_the_whole_text():
     import public_tokenizers
     from tokenizers import Tokenizer
@@ -466,6 +515,21 @@ def test_related_documents_are_dealt_together(spark):
     assert together > 0.25 and apart < 0.03  # by hash: 1 / 24 of either
     again = {r.doc_id: r.shard for r in dealing.deal(docs.repartition(7), 24, tag).collect()}
     assert again == of
+    # more shards than regions, and a third of all rows alike
+    old, dealing.REGIONS = dealing.REGIONS, 6
+    try:
+        more = spark.createDataFrame([*data, *[(None, None)] * 1200], "doc_id long, text string").withColumn("tag", F.xxhash64("text"))
+        got = dealing.deal(more, 24, tag).collect()
+        size = collections.Counter(r.shard for r in got)
+        assert len(got) == len(data) + 1200 and set(size) <= set(range(24)) and max(size.values()) < 1100 and len(size) > 16
+        null = collections.Counter(r.shard for r in got if r.doc_id is None and r.text is None)
+        assert len(null) > 16 and max(null.values()) < 200
+    finally:
+        dealing.REGIONS = old
+    repeats = dealing.Repeats(3)
+    (a, ha), (b, hb) = repeats.find(np.array([5, 5, 7, 5])), repeats.find(np.array([7, 5, 9]))
+    assert a.tolist() == [True, True, False, True] and b.tolist() == [True, True, False]
+    assert len({*ha.tolist(), *hb.tolist(), *dealing.Repeats(4).find(np.array([5]))[1].tolist()}) == 8
     data_, at = flat.buffers(pa.array([t for _, t in data[:300]] + [None, "", data[0][1]]))
     basis = np.random.default_rng(1).standard_normal((dealing.FEATURES, 5)).astype(np.float32)
     tags = np.arange(len(at) - 1)
