@@ -32,9 +32,9 @@ SIGNATURES = {
         (TEXT, "permission", r"the above copyright notice and this permission notice shall be included in all copies or substantial portions"),
         (TEXT, "infringement", r"merchantability,? fitness for a particular purpose and non-?infringement"),
         (TEXT, "dealings", r"in connection with the software or the use or other dealings in the software"),
-        (NOTICE, "mit licen", r"\b(?:re)?licen[sc]ed under (?:the terms of )?(?:the )?mit(?:/x11| expat)?(?: licen[sc]e)?\b"),
-        (NOTICE, "mit", r"\b(?:released|distributed|available|published|provided|covered) (?:under|by) (?:the terms of )?(?:the )?mit(?:/x11)?(?: licen[sc]e)?\b"),
-        (NOTICE, "mit", r"\bunder the (?:terms(?: and conditions)? of|conditions of) the mit(?: licen[sc]e)?\b"),
+        (NOTICE, "mit licen under", r"\b(?:re)?licen[sc]ed under (?:the terms of )?(?:the )?mit(?:/x11| expat)?(?: licen[sc]e)?\b"),
+        (NOTICE, "mit under", r"\b(?:released|distributed|available|published|provided|covered) under (?:the terms of )?(?:the )?mit(?:/x11)?(?: licen[sc]e)?\b"),
+        (NOTICE, "mit under", r"\bunder the (?:terms(?: and conditions)? of|conditions of) the mit(?: licen[sc]e)?\b"),
         (TAG, "spdx mit", r"\bspdx-license-identifier: ?\(?(?:[\w.+-]+ (?:or|and|with) )*mit(?![\w.-])"),
         (TAG, "mit licen", r"\blicen[sc]e ?[:=] ?[\"']?mit\b"),
         (NAME, "mit licen", r"\b(?:the )?mit(?:/x11|[- ]style)? licen[sc]e\b"),
@@ -55,7 +55,7 @@ SIGNATURES = {
         (TEXT, "permission", r"permission to use,? copy,? modify,? and(?:/or)? distribute this software for any purpose(?: with or without fee)?"),
         (TEXT, "disclaims", r"the author disclaims all warranties with regard to this software"),
         (TEXT, "tortious", r"whether in an action of contract,? negligence or other tortious action"),
-        (NOTICE, "isc", r"\b(?:licen[sc]ed|released|distributed|available) under (?:the terms of )?the isc(?: licen[sc]e)?\b"),
+        (NOTICE, "isc under", r"\b(?:licen[sc]ed|released|distributed|available) under (?:the terms of )?the isc(?: licen[sc]e)?\b"),
         (TAG, "spdx isc", r"\bspdx-license-identifier: ?\(?(?:[\w.+-]+ (?:or|and|with) )*isc(?![\w.-])"),
         (TAG, "isc licen", r"\blicen[sc]e ?[:=] ?[\"']?isc\b"),
         (NAME, "isc licen", r"\b(?:the )?isc licen[sc]e\b"),
@@ -69,8 +69,8 @@ SIGNATURES = {
         (TEXT, "advertising", r"all advertising materials mentioning features or use of this software must display the following acknowledge?ment"),
         (TEXT, "exemplary", r"any direct,? indirect,? incidental,? special,? exemplary,? or consequential damages"),
         (TEXT, "regents", r"this software is provided by the regents and contributors"),
-        (NOTICE, "bsd licen", r"\b(?:re)?licen[sc]ed under (?:the terms of )?(?:the |a )?(?:[0-4]-clause |new |modified |simplified |revised )?bsd(?:[- ]style)?(?: licen[sc]e)?\b"),
-        (NOTICE, "bsd", r"\b(?:released|distributed|available|published|governed) (?:under|by) (?:the terms of )?(?:the |a )?(?:[0-4]-clause |new |modified |simplified |revised )?bsd(?:[- ]style)?(?: licen[sc]e)?\b"),
+        (NOTICE, "bsd licen under", r"\b(?:re)?licen[sc]ed under (?:the terms of )?(?:the |a )?(?:[0-4]-clause |new |modified |simplified |revised )?bsd(?:[- ]style)?(?: licen[sc]e)?\b"),
+        (NOTICE, "bsd under", r"\b(?:released|distributed|available|published|governed) under (?:the terms of )?(?:the |a )?(?:[0-4]-clause |new |modified |simplified |revised )?bsd(?:[- ]style)?(?: licen[sc]e)?\b"),
         (TAG, "spdx bsd", r"\bspdx-license-identifier: ?\(?(?:[\w.+-]+ (?:or|and|with) )*(?:0bsd|bsd-[1-4]-clause(?:-[\w-]+)?)(?![\w.-])"),
         (TAG, "bsd licen", r"\blicen[sc]e ?[:=] ?[\"']?(?:the )?(?:new )?bsd\b"),
         (NAME, "bsd licen", r"\b(?:the )?(?:[0-4]-clause |two-clause |three-clause |four-clause |new |modified |simplified |revised |free)?bsd(?:-[0-4]-clause|[- ]style)? licen[sc]e\b"),
@@ -83,12 +83,12 @@ SIGNATURES = {
         (TEXT, "reproduction", r"terms and conditions for use,? reproduction,? and distribution"),
         (TEXT, "prominent", r"you must cause any modified files to carry prominent notices stating that you changed the files"),
         (TEXT, "notice", r"if the work includes a \"?notice\"? text file as part of its distribution"),
-        (NOTICE, "apache", r"licen[sc]ed (?:to you )?under the apache licen[sc]e,? version 2\.0"),
+        (NOTICE, "apache under", r"licen[sc]ed (?:to you )?under the apache licen[sc]e,? version 2\.0"),
         (NOTICE, "compliance licen", r"you may not use this file except in compliance with the licen[sc]e"),
         (NOTICE, "basis", r"distributed on an \"?as is\"? basis,? without warranties or conditions of any kind"),
         (NOTICE, "contributor", r"licensed to the apache software foundation \(asf\) under one or more contributor license agreements"),
-        (NOTICE, "apache licen", r"\b(?:re)?licen[sc]ed under (?:the terms of )?(?:the )?apache(?: software)?(?: licen[sc]e)?\b(?:,?(?: version| v\.?)? ?(?:1\.[01]|2(?:\.0)?)\b)?"),
-        (NOTICE, "apache", r"\b(?:released|distributed|available|published|governed) (?:under|by) (?:the terms of )?the apache(?: software)?(?: licen[sc]e)?\b"),
+        (NOTICE, "apache licen under", r"\b(?:re)?licen[sc]ed under (?:the terms of )?(?:the )?apache(?: software)?(?: licen[sc]e)?\b(?:,?(?: version| v\.?)? ?(?:1\.[01]|2(?:\.0)?)\b)?"),
+        (NOTICE, "apache under", r"\b(?:released|distributed|available|published|governed) under (?:the terms of )?the apache(?: software)?(?: licen[sc]e)?\b"),
         (TAG, "spdx apache", r"\bspdx-license-identifier: ?\(?(?:[\w.+-]+ (?:or|and|with) )*apache-(?:1\.[01]|2\.0)(?![\w.-])"),
         (TAG, "apache licen", r"\blicen[sc]e ?[:=] ?[\"']?apache(?:[- ]2(?:\.0)?)?\b"),
         (NAME, "apache", r"\b(?:the )?apache(?:[- ]2(?:\.0)?| software)? licen[sc]e(?:,? version (?:1\.[01]|2\.0)| ?v?2(?:\.0)?)?\b"),
@@ -96,19 +96,19 @@ SIGNATURES = {
         (ADDRESS, "opensource", r"opensource\.org/licenses?/apache"),
     ],
     "gpl": [
-        (TEXT, "redistribute", r"you can redistribute it and/or modify it under the terms of the gnu general public licen[sc]e"),
+        (TEXT, "redistribute under", r"you can redistribute it and/or modify it under the terms of the gnu general public licen[sc]e"),
         (TEXT, "general", r"you should have received a copy of the gnu general public licen[sc]e"),
         (TEXT, "freedom", r"the licenses for most software are designed to take away your freedom to share and change it"),
         (TEXT, "copyleft", r"the gnu general public licen[sc]e is a free,? copyleft licen[sc]e"),
         (TEXT, "verbatim", r"you may (?:copy and distribute|convey) verbatim copies of the program's source code as you receive it"),
         (TEXT, "conditions", r"terms and conditions for copying,? distribution and modification"),
         (TEXT, "installation", r"\"installation information\" for a user product means any methods"),
-        (NOTICE, "general licen", r"\b(?:re)?licen[sc]ed under (?:the terms of )?(?:the )?(?:gnu )?general public licen[sc]e\b"),
-        (NOTICE, "general licen", r"\b(?:released|distributed|available|published|covered) (?:under|by) (?:the terms of )?(?:the )?(?:gnu )?general public licen[sc]e\b"),
-        (NOTICE, "general licen", r"\bunder the (?:terms(?: and conditions)? of|conditions of) (?:the )?(?:gnu )?general public licen[sc]e\b"),
-        (NOTICE, "gpl licen", r"\b(?:re)?licen[sc]ed under (?:the terms of )?(?:the )?(?:gnu )?gpl(?: ?(?:v|version )?[123](?:\.\d)?\+?)?"),
-        (NOTICE, "gpl", r"\b(?:released|distributed|available|published|covered) (?:under|by) (?:the terms of )?(?:the )?(?:gnu )?gpl(?: ?(?:v|version )?[123](?:\.\d)?\+?)?"),
-        (NOTICE, "gpl", r"\bunder the (?:terms(?: and conditions)? of|conditions of) (?:the )?(?:gnu )?gpl(?: ?(?:v|version )?[123])?\b"),
+        (NOTICE, "general licen under", r"\b(?:re)?licen[sc]ed under (?:the terms of )?(?:the )?(?:gnu )?general public licen[sc]e\b"),
+        (NOTICE, "general licen under", r"\b(?:released|distributed|available|published|covered) under (?:the terms of )?(?:the )?(?:gnu )?general public licen[sc]e\b"),
+        (NOTICE, "general licen under", r"\bunder the (?:terms(?: and conditions)? of|conditions of) (?:the )?(?:gnu )?general public licen[sc]e\b"),
+        (NOTICE, "gpl licen under", r"\b(?:re)?licen[sc]ed under (?:the terms of )?(?:the )?(?:gnu )?gpl(?: ?(?:v|version )?[123](?:\.\d)?\+?)?"),
+        (NOTICE, "gpl under", r"\b(?:released|distributed|available|published|covered) under (?:the terms of )?(?:the )?(?:gnu )?gpl(?: ?(?:v|version )?[123](?:\.\d)?\+?)?"),
+        (NOTICE, "gpl under", r"\bunder the (?:terms(?: and conditions)? of|conditions of) (?:the )?(?:gnu )?gpl(?: ?(?:v|version )?[123])?\b"),
         (TAG, "spdx gpl", r"\bspdx-license-identifier: ?\(?(?:[\w.+-]+ (?:or|and|with) )*gpl-[123]\.0(?:-only|-or-later|\+)?(?![\w.-])"),
         (TAG, "gpl licen", r"\blicen[sc]e ?[:=] ?[\"']?(?:gnu )?gpl(?:[- ]?v?[123](?:\.0)?\+?)?"),
         (TAG, "module_licen", r"\bmodule_licen[sc]e ?\( ?\"(?:dual [a-z]+/)?gpl(?: v2)?\" ?\)"),
@@ -122,12 +122,12 @@ SIGNATURES = {
     "lgpl": [
         (TEXT, "lesser", r"you should have received a copy of the gnu lesser general public licen[sc]e"),
         (TEXT, "library", r"you should have received a copy of the gnu library general public licen[sc]e"),
-        (TEXT, "lesser", r"redistribute it and/or modify it under the terms of the gnu lesser general public licen[sc]e"),
-        (TEXT, "library", r"redistribute it and/or modify it under the terms of the gnu library general public licen[sc]e"),
+        (TEXT, "lesser under", r"redistribute it and/or modify it under the terms of the gnu lesser general public licen[sc]e"),
+        (TEXT, "library under", r"redistribute it and/or modify it under the terms of the gnu library general public licen[sc]e"),
         (TEXT, "incorporates", r"the gnu lesser general public licen[sc]e incorporates the terms and conditions of version 3"),
-        (NOTICE, "lesser licen", r"\b(?:licen[sc]ed|released|distributed|available|published) under (?:the terms of )?(?:the )?(?:gnu )?lesser general public licen[sc]e\b"),
-        (NOTICE, "lgpl", r"\b(?:licen[sc]ed|released|distributed|available|published) under (?:the terms of )?(?:the )?(?:gnu )?lgpl(?: ?(?:v|version )?[23](?:\.\d)?\+?)?"),
-        (NOTICE, "lgpl", r"\bunder the (?:terms(?: and conditions)? of|conditions of) (?:the )?(?:gnu )?lgpl(?: ?(?:v|version )?[23])?\b"),
+        (NOTICE, "lesser licen under", r"\b(?:licen[sc]ed|released|distributed|available|published) under (?:the terms of )?(?:the )?(?:gnu )?lesser general public licen[sc]e\b"),
+        (NOTICE, "lgpl under", r"\b(?:licen[sc]ed|released|distributed|available|published) under (?:the terms of )?(?:the )?(?:gnu )?lgpl(?: ?(?:v|version )?[23](?:\.\d)?\+?)?"),
+        (NOTICE, "lgpl under", r"\bunder the (?:terms(?: and conditions)? of|conditions of) (?:the )?(?:gnu )?lgpl(?: ?(?:v|version )?[23])?\b"),
         (TAG, "spdx lgpl", r"\bspdx-license-identifier: ?\(?(?:[\w.+-]+ (?:or|and|with) )*lgpl-[23]\.[01](?:-only|-or-later|\+)?(?![\w.-])"),
         (TAG, "lgpl licen", r"\blicen[sc]e ?[:=] ?[\"']?(?:gnu )?lgpl(?:[- ]?v?[23](?:\.[01])?\+?)?"),
         (NAME, "lesser", r"\b(?:the )?(?:gnu )?lesser general public licen[sc]e(?:,? (?:version |v)[23](?:\.[01])?)?"),
@@ -138,11 +138,11 @@ SIGNATURES = {
     ],
     "agpl": [
         (TEXT, "affero", r"you should have received a copy of the gnu affero general public licen[sc]e"),
-        (TEXT, "affero", r"redistribute it and/or modify it under the terms of the gnu affero general public licen[sc]e"),
+        (TEXT, "affero under", r"redistribute it and/or modify it under the terms of the gnu affero general public licen[sc]e"),
         (TEXT, "remotely", r"all users interacting with it remotely through a computer network"),
-        (NOTICE, "affero licen", r"\b(?:licen[sc]ed|released|distributed|available|published) under (?:the terms of )?(?:the )?(?:gnu )?affero general public licen[sc]e\b"),
-        (NOTICE, "agpl", r"\b(?:licen[sc]ed|released|distributed|available|published) under (?:the terms of )?(?:the )?(?:gnu )?agpl(?: ?(?:v|version )?[13](?:\.0)?\+?)?"),
-        (NOTICE, "agpl", r"\bunder the (?:terms(?: and conditions)? of|conditions of) (?:the )?(?:gnu )?agpl(?: ?(?:v|version )?[13])?\b"),
+        (NOTICE, "affero licen under", r"\b(?:licen[sc]ed|released|distributed|available|published) under (?:the terms of )?(?:the )?(?:gnu )?affero general public licen[sc]e\b"),
+        (NOTICE, "agpl under", r"\b(?:licen[sc]ed|released|distributed|available|published) under (?:the terms of )?(?:the )?(?:gnu )?agpl(?: ?(?:v|version )?[13](?:\.0)?\+?)?"),
+        (NOTICE, "agpl under", r"\bunder the (?:terms(?: and conditions)? of|conditions of) (?:the )?(?:gnu )?agpl(?: ?(?:v|version )?[13])?\b"),
         (TAG, "spdx agpl", r"\bspdx-license-identifier: ?\(?(?:[\w.+-]+ (?:or|and|with) )*agpl-[13]\.0(?:-only|-or-later|\+)?(?![\w.-])"),
         (TAG, "agpl licen", r"\blicen[sc]e ?[:=] ?[\"']?(?:gnu )?agpl(?:[- ]?v?3(?:\.0)?\+?)?"),
         (NAME, "affero", r"\b(?:the )?(?:gnu )?affero general public licen[sc]e(?:,? (?:version |v)[13](?:\.0)?)?"),
@@ -151,7 +151,7 @@ SIGNATURES = {
     ],
     "gfdl": [
         (TEXT, "invariant", r"with no invariant sections,? (?:with )?no front-cover texts,? and (?:with )?no back-cover texts"),
-        (TEXT, "documentation", r"permission is granted to copy,? distribute and/or modify this document under the terms of the gnu free documentation licen[sc]e"),
+        (TEXT, "documentation under", r"permission is granted to copy,? distribute and/or modify this document under the terms of the gnu free documentation licen[sc]e"),
         (TAG, "spdx gfdl", r"\bspdx-license-identifier: ?\(?(?:[\w.+-]+ (?:or|and|with) )*gfdl-1\.[123](?:-[\w-]+)?(?![\w.])"),
         (NAME, "documentation licen", r"\b(?:the )?(?:gnu )?free documentation licen[sc]e\b"),
         (ADDRESS, "gnu", r"gnu\.org/(?:licenses|copyleft)/fdl"),
@@ -161,17 +161,17 @@ SIGNATURES = {
         (TEXT, "mozilla", r"if a copy of the mpl was not distributed with this file,? you can obtain one at https?://mozilla\.org/mpl"),
         (TEXT, "mozilla", r"the contents of this file are subject to the mozilla public licen[sc]e version"),
         (TEXT, "secondary", r"this source code form is \"?incompatible with secondary licenses\"?"),
-        (NOTICE, "mozilla licen", r"\b(?:licen[sc]ed|released|distributed|available|published) under (?:the terms of )?the mozilla public licen[sc]e\b"),
-        (NOTICE, "mpl", r"\b(?:licen[sc]ed|released|distributed|available|published) under (?:the terms of )?(?:the )?mpl(?: ?(?:v|version )?[12](?:\.[01])?)?"),
+        (NOTICE, "mozilla licen under", r"\b(?:licen[sc]ed|released|distributed|available|published) under (?:the terms of )?the mozilla public licen[sc]e\b"),
+        (NOTICE, "mpl under", r"\b(?:licen[sc]ed|released|distributed|available|published) under (?:the terms of )?(?:the )?mpl(?: ?(?:v|version )?[12](?:\.[01])?)?"),
         (TAG, "spdx mpl", r"\bspdx-license-identifier: ?\(?(?:[\w.+-]+ (?:or|and|with) )*mpl-[12]\.[01](?![\w.])"),
         (TAG, "mpl licen", r"\blicen[sc]e ?[:=] ?[\"']?mpl(?:[- ]?v?[12](?:\.[01])?)?"),
         (NAME, "mozilla", r"\b(?:the )?mozilla public licen[sc]e(?:,? (?:version |v\.? ?)[12]\.[01])?"),
         (ADDRESS, "mozilla", r"mozilla\.org/mpl"),
     ],
     "epl": [
-        (TEXT, "accompanying", r"the accompanying program is provided under the terms of this eclipse public licen[sc]e"),
-        (TEXT, "eclipse", r"made available under the terms of the eclipse public licen[sc]e"),
-        (NOTICE, "eclipse licen", r"\b(?:licen[sc]ed|released|distributed|published) under (?:the terms of )?the eclipse public licen[sc]e\b"),
+        (TEXT, "accompanying under", r"the accompanying program is provided under the terms of this eclipse public licen[sc]e"),
+        (TEXT, "eclipse under", r"made available under the terms of the eclipse public licen[sc]e"),
+        (NOTICE, "eclipse licen under", r"\b(?:licen[sc]ed|released|distributed|published) under (?:the terms of )?the eclipse public licen[sc]e\b"),
         (TAG, "spdx epl", r"\bspdx-license-identifier: ?\(?(?:[\w.+-]+ (?:or|and|with) )*epl-[12]\.0(?![\w.-])"),
         (NAME, "eclipse licen", r"\b(?:the )?eclipse public licen[sc]e\b"),
         (ADDRESS, "eclipse", r"eclipse\.org/legal/epl"),
@@ -181,7 +181,7 @@ SIGNATURES = {
         (ADDRESS, "eclipse", r"eclipse\.org/org/documents/edl"),
     ],
     "cpl": [
-        (TEXT, "accompanying", r"the accompanying program is provided under the terms of this common public licen[sc]e"),
+        (TEXT, "accompanying under", r"the accompanying program is provided under the terms of this common public licen[sc]e"),
         (TAG, "spdx cpl", r"\bspdx-license-identifier: ?\(?(?:[\w.+-]+ (?:or|and|with) )*cpl-1\.0(?![\w.-])"),
         (NAME, "common licen", r"\b(?:the )?common public licen[sc]e\b"),
     ],
@@ -194,16 +194,16 @@ SIGNATURES = {
         (TAG, "spdx cddl", r"\bspdx-license-identifier: ?\(?(?:[\w.+-]+ (?:or|and|with) )*cddl-1\.[01](?![\w.-])"),
         (NAME, "common licen", r"\b(?:the )?common development and distribution licen[sc]e\b"),
         (NAME, "cddl licen", r"\b(?:the )?cddl(?: ?v?1\.[01])? licen[sc]e\b"),
-        (NOTICE, "cddl", r"\bunder (?:the terms of )?the cddl\b"),
+        (NOTICE, "cddl under", r"\bunder (?:the terms of )?the cddl\b"),
     ],
     "eupl": [
-        (TEXT, "european", r"licen[sc]ed under the eupl,? version 1\.[12] or [-–] as soon they will be approved by the european commission"),
+        (TEXT, "european under", r"licen[sc]ed under the eupl,? version 1\.[12] or [-–] as soon they will be approved by the european commission"),
         (TAG, "spdx eupl", r"\bspdx-license-identifier: ?\(?(?:[\w.+-]+ (?:or|and|with) )*eupl-1\.[012](?![\w.-])"),
         (NAME, "european licen", r"\b(?:the )?european union public licen[sc]e\b"),
-        (NOTICE, "eupl", r"\b(?:licen[sc]ed )?under (?:the terms of )?(?:the )?eupl\b"),
+        (NOTICE, "eupl under", r"\b(?:licen[sc]ed )?under (?:the terms of )?(?:the )?eupl\b"),
     ],
     "osl": [
-        (TEXT, "software", r"licen[sc]ed under the open software licen[sc]e version [123]\.[01]"),
+        (TEXT, "software under", r"licen[sc]ed under the open software licen[sc]e version [123]\.[01]"),
         (TAG, "spdx osl", r"\bspdx-license-identifier: ?\(?(?:[\w.+-]+ (?:or|and|with) )*osl-[123]\.[01](?![\w.-])"),
         (NAME, "software licen", r"\b(?:the )?open software licen[sc]e\b"),
     ],
@@ -213,7 +213,7 @@ SIGNATURES = {
     ],
     "artistic": [
         (TEXT, "package", r"you may make and give away verbatim copies of the source form of the standard version of this package"),
-        (TEXT, "perl", r"you can redistribute it and/or modify it under the same terms as perl itself"),
+        (TEXT, "perl redistribute under", r"you can redistribute it and/or modify it under the same terms as perl itself"),
         (TAG, "spdx artistic", r"\bspdx-license-identifier: ?\(?(?:[\w.+-]+ (?:or|and|with) )*artistic-[12]\.0(?![\w.])"),
         (NAME, "artistic licen", r"\b(?:the )?(?:perl )?artistic licen[sc]e\b"),
         (ADDRESS, "opensource", r"opensource\.org/licenses?/artistic"),
@@ -226,7 +226,7 @@ SIGNATURES = {
         (TEXT, "removed", r"this notice may not be removed or altered from any source distribution"),
         (TAG, "spdx zlib", r"\bspdx-license-identifier: ?\(?(?:[\w.+-]+ (?:or|and|with) )*zlib(?![\w.-])"),
         (NAME, "zlib licen", r"\b(?:the )?zlib(?:/libpng)? licen[sc]e\b"),
-        (NOTICE, "zlib", r"\b(?:licen[sc]ed|released|distributed|available) under (?:the terms of )?the zlib(?:/libpng)?(?: licen[sc]e)?\b"),
+        (NOTICE, "zlib under", r"\b(?:licen[sc]ed|released|distributed|available) under (?:the terms of )?the zlib(?:/libpng)?(?: licen[sc]e)?\b"),
         (ADDRESS, "opensource", r"opensource\.org/licenses?/zlib"),
     ],
     "libpng": [
@@ -235,7 +235,7 @@ SIGNATURES = {
         (NAME, "libpng licen", r"\b(?:the )?libpng licen[sc]e\b"),
     ],
     "boost": [
-        (TEXT, "boost", r"distributed under the boost software licen[sc]e,? version 1\.0"),
+        (TEXT, "boost under", r"distributed under the boost software licen[sc]e,? version 1\.0"),
         (TEXT, "machine-executable", r"unless such copies or derivative works are solely in the form of machine-executable object code"),
         (TAG, "spdx bsl", r"\bspdx-license-identifier: ?\(?(?:[\w.+-]+ (?:or|and|with) )*bsl-1\.0(?![\w.-])"),
         (NAME, "boost licen", r"\b(?:the )?boost software licen[sc]e\b"),
@@ -267,13 +267,13 @@ SIGNATURES = {
     ],
     "php": [
         (TEXT, "php", r"this source file is subject to version 3\.0?1? of the php licen[sc]e"),
-        (TEXT, "php", r"products derived from this software may not be called \"?php\"?"),
+        (TEXT, "php products", r"products derived from this software may not be called \"?php\"?"),
         (TAG, "spdx php", r"\bspdx-license-identifier: ?\(?(?:[\w.+-]+ (?:or|and|with) )*php-3\.01?(?![\w.-])"),
         (NAME, "php licen", r"\b(?:the )?php licen[sc]e\b"),
         (ADDRESS, "php", r"php\.net/licen[sc]e"),
     ],
     "ruby": [
-        (TEXT, "ruby", r"you (?:can|may) redistribute it and/or modify it under the same terms as ruby"),
+        (TEXT, "ruby redistribute under", r"you (?:can|may) redistribute it and/or modify it under the same terms as ruby"),
         (TAG, "spdx ruby", r"\bspdx-license-identifier: ?\(?(?:[\w.+-]+ (?:or|and|with) )*ruby(?![\w.-])"),
         (NAME, "ruby licen", r"\b(?:the )?ruby licen[sc]e\b"),
     ],
@@ -304,14 +304,14 @@ SIGNATURES = {
         (NAME, "microsoft licen", r"\b(?:the )?microsoft reciprocal licen[sc]e\b"),
     ],
     "ofl": [
-        (TEXT, "font", r"this font software is licen[sc]ed under the sil open font licen[sc]e,? version 1\.[01]"),
-        (TEXT, "reserved", r"no modified version of the font software may use the reserved font name"),
+        (TEXT, "font sil under", r"this font software is licen[sc]ed under the sil open font licen[sc]e,? version 1\.[01]"),
+        (TEXT, "reserved font", r"no modified version of the font software may use the reserved font name"),
         (TAG, "spdx ofl", r"\bspdx-license-identifier: ?\(?(?:[\w.+-]+ (?:or|and|with) )*ofl-1\.[01](?![\w.])"),
         (NAME, "font licen", r"\b(?:the )?(?:sil )?open font licen[sc]e\b"),
         (ADDRESS, "sil", r"scripts\.sil\.org/ofl"),
     ],
     "odbl": [
-        (TEXT, "database", r"made available under the open database licen[sc]e"),
+        (TEXT, "database under", r"made available under the open database licen[sc]e"),
         (TAG, "spdx odbl", r"\bspdx-license-identifier: ?\(?(?:[\w.+-]+ (?:or|and|with) )*odbl-1\.0(?![\w.-])"),
         (NAME, "database licen", r"\b(?:the )?open (?:data commons open )?database licen[sc]e\b"),
         (ADDRESS, "opendatacommons", r"opendatacommons\.org/licenses/odbl"),
@@ -344,7 +344,7 @@ SIGNATURES = {
         (NAME, "elastic", r"\b(?:the )?elastic licen[sc]e(?: 2\.0)?\b"),
     ],
     "commons-clause": [
-        (TEXT, "licensor", r"the software is provided to you by the licensor under the licen[sc]e,? as defined below,? subject to the following condition"),
+        (TEXT, "licensor under", r"the software is provided to you by the licensor under the licen[sc]e,? as defined below,? subject to the following condition"),
         (NAME, "commons", r"\bcommons clause(?: licen[sc]e)?(?: condition)?\b"),
     ],
     "rpl": [
@@ -361,7 +361,7 @@ SIGNATURES = {
         (NAME, "sleepycat licen", r"\b(?:the )?sleepycat licen[sc]e\b"),
     ],
     "vim": [
-        (TEXT, "vim", r"there are no restrictions on distributing unmodified copies of vim"),
+        (TEXT, "vim unmodified", r"there are no restrictions on distributing unmodified copies of vim"),
         (TAG, "spdx vim", r"\bspdx-license-identifier: ?\(?(?:[\w.+-]+ (?:or|and|with) )*vim(?![\w.-])"),
         (NAME, "vim licen", r"\b(?:the )?vim licen[sc]e\b"),
     ],
@@ -386,17 +386,17 @@ SIGNATURES = {
         (NAME, "oak licen", r"\b(?:the )?blue oak model licen[sc]e\b"),
     ],
     "mulan": [
-        (TEXT, "mulan", r"licen[sc]ed under (?:the )?mulan psl v[12]"),
+        (TEXT, "mulan under", r"licen[sc]ed under (?:the )?mulan psl v[12]"),
         (TAG, "spdx mulanpsl", r"\bspdx-license-identifier: ?\(?(?:[\w.+-]+ (?:or|and|with) )*mulanpsl-[12]\.0(?![\w.-])"),
         (NAME, "mulan licen", r"\b(?:the )?mulan (?:permissive|public)(?: software)? licen[sc]e\b"),
     ],
     "beerware": [
-        (TEXT, "beer", r"if we meet some day,? and you think this stuff is worth it,? you can buy me a beer"),
+        (TEXT, "beer worth", r"if we meet some day,? and you think this stuff is worth it,? you can buy me a beer"),
         (TAG, "spdx beerware", r"\bspdx-license-identifier: ?\(?(?:[\w.+-]+ (?:or|and|with) )*beerware(?![\w.-])"),
         (NAME, "beer licen", r"\b(?:the )?beer-?ware licen[sc]e\b"),
     ],
     "json": [
-        (TEXT, "evil", r"the software shall be used for good,? not evil"),
+        (TEXT, "evil good", r"the software shall be used for good,? not evil"),
         (TAG, "spdx json", r"\bspdx-license-identifier: ?\(?(?:[\w.+-]+ (?:or|and|with) )*json(?![\w.-])"),
     ],
     "cc0": [
@@ -408,7 +408,7 @@ SIGNATURES = {
         (ADDRESS, "creativecommons", r"creativecommons\.org/publicdomain/zero"),
     ],
     "cc-by-sa": [
-        (NOTICE, "creative", r"\b(?:licen[sc]ed|released|available|published) under (?:the terms of )?(?:the |a )?creative commons attribution[ -]share ?alike"),
+        (NOTICE, "creative under", r"\b(?:licen[sc]ed|released|available|published) under (?:the terms of )?(?:the |a )?creative commons attribution[ -]share ?alike"),
         (TAG, "spdx cc-by-sa", r"\bspdx-license-identifier: ?\(?(?:[\w.+-]+ (?:or|and|with) )*cc-by-sa-[1-4]\.0(?![\w.])"),
         (NAME, "creative", r"\b(?:the )?creative commons attribution[ -]share ?alike(?: \d\.\d)?(?: international| unported)?(?: licen[sc]e)?\b"),
         (NAME, "by-sa", r"\bcc[ -]by-sa(?: \d\.\d)?\b"),
@@ -439,7 +439,7 @@ SIGNATURES = {
         (ADDRESS, "creativecommons", r"creativecommons\.org/licenses/by-nc"),
     ],
     "cc-by": [
-        (NOTICE, "creative licen", r"\b(?:licen[sc]ed|released|available|published) under (?:the terms of )?(?:the |a )?creative commons attribution(?: \d\.\d)?(?: international)? licen[sc]e\b"),
+        (NOTICE, "creative licen under", r"\b(?:licen[sc]ed|released|available|published) under (?:the terms of )?(?:the |a )?creative commons attribution(?: \d\.\d)?(?: international)? licen[sc]e\b"),
         (TAG, "spdx cc-by", r"\bspdx-license-identifier: ?\(?(?:[\w.+-]+ (?:or|and|with) )*cc-by-[1-4]\.0(?![\w.])"),
         (NAME, "creative", r"\b(?:the )?creative commons attribution(?: \d\.\d)?(?: international| unported)?(?: licen[sc]e)?\b"),
         (NAME, "cc-by", r"\bcc-by(?: \d\.\d)?\b"),
@@ -463,9 +463,9 @@ SIGNATURES = {
         (REMARK, "©", r"© ?\d{4}\b"),
     ],
     "unspecified": [
-        (REMARK, "licen", r"\bsee (?:the )?(?:accompanying )?licen[sc]e(?:\.(?:txt|md))? (?:file )?for (?:details|more information|the full)"),
-        (REMARK, "licen", r"\blicen[sc]ed under the same terms as\b"),
-        (REMARK, "licen", r"\bdual[- ]licen[sc]ed\b"),
+        (REMARK, "licen see", r"\bsee (?:the )?(?:accompanying )?licen[sc]e(?:\.(?:txt|md))? (?:file )?for (?:details|more information|the full)"),
+        (REMARK, "licen same terms", r"\blicen[sc]ed under the same terms as\b"),
+        (REMARK, "licen dual", r"\bdual[- ]licen[sc]ed\b"),
     ],
 }
 

@@ -1,7 +1,7 @@
 """License scan by ordered signature rules.
 
-Words of the whole table are hashed in vectorised passes, and keywords are looked for as strings in a whole
-slice at once; a text that holds all keywords of no rule is done with that.  Otherwise the rules whose keywords
+Words of the whole table are hashed in vectorised passes, and one automaton finds which keywords of any rule a
+text holds; a text that holds all keywords of no rule is done with that.  Otherwise the rules whose keywords
 occur are tried on the whole text, in order; a detection that lies inside one of an earlier rule is suppressed.  Rules see a run of white space, with line ends and the marks of
 comment lines in it, as one space, so that wrapped texts match; places are those of the text as it is.  Base phrases (mit license, apache license, general public
 license) are counted at every place where their words stand consecutively, and their labels stay in any case.
@@ -17,6 +17,7 @@ import bisect
 import re
 from collections.abc import Iterable, Iterator
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -26,7 +27,6 @@ from tarn.llm import flat
 from tarn.llm.license_rules import Rule, build
 
 BASE = (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl"))
-_LOWER = {c: c + 32 for c in range(65, 91)}
 RULES = build()
 
 
@@ -66,16 +66,11 @@ def detections(text: str, rules: list[Rule]) -> list[tuple[int, int, Rule]]:
     return [(a + added[bisect.bisect_left(places, a)], b + added[bisect.bisect_left(places, b)], rule) for a, b, rule in kept]
 
 
-def holders(text: bytes, at: list[int], keyword: bytes) -> list[int]:
-    """Documents, the bytes at[d] to at[d + 1] of text, that hold keyword."""
-    out, found = [], text.find(keyword)
-    while found >= 0:
-        d = bisect.bisect_right(at, found) - 1
-        if found + len(keyword) <= at[d + 1]:
-            out.append(d)
-            found = text.find(keyword, at[d + 1])
-        else:
-            found = text.find(keyword, found + 1)
+def automaton(keywords: list[str]) -> ahocorasick.Automaton:
+    out = ahocorasick.Automaton()
+    for k in keywords:
+        out.add_word(k, k)
+    out.make_automaton()
     return out
 
 
@@ -85,12 +80,15 @@ def scan(docs: DataFrame, rules: list[Rule] = RULES, spans: bool = False) -> Dat
     spans adds `found`: label and start and end of each kept detection, counted in characters.
     """
     keywords = sorted({k for r in rules for k in r.keywords})
+    automata: list[ahocorasick.Automaton] = []  # one per worker, made there
     by_first: dict[str, list[Rule]] = {}
     for r in rules:
         by_first.setdefault(r.keywords[0], []).append(r)
     phrases = [(np.array([flat.hash_of(w) for w in p.split()], np.uint64), label) for p, label in BASE]
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if not automata:
+            automata.append(automaton(keywords))
         for batch in batches:
             for part, data, at in flat.slices(batch):
                 w = flat.words(data, at, flat.ALNUM, fold=True)
@@ -114,18 +112,15 @@ def scan(docs: DataFrame, rules: list[Rule] = RULES, spans: bool = False) -> Dat
                 base = [set() for _ in range(n)]
                 for d, k in zip(doc.tolist(), kind.tolist(), strict=True):
                     base[d].add(phrases[k][1])
-                gates: dict[int, set] = {}
                 lower, edges = data.tobytes().lower(), at.tolist()
-                for k in keywords:
-                    for d in holders(lower, edges, k.encode()):
-                        gates.setdefault(d, set()).add(k)
                 labels, score, found = [set(b) for b in base], np.where(n_base > 0, 0.8, 0.0), [[] for _ in range(n)]
-                for d, gate in gates.items():
+                for d in range(n):
+                    line = lower[edges[d] : edges[d + 1]].decode()
+                    gate = {k for _, k in automata[0].iter(line)}
                     tried = [r for k in gate for r in by_first.get(k, ()) if gate.issuperset(r.keywords)]
                     if not tried:
                         continue
-                    text = data[at[d] : at[d + 1]].tobytes().decode().translate(_LOWER)
-                    for start, end, rule in detections(text, tried):
+                    for start, end, rule in detections(line, tried):
                         labels[d].add(rule.label)
                         score[d] = max(score[d], rule.confidence)
                         found[d].append({"label": rule.label, "start": start, "end": end})
