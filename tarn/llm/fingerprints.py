@@ -156,7 +156,8 @@ def fingerprints(spark: SparkSession, docs: DataFrame) -> DataFrame:
     other = F.struct(F.col("at.before").alias("part"), F.lit(1).alias("border"))
     rows = keys.withColumn("to", F.explode(F.when(F.col("at.before") < 0, F.array(own)).otherwise(F.array(own, other))))
     rows = rows.select("to.part", "to.border", "doc_id", "text", "tag")
-    rows = rows.repartition(max(partitions(spark), total // 4), "part").sortWithinPartitions("part", "border", F.col("doc_id").asc_nulls_last(), "tag")
+    tasks = max(partitions(spark), total // 4)
+    rows = rows.repartitionById(tasks, F.pmod("part", F.lit(tasks)).cast("int")).sortWithinPartitions("part", "border", F.col("doc_id").asc_nulls_last(), "tag")
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list | None = None  # the row that waits for its next: part, border, id, text, sketch, some
