@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tarn.llm import flat
+from tarn.llm.common import Scratch
 
 FEATURES = 1 << 13
 RANK = 48
@@ -32,7 +33,8 @@ REGIONS = 1024
 #: Points between two quantiles of a region.
 QUANTILE_POINTS = 4
 NOISE = 1e-3
-CHUNK = 1 << 17
+#: Words whose directions are gathered at a time: few enough for the cache.
+CHUNK = 1 << 12
 
 
 class Tree(NamedTuple):
@@ -162,14 +164,19 @@ def tree(sample: np.ndarray, weight: np.ndarray, regions: int) -> Tree:
 
 def fit(rows: DataFrame, regions: int, tag: Column) -> tuple[np.ndarray, Tree]:
     """Directions and tree for rows(doc_id, text, tag); `tag` is a number that differs between rows, its hash samples."""
-    n = rows.count()
-    pick = F.xxhash64(F.lit("sample"), tag)
+    n = max(1, rows.count())
+    scratch = Scratch(rows.sparkSession, "dealing")
+    pick = F.pmod(F.xxhash64(F.lit("sample"), F.col("k")), F.lit(1 << 40))
+
+    def share(wanted: int) -> Column:
+        return F.lit(True) if wanted >= n else pick < int(wanted / n * (1 << 40))
+
+    # rows that agree in everything are one row of the sample, however many there are
+    few = rows.select("text", tag.alias("k")).filter(share(max(FIT_ROWS, SHARD_POINTS * regions))).groupBy("k").agg(F.first("text").alias("text"))
+    few = scratch.keep(few, "sample")
 
     def sample(wanted: int) -> DataFrame:
-        share = min(1.0, wanted / max(1, n))
-        # rows that agree in everything are one point of the sample, however many there are
-        few = rows.filter(F.pmod(pick, F.lit(1 << 40)) < int(share * (1 << 40))) if share < 1 else rows
-        return few.select("text", tag.alias("k")).groupBy("k").agg(F.first("text").alias("text"))
+        return few.filter(share(wanted))
 
     def count(batches):
         for batch in batches:
@@ -193,6 +200,7 @@ def fit(rows: DataFrame, regions: int, tag: Column) -> tuple[np.ndarray, Tree]:
     second = sample(SHARD_POINTS * regions).select("text", "k").mapInArrow(project, "k long, size long, point binary").collect()
     second.sort(key=lambda r: (r.k, r.size))
     spots = np.frombuffer(b"".join(bytes(r.point) for r in second), np.float32).reshape(-1, basis.shape[1] + 1)
+    scratch.drop("sample")
     return basis, tree(spots, np.array([r.size for r in second], np.float64), regions)
 
 

@@ -40,6 +40,8 @@ SHARDS_PER_TASK = 8
 #: Words that more documents of a shard have than this share of them are kept as rows over all its documents.
 COMMON_SHARE = 0.25
 K1, B = 1.5, 0.75
+#: Neighbours that are put in order at once.
+FEW = 32
 
 
 class Index:
@@ -68,20 +70,26 @@ class Index:
         first = np.concatenate([[0], np.cumsum([len(t) for t, _ in own])])
         self.query = [(x := inverse[first[d] : first[d + 1]])[df[x] > 1] for d in range(n)]
 
-    def neighbours(self, d: int, unused: np.ndarray) -> list[int]:
+    def neighbours(self, d: int, unused: np.ndarray) -> Iterator[int]:
         """Unused documents that share a word with d, by all words of d, the best first, ties by place."""
         if not len(self.query[d]):
-            return []
+            return
         row = self.row[self.query[d]]
         terms = self.query[d][row < 0]
         size = self.edge[terms + 1] - self.edge[terms]
         rows = np.repeat(self.edge[terms] - np.cumsum(size) + size, size) + np.arange(size.sum())
         score = np.bincount(self.doc[rows], weights=self.weight[rows], minlength=self.n).astype(np.float64, copy=False)
         row = row[row >= 0]
-        for k in range(0, len(row), 64):
-            score += self.dense[row[k : k + 64]].sum(axis=0)
+        if len(row):
+            score += self.dense[row].sum(axis=0)
         found = np.flatnonzero((score > 0) & unused)
-        return found[np.argsort(-score[found], kind="stable")].tolist()
+        # most windows are full after a few, so the best are ordered first and the rest only if they are asked for
+        if len(found) > 2 * FEW:
+            cut = -np.partition(-score[found], FEW)[FEW]
+            best = found[score[found] > cut]
+            yield from best[np.argsort(-score[best], kind="stable")].tolist()
+            found = found[score[found] <= cut]
+        yield from found[np.argsort(-score[found], kind="stable")].tolist()
 
 
 def pack(sizes: np.ndarray, texts: np.ndarray, index: Index, window: int = WINDOW) -> list[tuple[int, int, int, int, int]]:
@@ -117,7 +125,7 @@ def pack(sizes: np.ndarray, texts: np.ndarray, index: Index, window: int = WINDO
             if not room:
                 break
             if waiting is None:
-                waiting = iter(index.neighbours(seed, unused))
+                waiting = index.neighbours(seed, unused)
             now = None
             for k in waiting:
                 if int(texts[k]) in same:
@@ -160,7 +168,8 @@ def pack_documents(spark: SparkSession, docs: DataFrame, vocabulary: str = "byte
         F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(text, F.lit("")).alias("text"), F.xxhash64(text).alias("tag")
     )
     rows = deal(rows, shards, F.xxhash64("doc_id", "tag"))
-    rows = rows.repartition(max(partitions(spark), -(-shards // SHARDS_PER_TASK)), "shard").sortWithinPartitions("shard", "doc_id", "tag")
+    tasks = max(partitions(spark), -(-shards // SHARDS_PER_TASK))
+    rows = rows.repartitionById(tasks, F.pmod("shard", F.lit(tasks)).cast("int")).sortWithinPartitions("shard", "doc_id", "tag")
 
     def finish(shard: int, held: list) -> Iterator[pa.RecordBatch]:
         encoder = Encoder.of(vocabulary)

@@ -491,7 +491,7 @@ def test_neighbours_score_all_words():
                 if tf and df[t] > 1:
                     score[e] += np.log((n - df[t] + 0.5) / (df[t] + 0.5) + 1) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len(words[e]) / mean))
         unused = np.arange(n) != d
-        got = index.neighbours(d, unused)
+        got = list(index.neighbours(d, unused))
         assert sorted(got) == np.flatnonzero((score > 0) & unused).tolist()
         assert all(score[a] >= score[b] - 1e-4 for a, b in zip(got[:-1], got[1:], strict=True))
 
