@@ -28,7 +28,7 @@ RANK = 48
 #: Documents that the directions are fitted on, at most about.
 FIT_ROWS = 3000
 #: Points of the second sample per shard, until there are REGIONS shards.
-SHARD_POINTS = 32
+SHARD_POINTS = 128
 REGIONS = 1024
 #: Points between two quantiles of a region.
 QUANTILE_POINTS = 4

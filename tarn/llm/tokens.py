@@ -17,6 +17,7 @@ import os
 import re
 
 import numpy as np
+import pandas as pd
 
 from tarn.llm import flat
 
@@ -159,7 +160,9 @@ class Encoder:
         cut[n] = False
         start = np.flatnonzero(cut)
         end = np.append(start[1:], n)
-        every, place, which = np.unique(flat.hashes(data, start, end), return_index=True, return_inverse=True)
+        which, every = pd.factorize(flat.hashes(data, start, end))  # by a hash table: no sort of all pieces
+        place = np.empty(len(every), np.int64)
+        place[which[::-1]] = np.arange(len(which) - 1, -1, -1)
         if len(self.names) + len(self.new) + len(every) > REMEMBERED:
             self.forget()
         held = self._find(every, lambda k: raw[start[place[k]] : end[place[k]]].decode())
