@@ -97,6 +97,25 @@ ORACLES: dict[str, str] = {
         FROM documents
         WINDOW same AS (PARTITION BY coalesce(text, ''))
     """,
+    # CRC-32, the splitmix64 finaliser and jump consistent hashing, step by step
+    "op6_sharding": r"""
+        WITH RECURSIVE two AS (SELECT 18446744073709551616::UHUGEINT AS two64, list_transform(range(256), lambda i: list_reduce(list_concat([i], range(8)), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END)) AS crc_table),
+        d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(octet_length(encode(text)), 0) + 1 AS size,
+            list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda x: ('0x' || x)::BIGINT) AS own, list_transform(regexp_extract_all(hex(encode(coalesce(doc_id::VARCHAR, ''))), '..'), lambda x: ('0x' || x)::BIGINT) AS name FROM documents),
+        c AS (SELECT r, doc_id, size, xor(list_reduce(list_concat([4294967295], own), lambda c, b: xor(c // 256, crc_table[xor(c, b) % 256 + 1])), 4294967295) AS text_crc32,
+            xor(list_reduce(list_concat([4294967295], name), lambda c, b: xor(c // 256, crc_table[xor(c, b) % 256 + 1])), 4294967295) AS number FROM d, two),
+        k0 AS (SELECT DISTINCT doc_id, (CASE WHEN doc_id < 0 THEN two64 + doc_id::HUGEINT ELSE coalesce(doc_id, 0)::UHUGEINT END)::UBIGINT AS x, two64 FROM documents, two),
+        k1 AS (SELECT doc_id, two64, (xor(x, x >> 30)::UHUGEINT * 13787848793156543929::UHUGEINT % two64)::UBIGINT AS x FROM k0),
+        k2 AS (SELECT doc_id, two64, (xor(x, x >> 27)::UHUGEINT * 10723151780598845931::UHUGEINT % two64)::UBIGINT AS x FROM k1),
+        keys AS (SELECT doc_id, n, xor(x, x >> 31) AS key FROM k2, (VALUES (8), (9)) v(n)),
+        jump AS (SELECT doc_id, n, key, -1::BIGINT AS spot, 0::BIGINT AS ahead FROM keys UNION ALL
+            SELECT doc_id, n, next, ahead, floor((ahead + 1) * (2147483648.0::DOUBLE / ((next >> 33)::DOUBLE + 1.0)))::BIGINT FROM (
+                SELECT *, ((key::UHUGEINT * 2862933555777941757::UHUGEINT + 1::UHUGEINT) % two64)::UBIGINT AS next FROM jump, two WHERE ahead < n)),
+        placed AS (SELECT doc_id, any_value(spot) FILTER (n = 8) AS shard, any_value(spot) FILTER (n = 9) AS grown_shard FROM jump WHERE ahead >= n GROUP BY doc_id),
+        blocks AS (SELECT greatest(1, ceil(count(*) / 20000))::BIGINT AS blocks FROM (SELECT DISTINCT doc_id, size, text_crc32 FROM c))
+        SELECT c.doc_id, size::BIGINT AS size, text_crc32, 'key' AS law, shard::INT AS shard, row_number() OVER (PARTITION BY shard ORDER BY number % blocks, c.doc_id NULLS FIRST, size, text_crc32) - 1 AS slot, grown_shard::INT AS grown_shard
+        FROM c JOIN placed ON c.doc_id IS NOT DISTINCT FROM placed.doc_id CROSS JOIN blocks
+    """,
     "op8_substring_dedup": r"""
         WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
         win AS (SELECT doc_id, i, array_to_string(ws[i:i + 34], ' ') AS s FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 33)) AS i FROM w WHERE len(ws) >= 35)),

@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import os
 import random
 import re
 import zlib
@@ -209,6 +210,30 @@ def test_targets_and_fit():
     assert mixing.fit(np.array([4, 6]), np.array([3, 2]), 11).tolist() in ([1, 1], [1, 1])
 
 
+def test_mixing_comes_as_near_as_any_subset(spark):
+    """Sources of short and of very long texts, each against every sum that whole documents can make."""
+    rng = random.Random(9)
+    data = []
+    for source, lengths in (("a", [rng.randrange(1, 60) for _ in range(150)]), ("b", [9000, 7, 7, 12, 5000]), ("c", [40] * 60), (None, [3, 5, 2000])):
+        data += [(len(data) + k, " ".join(["w"] * n), source) for k, n in enumerate(lengths)]
+    got = mixing.mix(spark, spark.createDataFrame(data, "doc_id long, text string, source string")).collect()
+    sources = {i: s for i, _, s in data}
+    size = collections.Counter()
+    for r in got:
+        size[sources[r.doc_id]] += r["size"]
+    wanted = mixing.targets(list(size.items()))
+    for source, whole in size.items():
+        rows_ = [r for r in got if sources[r.doc_id] == source]
+        budget = int(wanted[source] + Fraction(1, 2))
+        times, rest = divmod(budget, whole)
+        sums = 1
+        for r in rows_:
+            sums |= sums << r["size"]
+        nearest = min((abs(s - rest) for s in range(whole + 1) if sums >> s & 1), default=0) if times < 2 else 0
+        assert rows_[0].source_size == whole and rows_[0].target == float(wanted[source])
+        assert abs(sum(r.taken for r in rows_) - budget) == nearest
+
+
 def brute_removed(texts, n):
     words = [WORD.findall(t or "") for t in texts]
     count = collections.Counter(tuple(w[i : i + n]) for w in words for i in range(len(w) - n + 1))
@@ -563,6 +588,14 @@ def test_expectation_maximisation_by_rows():
     assert abs(got.prior - prior) < 1e-9 and np.allclose(got.table[:, :, 2].T, says)
 
 
+@pytest.mark.skipif(not os.path.exists("/root/testdata/sf0.01/labels.parquet"), reason="needs the test tables")
+def test_quality_agrees_with_labels(spark):
+    table_ = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    judged = quality.judge(table_, quality.fit(spark, table_)).join(spark.read.parquet("/root/testdata/sf0.01/labels.parquet").withColumnRenamed("quality", "truth"), "doc_id")
+    same, n = judged.agg(F.count_if(F.col("kept") == (F.col("truth") == 1)), F.count("*")).first()
+    assert n > 100 and same >= 0.98 * n
+
+
 def test_quality(spark, docs, empty):
     rng = random.Random(1)
     common, long = ["the", "of", "and", "a", "to", "in"], [f"{a}{b}{c}" for a in ("con", "tra", "per") for b in ("ven", "duc", "mit") for c in ("tion", "able", "ing")]
