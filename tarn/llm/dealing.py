@@ -32,7 +32,8 @@ SHARD_POINTS = 128
 REGIONS = 1024
 #: Points between two quantiles of a region.
 QUANTILE_POINTS = 4
-NOISE = 1e-3
+#: Size of the coordinate that comes from a hash, and its weight in any direction at least.
+NOISE, HASH_SHARE = 1e-3, 0.5
 #: Words whose directions are gathered at a time: few enough for the cache.
 CHUNK = 1 << 12
 
@@ -55,7 +56,7 @@ class Tree(NamedTuple):
         moving = np.flatnonzero(node >= 0)
         while len(moving):
             k = node[moving]
-            below = np.einsum("ij,ij->i", points[moving], self.direction[k]) < self.cut[k]
+            below = np.einsum("ij,ij->i", points[moving].astype(np.float64), self.direction[k]) < self.cut[k]
             node[moving] = np.where(below, self.left[k], self.right[k])
             moving = moving[node[moving] >= 0]
         return -node - 1
@@ -110,14 +111,16 @@ def points(data: np.ndarray, at: np.ndarray, tags: np.ndarray, basis: np.ndarray
 
 
 def main_direction(x: np.ndarray) -> np.ndarray | None:
-    """The unit vector along which the points lie farthest apart; None where they are one point."""
+    """The vector along which the points lie farthest apart, with some of the hash, so that a cut parts copies too; None where they are one point."""
     if not len(x):
         return None
     middle = x.mean(axis=0)
     values, vectors = np.linalg.eigh((x - middle).T @ (x - middle))
     if values[-1] <= 1e-12 * len(x):
         return None
-    return vectors[:, -1] * (1 if vectors[np.argmax(np.abs(vectors[:, -1])), -1] > 0 else -1)
+    best = vectors[:, -1] * (1 if vectors[np.argmax(np.abs(vectors[:, -1])), -1] > 0 else -1)
+    best[-1] = max(abs(best[-1]), HASH_SHARE)
+    return best
 
 
 def tree(sample: np.ndarray, weight: np.ndarray, regions: int) -> Tree:
@@ -150,7 +153,7 @@ def tree(sample: np.ndarray, weight: np.ndarray, regions: int) -> Tree:
             else:
                 best, order, half = hashed, np.arange(len(rows)), 0
                 middle_cut = NOISE * (parts // 2) / parts
-            direction.append(best.astype(np.float32))
+            direction.append(best)
             cut.append(middle_cut)
             left.append(0)
             right.append(0)
@@ -158,7 +161,7 @@ def tree(sample: np.ndarray, weight: np.ndarray, regions: int) -> Tree:
             todo.append((rows[order[:half]], parts // 2, at, left))
         if side is not None:
             side[parent] = at
-    empty = np.zeros((0, sample.shape[1]), np.float32)
+    empty = np.zeros((0, sample.shape[1]))
     return Tree(np.array(direction) if direction else empty, np.array(cut), np.array(left, np.int64), np.array(right, np.int64), np.array(across), marks)
 
 
