@@ -11,13 +11,12 @@ pair at similarity 0.8 shares none with probability 5e-8.  Bands with up to 12 c
 A larger band compares all its classes with one pivot, the class that meets the most others over all bands,
 so that a group of copies around an original is settled in one linear step.  What a pivot leaves open is
 settled by blocks: the classes that share a large band with the pivot but are not connected to it are compared
-with all of the pivot's classes that they could link to, 64 by 64 inside tasks.  First sketches alone go to the
+with all of the pivot's classes that they could link to, 256 by 256 inside tasks.  First sketches alone go to the
 blocks, which name the classes that have a partner there; the texts of these follow, and links alone return.
 Jaccard distance obeys the triangle inequality, so classes nearer to the pivot than the least distance of the open
-ones less 0.2 are spared; where a distance was not measured, bounds stand for it that hold but for a probability of
-1e-9: the distance of an open class is at least what its sketch allows, that of another at most 1.  Pairs are
-verified on full sets.  Pairs whose sketches agree in fewer coordinates than all but 1e-12 of pairs at the wanted
-similarity do (66 or so of 128 at 0.8) are not fetched.
+ones less 0.2 are spared; for that the distances of all open classes are measured, and another class whose distance
+was not counts as far away.  Pairs are verified on full sets.  Pairs whose sketches agree in fewer coordinates than
+all but 1e-12 of pairs at the wanted similarity do (67 of 128 at 0.8) are not fetched to be linked.
 
 Defined results: text that is null, empty or blank has the empty set and is linked with nothing; fewer words
 than a shingle make one shingle; equal sets are linked at any size; a null doc_id is never the smallest,
@@ -42,7 +41,10 @@ from tarn.llm.components import components
 COORDINATES = 128
 BAND_ROWS = 4
 ALL_PAIRS = 12
+#: Partners of a pivot that are verified in one group.
 BLOCK = 64
+#: Classes in a block of those that pivots leave open, and shingles that a block has about at most.
+OPEN_BLOCK, OPEN_SHINGLES = 256, 4 << 20
 
 
 def agreement(similarity: np.ndarray) -> np.ndarray:
@@ -57,12 +59,6 @@ def least_agreeing(percent: int) -> int:
     return int(np.searchsorted(agreement(np.array([percent / 100]))[0], 1e-12))
 
 
-def least_distances() -> np.ndarray:
-    """By the number of agreeing coordinates: a Jaccard distance that two sets almost surely have at least."""
-    grid = np.arange(1001) / 1000
-    return 1 - np.array([grid[(column > 1e-9).nonzero()[0].max()] for column in agreement(grid).T])
-
-
 def fast_sketch(elements: np.ndarray, first: np.ndarray, t: int = COORDINATES) -> np.ndarray:
     """Sketches of the sets elements[first[d]:first[d + 1]], a row of t coordinates each; t is a power of two up to 128."""
     docs = len(first) - 1
@@ -254,31 +250,28 @@ def near_groups(spark: SparkSession, docs: DataFrame, shingle: int = 5, percent:
     slots = classes.select("cls", F.explode("bands").alias("key"))
     shared = scratch.keep(slots.groupBy("key").agg(F.count("*").alias("held")).filter("held > 1"), "shared")
     members = scratch.keep(slots.join(shared, "key"), "members")
-    rank = members.groupBy("cls").agg(F.sum("held").alias("meets"))
+    # a class's bands, 32 at most, in one row, so that the sum over them needs no join
+    held = members.groupBy("cls").agg(F.sum("held").alias("meets"), F.collect_list(F.struct("key", "held")).alias("bands"))
 
     # pairs: all of a small band, and each class of a large one with its pivot
-    large = scratch.keep(members.filter(f"held > {ALL_PAIRS}").join(rank, "cls"), "large")
+    large = held.select("cls", "meets", F.explode(F.filter("bands", lambda x: x["held"] > ALL_PAIRS)).alias("band")).select("band.key", "cls", "meets")
+    large = scratch.keep(large, "large")
     pivots = scratch.keep(large.groupBy("key").agg(F.max(F.struct("meets", "cls"))["cls"].alias("p")), "pivots")
     family = scratch.keep(large.join(pivots, "key").select("p", "cls").distinct(), "family")
     small = members.filter(f"held <= {ALL_PAIRS}").select("key", "cls")
-    pairs = small.alias("x").join(small.alias("y"), "key").filter("x.cls < y.cls").select(F.col("x.cls").alias("p"), F.col("y.cls").alias("m"), F.lit(False).alias("pivot"))
-    pairs = pairs.union(family.filter("p != cls").select("p", F.col("cls").alias("m"), F.lit(True))).groupBy("p", "m").agg(F.max("pivot").alias("pivot"))
-    pairs = scratch.keep(pairs, "pairs")
+    pairs = small.alias("x").join(small.alias("y"), "key").filter("x.cls < y.cls").select(F.col("x.cls").alias("p"), F.col("y.cls").alias("m"))
+    pairs = scratch.keep(pairs.union(family.filter("p != cls").select("p", F.col("cls").alias("m"))).distinct(), "pairs")
     scratch.drop("members", "large", "pivots")
     least = least_agreeing(percent)
 
     def agreeing(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             x, y = (np.frombuffer(b"".join(b.column(b.schema.get_field_index(c)).to_pylist()), np.uint8).reshape(-1, COORDINATES) for c in ("ps", "ms"))
-            same = (x == y).sum(axis=1)
-            pivot = b.column(b.schema.get_field_index("pivot")).to_numpy(zero_copy_only=False)
-            out = pa.RecordBatch.from_arrays([*b.select(["p", "m"]).columns, pa.array(same, pa.int32())], names=["p", "m", "same"])
-            yield out.filter(pa.array((same >= least) | pivot))
+            yield b.select(["p", "m"]).filter(pa.array((x == y).sum(axis=1) >= least))
 
     sketches = classes.select("cls", "sk", "n")
     both = pairs.join(classes.select(F.col("cls").alias("m"), F.col("sk").alias("ms")), "m").join(classes.select(F.col("cls").alias("p"), F.col("sk").alias("ps")), "p")
-    agreed = scratch.keep(both.select("p", "m", "pivot", "ps", "ms").mapInArrow(agreeing, "p binary, m binary, same int"), "agreed")
-    chosen = agreed.filter(F.col("same") >= least).select("p", "m")
+    chosen = scratch.keep(both.select("p", "m", "ps", "ms").mapInArrow(agreeing, "p binary, m binary"), "chosen")
 
     # texts of one row of each class that is compared
     named = chosen.select(F.explode(F.array("p", "m")).alias("cls")).union(family.select("cls")).distinct()
@@ -287,40 +280,46 @@ def near_groups(spark: SparkSession, docs: DataFrame, shingle: int = 5, percent:
     if texts.count() > texts.select("cls").distinct().count():
         texts = scratch.keep(texts.dropDuplicates(["cls"]), "texts-once")
 
-    # a pivot's text goes to one group per BLOCK partners, a partner's once
-    uses = scratch.keep(chosen.groupBy("p").agg(F.count("*").alias("uses")), "uses")
-    dealt = chosen.join(uses, "p").withColumn("part", F.pmod(F.xxhash64("m"), F.ceil(F.col("uses") / BLOCK)))
-    wanted = dealt.select("p", "part", F.lit(0).alias("role"), F.col("p").alias("cls")).distinct().union(dealt.select("p", "part", F.lit(1), F.col("m")))
-    compared = (
-        wanted.join(texts, "cls").select("role", "cls", "text", "p", "part")
-        .repartition(parts, "p", "part").sortWithinPartitions("p", "part", "role").mapInArrow(_verify(shingle), "a binary, b binary, both long, union long")
-    )
-    compared = scratch.keep(compared, "compared")
+    def measured(pairs: DataFrame, name: str) -> DataFrame:
+        """(a, b, both, union) of pairs(p, m), from full sets: a pivot's text goes to one group per BLOCK partners, a partner's once."""
+        uses = scratch.keep(pairs.groupBy("p").agg(F.count("*").alias("uses")), f"{name}-uses")
+        dealt = pairs.join(uses, "p").withColumn("part", F.pmod(F.xxhash64("m"), F.ceil(F.col("uses") / BLOCK)))
+        wanted = dealt.select("p", "part", F.lit(0).alias("role"), F.col("p").alias("cls")).distinct().union(dealt.select("p", "part", F.lit(1), F.col("m")))
+        rows = wanted.join(texts, "cls").select("role", "cls", "text", "p", "part").repartition(parts, "p", "part").sortWithinPartitions("p", "part", "role")
+        return scratch.keep(rows.mapInArrow(_verify(shingle), "a binary, b binary, both long, union long"), name)
+
+    compared = measured(chosen, "compared")
     links = compared.filter(f"100 * both >= {percent} * union").select("a", "b")
     roots = components(scratch, links, "cc-pivots")
 
     # what pivots leave open
     d = (1 - F.col("both") / F.col("union")).alias("d")
-    away = compared.select(F.col("a").alias("p"), F.col("b").alias("cls"), d)
-    bounds = F.array(*(F.lit(float(x)) for x in least_distances()))
+
+    def distances(of: DataFrame) -> DataFrame:
+        return of.select(F.col("a").alias("p"), F.col("b").alias("cls"), d)
+
     state = (
-        family.join(away, ["p", "cls"], "left").join(agreed.select("p", F.col("m").alias("cls"), "same"), ["p", "cls"], "left")
-        .withColumn("d", F.when(F.col("p") == F.col("cls"), 0.0).otherwise(F.col("d")))
-        .withColumn("low", F.coalesce("d", bounds[F.coalesce("same", F.lit(COORDINATES))]))
+        family.join(distances(compared), ["p", "cls"], "left").withColumn("d", F.when(F.col("p") == F.col("cls"), 0.0).otherwise(F.col("d")))
         .join(roots.select(F.col("node").alias("cls"), "root"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     )
     state = scratch.keep(state, "state")
     base = scratch.keep(state.filter("p = cls").select("p", F.col("root").alias("base")), "base")
-    nearest = state.join(base, "p").filter("root != base").groupBy("p").agg(F.min("low").alias("nearest"), F.count("*").alias("open"))
+    away = scratch.keep(state.join(base, "p").filter("root != base").select("p", "cls", "d"), "away")
+    unknown = away.filter("d is null").select("p", F.col("cls").alias("m"))
+    if not unknown.isEmpty():
+        away = away.filter("d is not null").unionByName(distances(measured(unknown, "compared-open")))
+    nearest = away.groupBy("p").agg(F.min("d").alias("nearest"), F.count("*").alias("open"))
     nearest = scratch.keep(nearest.join(base, "p"), "nearest")
     if not nearest.isEmpty():
         left = state.join(nearest, "p").withColumn("side", (F.col("root") == F.col("base")).cast("int")).filter(
             (F.col("p") != F.col("cls")) & ((F.col("side") == 0) | (F.coalesce("d", F.lit(1.0)) >= F.col("nearest") - far - 1e-9))
         )
         left = scratch.keep(left.select("p", "cls", "root", "open", "side"), "open")
-        many = scratch.keep(left.groupBy("p").agg(F.count("*").alias("every")), "many")
-        left = left.join(many, "p").join(sketches, "cls")
-        own, all_ = F.ceil(F.col("open") / BLOCK).cast("int"), F.ceil(F.col("every") / BLOCK).cast("int")
+        left = left.join(sketches, "cls")
+        mine = F.when(F.col("side") == 0, F.col("n"))
+        many = left.groupBy("p").agg(F.count("*").alias("every"), F.sum("n").alias("shingles"), F.sum(mine).alias("open_shingles"))
+        left = left.join(scratch.keep(many, "many"), "p")
+        own, all_ = (F.ceil(F.greatest(F.col(k) / OPEN_BLOCK, F.col(m) / OPEN_SHINGLES)).cast("int") for k, m in (("open", "open_shingles"), ("every", "shingles")))
         i, j = F.pmod(F.xxhash64("cls"), own).cast("int"), F.pmod(F.xxhash64("cls"), all_).cast("int")
         columns = ["cls", "root", "sk", "n"]
         # an open class stands in its own block on side 0, facing every block of side 1, and on side 1 as all others do

@@ -62,6 +62,7 @@ def corpus(seed):
 def test_groups_match_brute_force(spark, monkeypatch, all_pairs, block):
     monkeypatch.setattr(near_dedup, "ALL_PAIRS", all_pairs)
     monkeypatch.setattr(near_dedup, "BLOCK", block)
+    monkeypatch.setattr(near_dedup, "OPEN_BLOCK", block)
     rows = corpus(all_pairs)
     got = near_dedup.near_groups(spark, spark.createDataFrame(rows, SCHEMA).repartition(3), shingle=2).collect()
     key = lambda x: tuple((v is None, v) for v in x)
