@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tarn.functions.stemming import as_stemmer, light_stem
+
 #: The default stop words.
 STOPWORDS = (
     "a about after all also an and are as at be been but by can could did do does for from had has have he her his "
@@ -12,9 +14,6 @@ STOPWORDS = (
     "there they this to up was we were what when which who will with would you"
 ).split()
 
-#: Endings that the light stemmer cuts from words of more than four characters.
-ENDINGS = "(ings|ing|edly|ed|es|ly|s)$"
-
 
 def words(text: Column) -> Column:
     """All words in order, stop words and numbers included; null has none."""
@@ -26,14 +25,6 @@ def is_index_word(word: Column, stopwords=STOPWORDS) -> Column:
     return ~word.rlike("^[0-9]+$") & ~word.isin(list(stopwords))
 
 
-def light_stem(word: Column) -> Column:
-    return F.when(F.length(word) > 4, F.regexp_replace(word, ENDINGS, "")).otherwise(word)
-
-
-def identity_stem(word: Column) -> Column:
-    return word
-
-
 def html_escape(text: Column) -> Column:
     out = F.coalesce(text, F.lit(""))
     for plain, entity in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
@@ -59,10 +50,16 @@ def clean_word(word: Column) -> Column:
 def snippet_parts(text: Column, stems: Column, stem=light_stem) -> tuple[Column, Column, Column]:
     """Words of the text, a flag for each that its stem is asked for, and the place of the first (0 if none)."""
     running = F.split(F.coalesce(text, F.lit("")), r"\s+")
-    flags = F.transform(running, lambda w: (clean_word(w) != "") & F.array_contains(stems, stem(clean_word(w))))
+    flags = _asked(running, stems, stem)
     return running, flags, F.array_position(flags, True)
 
 
+def _asked(running: Column, stems: Column, stem) -> Column:
+    """For each word of an array whether its stem is among the given ones."""
+    clean = F.transform(running, clean_word)
+    return F.zip_with(clean, as_stemmer(stem).each(clean), lambda w, s: (w != "") & F.array_contains(stems, s))
+
+
 def _window(running: Column, first: Column) -> tuple[Column, Column]:
     start = F.greatest(first - 8, F.lit(1))
     return start, F.least(F.size(running), first + 11) - start + 1
@@ -97,16 +94,8 @@ def highlighted_snippet(fields: list[Column], stems: Column, stem=light_stem) ->
 def highlight(text: Column, stems: Column, stem=light_stem) -> Column:
     """The whole text, escaped, with every hit marked and white space kept."""
     pieces = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"(\s+|\S+)"), F.lit(1))
-    return F.array_join(
-        F.transform(
-            pieces,
-            lambda w: F.when(
-                (clean_word(w) != "") & F.array_contains(stems, stem(clean_word(w))),
-                F.concat(F.lit("<mark>"), html_escape(w), F.lit("</mark>")),
-            ).otherwise(html_escape(w)),
-        ),
-        "",
-    )
+    marked = F.zip_with(pieces, _asked(pieces, stems, stem), lambda w, f: F.when(f, F.concat(F.lit("<mark>"), html_escape(w), F.lit("</mark>"))).otherwise(html_escape(w)))
+    return F.array_join(marked, "")
 
 
 def dot(a: Column, b: Column) -> Column:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -10,14 +11,27 @@ from pyspark.sql import functions as F
 LEVELS = 11
 
 
+def totals(qrels: DataFrame) -> DataFrame:
+    """(query_id, num_rel) of every judged query."""
+    return qrels.groupBy("query_id").agg(F.sum((F.col("rel") >= 1).cast("int")).alias("num_rel"))
+
+
 def judged(run: DataFrame, qrels: DataFrame) -> DataFrame:
-    """run(model, query_id, doc_id, score, rank) of judged queries, with rel, running relevant count and that query's totals."""
-    totals = qrels.groupBy("query_id").agg(F.sum((F.col("rel") >= 1).cast("int")).alias("num_rel"))
-    known = run.join(totals, "query_id").join(qrels, ["query_id", "doc_id"], "left").withColumn("rel", F.coalesce("rel", F.lit(0)))
+    """run(model, query_id, doc_id, score, rank) of judged queries, with rel, running relevant count and that query's total."""
+    known = run.join(totals(qrels), "query_id").join(qrels, ["query_id", "doc_id"], "left").withColumn("rel", F.coalesce("rel", F.lit(0)))
     line = Window.partitionBy("model", "query_id").orderBy("rank").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return known.withColumn("hit", (F.col("rel") >= 1).cast("int")).withColumn("hits", F.sum("hit").over(line))
 
 
+def every_query(run: DataFrame, qrels: DataFrame, models: Sequence[str] | None = None) -> DataFrame:
+    """(model, query_id, num_rel) for each model, those of the run unless given, and each judged query, found or not."""
+    if models is None:
+        names = run.select("model").distinct()
+    else:
+        names = run.sparkSession.createDataFrame([(m,) for m in models], "model string")
+    return totals(qrels).crossJoin(F.broadcast(names))  # names: a handful of models
+
+
 def _harmonic(p: Column, r: Column) -> Column:
     return F.when(p + r > 0, 2 * p * r / (p + r)).otherwise(0.0)
 
@@ -34,8 +48,8 @@ def ideal(qrels: DataFrame) -> DataFrame:
     return best.groupBy("query_id").agg(F.sum(F.when(F.col("place") <= 5, g).otherwise(0.0)).alias("idcg5"), F.sum(g).alias("idcg10"))
 
 
-def metrics(run: DataFrame, qrels: DataFrame) -> DataFrame:
-    """A row per model and judged query with results: all metrics, rounded to six places."""
+def metrics(run: DataFrame, qrels: DataFrame, models: Sequence[str] | None = None) -> DataFrame:
+    """A row per model and judged query, all metrics rounded to six places; 0 where a model found nothing."""
     rows = judged(run, qrels)
 
     def hits(k: int) -> Column:
@@ -43,12 +57,13 @@ def metrics(run: DataFrame, qrels: DataFrame) -> DataFrame:
 
     g = _gain(F.col("rel"), F.col("rank"))
     sums = rows.groupBy("model", "query_id").agg(
-        F.max("num_rel").alias("num_rel"), F.count("*").alias("num_ret"), F.sum("hit").alias("num_rel_ret"),
+        F.count("*").alias("num_ret"), F.sum("hit").alias("num_rel_ret"),
         hits(5).alias("h5"), hits(10).alias("h10"),
         F.sum(F.when(F.col("hit") == 1, F.col("hits") / F.col("rank")).otherwise(0.0)).alias("ap_sum"),
         F.sum(F.when(F.col("rank") <= 5, g).otherwise(0.0)).alias("dcg5"), F.sum(F.when(F.col("rank") <= 10, g).otherwise(0.0)).alias("dcg10"),
         F.sum(F.when(F.col("rank") <= F.col("num_rel"), F.col("hit")).otherwise(0)).alias("hr"),
-    ).join(ideal(qrels), "query_id")
+    )
+    sums = every_query(run, qrels, models).join(sums, ["model", "query_id"], "left").na.fill(0).join(ideal(qrels), "query_id")
     r = F.col("num_rel")
     p5, p10 = F.col("h5") / 5, F.col("h10") / 10
     r5, r10 = (F.when(r > 0, F.col(h) / r).otherwise(0.0) for h in ("h5", "h10"))
@@ -70,15 +85,16 @@ def means(measured: DataFrame) -> DataFrame:
     return measured.groupBy("model").agg(F.count("*").alias("n"), *(F.round(F.avg(m), 6).alias(m) for m in MEASURES))
 
 
-def curve(run: DataFrame, qrels: DataFrame) -> DataFrame:
-    """(model, query_id, level, precision): interpolated at recall 0, 0.1 .. 1."""
-    rows = judged(run, qrels).filter("num_rel > 0").withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(LEVELS - 1))))
+def curve(run: DataFrame, qrels: DataFrame, models: Sequence[str] | None = None) -> DataFrame:
+    """(model, query_id, level, precision): interpolated at recall 0, 0.1 .. 1, for every judged query with a relevant document."""
+    levels = every_query(run, qrels, models).filter("num_rel > 0").withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(LEVELS - 1))))
+    rows = levels.join(judged(run, qrels).drop("num_rel"), ["model", "query_id"], "left")
     reached = F.col("hits") / F.col("num_rel") >= F.col("level") / 10 - 1e-9
     return rows.groupBy("model", "query_id", "level").agg(F.round(F.max(F.when(reached, F.col("hits") / F.col("rank")).otherwise(0.0)), 6).alias("precision"))
 
 
-def mean_curve(run: DataFrame, qrels: DataFrame) -> DataFrame:
-    return curve(run, qrels).groupBy("model", "level").agg(F.round(F.avg("precision"), 6).alias("precision"))
+def mean_curve(run: DataFrame, qrels: DataFrame, models: Sequence[str] | None = None) -> DataFrame:
+    return curve(run, qrels, models).groupBy("model", "level").agg(F.round(F.avg("precision"), 6).alias("precision"))
 
 
 #: Abramowitz and Stegun 26.2.17.
@@ -118,9 +134,9 @@ def wilcoxon(values: DataFrame) -> DataFrame:
     )
 
 
-def comparison(run: DataFrame, qrels: DataFrame) -> DataFrame:
+def comparison(run: DataFrame, qrels: DataFrame, models: Sequence[str] | None = None) -> DataFrame:
     """Pairs of models with mean AP of both, p, and its label."""
-    measured = metrics(run, qrels)
+    measured = metrics(run, qrels, models)
     mean = means(measured).select("model", "ap")
     p = wilcoxon(measured.select("model", "query_id", "ap"))
     label = F.when(F.col("p") < 0.001, "***").when(F.col("p") < 0.01, "**").when(F.col("p") < 0.05, "*").otherwise("ns")

@@ -13,11 +13,6 @@ from tarn.operators.rankers import bm25
 FEEDBACK_DOCS, NEW_TERMS, SIMILAR_CHARS, SIMILAR_TERMS, MMR_POOL = 3, 5, 600, 15, 30
 
 
-def _first_word_df(index: Index) -> DataFrame:
-    """(stem, df of its first word in order)."""
-    return index.vocabulary().groupBy("stem").agg(F.min_by("df", "word").alias("df"))
-
-
 def rocchio_terms(index: Index, terms: DataFrame, head: str = "text", docs: int = FEEDBACK_DOCS, new: int = NEW_TERMS) -> DataFrame:
     """(query_id, stem, weight, place): the new stems with the highest tf times BM25 idf in the best documents."""
     best = bm25(index, terms, docs).select("query_id", "doc_id")
@@ -25,7 +20,7 @@ def rocchio_terms(index: Index, terms: DataFrame, head: str = "text", docs: int
     tf = index.analyse(texts.withColumn("at", F.struct("query_id", "doc_id")), "at", F.col("text")).groupBy("at", "stem").agg(F.count("*").alias("tf"))
     n = index.statistics().select("n_docs")
     idf = F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
-    scored = tf.join(_first_word_df(index), "stem").crossJoin(F.broadcast(n)).groupBy(F.col("at.query_id").alias("query_id"), "stem").agg(
+    scored = tf.join(index.stems().select("stem", F.col("first_df").alias("df")), "stem").crossJoin(F.broadcast(n)).groupBy(F.col("at.query_id").alias("query_id"), "stem").agg(
         F.round(F.sum(F.col("tf") * idf / docs), 6).alias("weight")
     )
     fresh = scored.join(terms.select("query_id", "stem"), ["query_id", "stem"], "left_anti")
@@ -38,26 +33,27 @@ def expand(index: Index, terms: DataFrame, **how) -> DataFrame:
     return terms.unionByName(rocchio_terms(index, terms, **how).select("query_id", "stem", F.lit(1).cast("long").alias("qtf")))
 
 
-def similar_terms(index: Index) -> DataFrame:
-    """For each document as query_id: the 15 most frequent stems of its first 600 characters that tell documents apart."""
-    heads = index.docs.select(F.col("doc_id").alias("query_id"), F.substring("text", 1, SIMILAR_CHARS).alias("text"))
+def similar_terms(index: Index, sources: DataFrame, head: str = "text") -> DataFrame:
+    """For each source as query_id: the 15 most frequent stems of its first 600 characters that tell documents apart."""
+    chosen = index.docs.join(sources.select("doc_id"), "doc_id", "left_semi")
+    heads = chosen.select(F.col("doc_id").alias("query_id"), F.substring(head, 1, SIMILAR_CHARS).alias("text"))
     tf = index.analyse(heads, "query_id", F.col("text")).groupBy("query_id", "stem").agg(F.count("*").alias("qtf"))
-    band = _first_word_df(index).crossJoin(F.broadcast(index.statistics().select("n_docs"))).filter("df > 1 and df < n_docs").select("stem")
+    n = index.statistics().select("n_docs")
+    band = index.stems().crossJoin(F.broadcast(n)).filter("first_df > 1 and first_df < n_docs").select("stem")  # n: one row
     order = Window.partitionBy("query_id").orderBy(F.desc("qtf"), "stem")
     return tf.join(band, "stem").withColumn("place", F.row_number().over(order)).filter(F.col("place") <= SIMILAR_TERMS).drop("place")
 
 
-def similar(index: Index, sources: DataFrame, k: int = 5) -> DataFrame:
+def similar(index: Index, sources: DataFrame, k: int = 5, head: str = "text") -> DataFrame:
     """sources(doc_id) to (query_id, doc_id, score, rank): documents like each, itself left out."""
-    terms = similar_terms(index).join(sources.select(F.col("doc_id").alias("query_id")), "query_id", "left_semi")
-    found = bm25(index, terms, k + 1).filter(F.col("query_id") != F.col("doc_id"))
+    found = bm25(index, similar_terms(index, sources, head), k + 1).filter(F.col("query_id") != F.col("doc_id"))
     order = Window.partitionBy("query_id").orderBy("rank")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
 def vectors_of(index: Index, ranking: DataFrame) -> DataFrame:
     """(query_id, doc_id, stem, tf) of ranked documents: the raw counts that cosines are taken of."""
-    return ranking.select("query_id", "doc_id").join(index.frequencies().groupBy("doc_id", "stem").agg(F.sum("tf").alias("tf")), "doc_id")
+    return ranking.select("query_id", "doc_id").join(index.stem_matrix().select("doc_id", "stem", "tf"), "doc_id")
 
 
 def pair_cosines(index: Index, ranking: DataFrame) -> DataFrame:
@@ -87,7 +83,7 @@ def diversify(index: Index, ranking: DataFrame, weight: float = 0.7, k: int = 10
         left, taken, out = list(range(len(rows))), [], []
         likeness = np.zeros(len(rows))
         while left and len(taken) < k:
-            value = {i: weight * rows["score"][i] / best - (1 - weight) * likeness[i] for i in left}
+            value = {i: round(weight * rows["score"][i] / best - (1 - weight) * likeness[i], 9) for i in left}
             top = max(left, key=lambda i: (value[i], -i))
             left.remove(top)
             taken.append(top)

@@ -1,22 +1,32 @@
 """The inverted index as tables: tokens, postings, vocabulary, document lengths and norms.
 
 Positions count every word, stop words and numbers too, from 1.  Rankers ask an Index for the postings of
-some stems; the filter goes below the aggregation, so only tokens that a query names are ever shuffled.
+some stems; the filter goes below the aggregation, so only tokens that a query names are ever shuffled.  save()
+writes every table that a ranker reads, and an index that was loaded derives nothing anew.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarn.functions.text import STOPWORDS, is_index_word, light_stem, words
+from tarn.functions.stemming import Stemmer, as_stemmer, light_stem
+from tarn.functions.text import STOPWORDS, is_index_word, words
+
+#: Tables of a saved index.
+TABLES = ("postings", "vocabulary", "lengths", "statistics", "norms", "matrix", "stems", "matrix_norms")
 
 
 class Index:
-    """Tables over docs(doc_id, text), each a lazy plan; an index written by save() reads them instead."""
+    """Tables over docs(doc_id, text), each a lazy plan; an index written by save() reads them instead.
 
-    def __init__(self, docs: DataFrame, stopwords=STOPWORDS, stem=light_stem):
-        self.docs, self.stopwords, self.stem, self._saved = docs, stopwords, stem, {}
+    Stems that a caller asks for are a DataFrame (stem), or a list, which reaches the Parquet scan as a filter.
+    """
+
+    def __init__(self, docs: DataFrame, stopwords=STOPWORDS, stem: Stemmer | Callable[[Column], Column] = light_stem):
+        self.docs, self.stopwords, self.stem, self._saved = docs, stopwords, as_stemmer(stem), {}
 
     def analyse(self, table: DataFrame, key: str, text: Column) -> DataFrame:
         """(key, pos, word, stem) of all index words."""
@@ -25,6 +35,13 @@ class Index:
             key, (F.col("pos") + 1).alias("pos"), "word", self.stem(F.col("word")).alias("stem")
         )
 
+    def _of(self, rows: DataFrame, stems: DataFrame | list[str] | None) -> DataFrame:
+        if stems is None:
+            return rows
+        if isinstance(stems, DataFrame):
+            return rows.join(stems, "stem", "left_semi")
+        return rows.filter(F.col("stem").isin(sorted(set(stems))))
+
     def tokens(self) -> DataFrame:
         return self.analyse(self.docs, "doc_id", F.col("text"))
 
@@ -36,33 +53,33 @@ class Index:
 
     def statistics(self) -> DataFrame:
         """One row (n_docs, avgdl); empty documents count."""
+        if "statistics" in self._saved:
+            return self._saved["statistics"]
         return self.lengths().agg(F.count("*").alias("n_docs"), F.coalesce(F.avg("dl"), F.lit(0.0)).alias("avgdl"))
 
-    def frequencies(self, stems: DataFrame | None = None) -> DataFrame:
+    def frequencies(self, stems: DataFrame | list[str] | None = None) -> DataFrame:
         """(word, stem, doc_id, tf), of the given stems or of all."""
         if "postings" in self._saved:
-            found = self._saved["postings"].select("word", "stem", "doc_id", "tf")
-            return found if stems is None else found.join(stems, "stem", "left_semi")
-        found = self.tokens()
-        if stems is not None:
-            found = found.join(stems, "stem", "left_semi")
-        return found.groupBy("word", "stem", "doc_id").agg(F.count("*").alias("tf"))
-
-    def postings(self, stems: DataFrame | None = None) -> DataFrame:
+            return self._of(self._saved["postings"].select("word", "stem", "doc_id", "tf"), stems)
+        return self._of(self.tokens(), stems).groupBy("word", "stem", "doc_id").agg(F.count("*").alias("tf"))
+
+    def postings(self, stems: DataFrame | list[str] | None = None) -> DataFrame:
         """(word, stem, doc_id, tf, positions)."""
         if "postings" in self._saved:
-            found = self._saved["postings"]
-            return found if stems is None else found.join(stems, "stem", "left_semi")
-        found = self.tokens()
-        if stems is not None:
-            found = found.join(stems, "stem", "left_semi")
-        return found.groupBy("word", "stem", "doc_id").agg(F.count("*").alias("tf"), F.sort_array(F.collect_list("pos")).alias("positions"))
-
-    def vocabulary(self) -> DataFrame:
+            return self._of(self._saved["postings"], stems)
+        return self._of(self.tokens(), stems).groupBy("word", "stem", "doc_id").agg(F.count("*").alias("tf"), F.sort_array(F.collect_list("pos")).alias("positions"))
+
+    def positions(self, stems: DataFrame | list[str]) -> DataFrame:
+        """(stem, doc_id, pos) of some stems, over all their words."""
+        if "postings" in self._saved:
+            return self.postings(stems).select("stem", "doc_id", F.explode("positions").alias("pos"))
+        return self._of(self.tokens(), stems).select("stem", "doc_id", "pos")
+
+    def vocabulary(self, stems: DataFrame | list[str] | None = None) -> DataFrame:
         """(word, stem, df)."""
         if "vocabulary" in self._saved:
-            return self._saved["vocabulary"]
-        return self.frequencies().groupBy("word", "stem").agg(F.count("*").alias("df"))
+            return self._of(self._saved["vocabulary"], stems)
+        return self.frequencies(stems).groupBy("word", "stem").agg(F.count("*").alias("df"))
 
     def norms(self) -> DataFrame:
         """(doc_id, norm): the length of the tf times ln(N / df) vector, 0 for a document without index words."""
@@ -73,29 +90,55 @@ class Index:
         squares = weights.groupBy("doc_id").agg(F.sum(F.pow(F.col("tf") * F.log(F.col("n_docs").cast("double") / F.col("df")), 2)).alias("s"))
         return self.docs.select("doc_id").join(squares, "doc_id", "left").select("doc_id", F.sqrt(F.coalesce("s", F.lit(0.0))).alias("norm"))
 
-    def stem_matrix(self) -> DataFrame:
+    def stem_matrix(self, stems: DataFrame | list[str] | None = None) -> DataFrame:
         """(doc_id, stem, tf, df, w) with w = tf ln(N / df), both counted per stem."""
-        tf = self.frequencies().groupBy("doc_id", "stem").agg(F.sum("tf").alias("tf"))
+        if "matrix" in self._saved:
+            return self._of(self._saved["matrix"], stems)
+        tf = self.frequencies(stems).groupBy("doc_id", "stem").agg(F.sum("tf").alias("tf"))
         df = tf.groupBy("stem").agg(F.count("*").alias("df"))
         n = self.statistics().select("n_docs")
-        return tf.join(df, "stem").crossJoin(F.broadcast(n)).select(
+        return tf.join(df, "stem").crossJoin(F.broadcast(n)).select(  # n: one row
             "doc_id", "stem", "tf", "df", (F.col("tf") * F.log(F.col("n_docs").cast("double") / F.col("df"))).alias("w")
         )
 
-    def save(self, path: str) -> None:
-        """Write all tables, postings in ranges of words so that a lookup reads few row groups."""
-        postings = self.postings().repartitionByRange("stem", "word", "doc_id").sortWithinPartitions("stem", "word", "doc_id")
-        postings.write.mode("overwrite").parquet(f"{path}/postings")
-        saved = self.docs.sparkSession.read.parquet(f"{path}/postings")
-        saved.groupBy("word", "stem").agg(F.count("*").alias("df")).write.mode("overwrite").parquet(f"{path}/vocabulary")
-        self.lengths().write.mode("overwrite").parquet(f"{path}/lengths")
-        again = Index.load(self.docs, path, self.stopwords, self.stem, norms=False)
-        again.norms().write.mode("overwrite").parquet(f"{path}/norms")
+    def stems(self) -> DataFrame:
+        """(stem, df, first_df): in how many documents a stem occurs, and the df of its first word in order."""
+        if "stems" in self._saved:
+            return self._saved["stems"]
+        df = self.stem_matrix().groupBy("stem").agg(F.first("df").alias("df"))
+        return df.join(self.vocabulary().groupBy("stem").agg(F.min_by("df", "word").alias("first_df")), "stem")
+
+    def matrix_norms(self) -> DataFrame:
+        """(doc_id, dn): the length of a document's row in the stem matrix."""
+        if "matrix_norms" in self._saved:
+            return self._saved["matrix_norms"]
+        return self.stem_matrix().groupBy("doc_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("dn"))
+
+    def save(self, path: str) -> Index:
+        """Write all tables, and return the index that reads them.
+
+        Postings and matrix lie in ranges of stems, so that a list of stems skips most row groups.
+        """
+        spark = self.docs.sparkSession
+        built = Index(self.docs, self.stopwords, self.stem)
+
+        def keep(name: str, rows: DataFrame) -> None:
+            rows.write.mode("overwrite").parquet(f"{path}/{name}")
+            built._saved[name] = spark.read.schema(rows.schema).parquet(f"{path}/{name}")
+
+        keep("postings", self.postings().repartitionByRange("stem", "word", "doc_id").sortWithinPartitions("stem", "word", "doc_id"))
+        keep("vocabulary", built._saved["postings"].groupBy("word", "stem").agg(F.count("*").alias("df")))
+        keep("lengths", self.lengths())
+        keep("statistics", built.statistics())
+        keep("norms", built.norms())
+        keep("matrix", built.stem_matrix().repartitionByRange("stem", "doc_id").sortWithinPartitions("stem", "doc_id"))
+        keep("stems", built.stems())
+        keep("matrix_norms", built.matrix_norms())
+        return built
 
     @classmethod
-    def load(cls, docs: DataFrame, path: str, stopwords=STOPWORDS, stem=light_stem, norms: bool = True) -> Index:
-        spark: SparkSession = docs.sparkSession
+    def load(cls, docs: DataFrame, path: str, stopwords=STOPWORDS, stem: Stemmer | Callable[[Column], Column] = light_stem) -> Index:
+        """The index in a folder that save() wrote; stop words and stemmer have to be those it was built with."""
         index = cls(docs, stopwords, stem)
-        names = ["postings", "vocabulary", "lengths", *["norms"] * norms]
-        index._saved = {name: spark.read.parquet(f"{path}/{name}") for name in names}
+        index._saved = {name: docs.sparkSession.read.parquet(f"{path}/{name}") for name in TABLES}
         return index

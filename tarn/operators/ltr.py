@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 FEATURES = ["f0", "f1", "f2", "f3", "f4"]
-STEPS, PASSES, GAIN, RESTARTS = (0.5, 0.2, 0.1, 0.05), 40, 1e-6, 5
+#: Steps of a weight, in the order in which they are tried.
+STEPS = (0.5, 0.2, 0.1, 0.05, -0.05, -0.1, -0.2, -0.5)
+PASSES, GAIN, RESTARTS = 40, 1e-6, 5
 
 
 def training_data(feats: DataFrame, qrels: DataFrame) -> DataFrame:
@@ -38,25 +40,29 @@ def _map(groups: list[tuple[np.ndarray, np.ndarray]], w: np.ndarray) -> float:
 
 
 def ascend(groups: list[tuple[np.ndarray, np.ndarray]], start: np.ndarray) -> tuple[np.ndarray, float]:
-    w, best = start / max(start.sum(), 1e-12), 0.0
-    best = _map(groups, w)
+    """One weight after the other takes the step that helps most, until none does; then the sum becomes 1."""
+    w = np.array(start, float)
     for _ in range(PASSES):
-        before = best
+        moved = False
         for i in range(len(w)):
-            for step in (s * sign for s in STEPS for sign in (1, -1)):
+            best, value = w[i], _map(groups, w)
+            for step in STEPS:
                 trial = w.copy()
-                trial[i] = max(0.0, trial[i] + step)
-                if trial.sum() > 0 and (value := _map(groups, trial / trial.sum())) > best + GAIN:
-                    w, best = trial / trial.sum(), value
-        if best <= before:
+                trial[i] = max(0.0, w[i] + step)
+                if (reached := _map(groups, trial)) > value + GAIN:
+                    best, value, moved = trial[i], reached, True
+            w[i] = best
+        if not moved:
             break
-    return w, best
+    w = w / w.sum() if w.sum() > 0 else np.full(len(w), 1 / len(w))
+    return w, _map(groups, w)
 
 
 def train(spark: SparkSession, data: DataFrame, restarts: int = RESTARTS, seed: int = 42) -> DataFrame:
-    """(restart, map, w0 .. w4), a task per restart; the pool is at most 150 documents per query."""
+    """(restart, map, w0 .. w4), a task per restart, each with the whole pool: at most 150 documents of each judged query."""
     rng = np.random.default_rng(seed)
     starts = [np.ones(len(FEATURES)), *(rng.random(len(FEATURES)) for _ in range(restarts - 1))]
+    starts = [s / s.sum() for s in starts]
     rows = spark.createDataFrame([(i, [float(x) for x in s]) for i, s in enumerate(starts)], "restart int, start array<double>")
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:

@@ -9,9 +9,9 @@ from tarn.operators.index import Index
 from tarn.operators.rankers import ranked
 
 
-def stem_positions(index: Index, stems: DataFrame) -> DataFrame:
-    """(stem, doc_id, pos) of some stems, over all their words."""
-    return index.tokens().join(stems, "stem", "left_semi").select("stem", "doc_id", "pos").distinct()
+def stem_positions(index: Index, stems: DataFrame | list[str]) -> DataFrame:
+    """(stem, doc_id, pos) of some stems, over all their words; a document that stands there twice counts once."""
+    return index.positions(stems).distinct()
 
 
 def phrase_matches(index: Index, phrases: DataFrame) -> DataFrame:

@@ -22,7 +22,7 @@ def query_terms(index: Index, queries: DataFrame) -> DataFrame:
 
 def substitute_unknown(index: Index, terms: DataFrame) -> DataFrame:
     """Stems that the vocabulary lacks become the known stems nearest in spelling, each with the stem's qtf."""
-    known = index.vocabulary().select("stem").distinct()
+    known = index.stems().select("stem")
     unknown = terms.join(known, "stem", "left_anti")
     near = suggestions(unknown.select("stem").distinct(), known)
     return terms.join(known, "stem", "left_semi").unionByName(
@@ -32,9 +32,8 @@ def substitute_unknown(index: Index, terms: DataFrame) -> DataFrame:
 
 def _matches(index: Index, terms: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Frequencies of the words that the terms name, with df and the collection's statistics."""
-    found = index.frequencies(terms.select("stem").distinct())
-    df = found.groupBy("word").agg(F.count("*").alias("df"))
-    return found.join(df, "word"), index.statistics()
+    stems = terms.select("stem").distinct()
+    return index.frequencies(stems).join(index.vocabulary(stems).select("word", "df"), "word"), index.statistics()
 
 
 def ranked(scores: DataFrame, k: int | None) -> DataFrame:
@@ -71,15 +70,14 @@ def vsm(index: Index, terms: DataFrame, k: int | None = 10) -> DataFrame:
 
 def tfidf_cosine(index: Index, terms: DataFrame, k: int | None = 10) -> DataFrame:
     """Cosine of stem tf-idf vectors, positive ones only: what latent semantic ranking is at full rank."""
-    matrix = index.stem_matrix()
-    lengths = matrix.groupBy("doc_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("dn"))
-    known = matrix.groupBy("stem").agg(F.first("df").alias("df")).crossJoin(F.broadcast(index.statistics().select("n_docs")))
+    known = index.stems().select("stem", "df").crossJoin(F.broadcast(index.statistics().select("n_docs")))  # statistics: one row
     query = terms.join(known, "stem").select(
         "query_id", "stem", (F.col("qtf") * F.log(F.col("n_docs").cast("double") / F.col("df"))).alias("qw")
     )
     norms = query.groupBy("query_id").agg(F.sqrt(F.sum(F.col("qw") * F.col("qw"))).alias("qn"))
-    sums = query.join(matrix.select("doc_id", "stem", "w"), "stem").groupBy("query_id", "doc_id").agg(F.sum(F.col("qw") * F.col("w")).alias("s"))
-    scores = sums.join(lengths, "doc_id").join(norms, "query_id").filter("dn > 0 and qn > 0").select(
+    matrix = index.stem_matrix(terms.select("stem").distinct()).select("doc_id", "stem", "w")
+    sums = query.join(matrix, "stem").groupBy("query_id", "doc_id").agg(F.sum(F.col("qw") * F.col("w")).alias("s"))
+    scores = sums.join(index.matrix_norms(), "doc_id").join(norms, "query_id").filter("dn > 0 and qn > 0").select(
         "query_id", "doc_id", (F.col("s") / (F.col("dn") * F.col("qn"))).alias("score")
     )
     return ranked(scores.filter("score > 0"), k)
@@ -121,16 +119,23 @@ def linear(feats: DataFrame, weights: list[float], k: int | None = 10) -> DataFr
     return ranked(feats.select("query_id", "doc_id", score.alias("score")), k)
 
 
-def filter_type(results: DataFrame, types: DataFrame, wanted: str | None, k: int) -> DataFrame:
-    """Cut to the documents of a type after the over-fetch of 20 k, then to k; null or 'all' keeps every type.
+def filter_type(results: DataFrame, types: DataFrame, wanted: str | DataFrame | None, k: int, page: int = 1) -> DataFrame:
+    """Cut to the documents of a type after the over-fetch of 20 k, then to a page of k; null or 'all' keeps every type.
 
-    The filter stays above the first limit: pushed below, it would give other results.
+    wanted is one type, or (query_id, type) for each query.  The filter stays above the first limit: pushed below,
+    it would give other results.
     """
-    if wanted is None or wanted.lower() == "all":
-        return results.filter(F.col("rank") <= k)
-    fetched = results.filter(F.col("rank") <= 20 * k).join(types, "doc_id").filter(F.lower("type") == wanted.lower())
+    fetched = results.filter(F.col("rank") <= 20 * k * page)
+    if isinstance(wanted, DataFrame):
+        asked = wanted.select("query_id", F.lower("type").alias("asked"))
+        fetched = fetched.join(types, "doc_id", "left").join(asked, "query_id", "left").filter(
+            F.col("asked").isNull() | (F.col("asked") == "all") | (F.lower("type") == F.col("asked"))
+        )
+    elif wanted is not None and wanted.lower() != "all":
+        fetched = fetched.join(types, "doc_id").filter(F.lower("type") == wanted.lower())
     order = Window.partitionBy("query_id").orderBy("rank")
-    return fetched.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "doc_id", "score", "rank")
+    placed = fetched.withColumn("rank", F.row_number().over(order))
+    return placed.filter((F.col("rank") > k * (page - 1)) & (F.col("rank") <= k * page)).select("query_id", "doc_id", "score", "rank")
 
 
 RANKERS = {"bm25": bm25, "vsm": vsm, "semantic": tfidf_cosine}

@@ -10,11 +10,19 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import DoubleType, StructField, StructType
+
 from tarn.functions.text import dot, norm
 from tarn.operators.index import Index
 from tarn.operators.rankers import ranked
 
-SEED_RANGES = 1000
+#: Share of the ids by which an approximate quantile may miss.
+QUANTILE_ERROR = 1e-3
+#: Bytes of query vectors that go to tasks at a time.
+QUERY_BYTES = 64 << 20
+#: Documents up to which the latent model is solved exactly from their products, a matrix that the driver holds.
+GRAM_ROWS = 2048
 #: Rank of the latent model, as in the reference.
 RANK = 160
 #: Entries of the tf-idf matrix that a bucket stands for.
@@ -22,11 +30,44 @@ BUCKET_ROWS = 200_000
 
 
 def cosine_topk(vectors: DataFrame, queries: DataFrame, k: int | None = 10) -> DataFrame:
-    """vectors(doc_id, v) and queries(query_id, v): cosines above 0, best first; queries are a stated, small set."""
-    a = vectors.select("doc_id", "v", norm(F.col("v")).alias("n")).filter("n > 0")
-    b = queries.select("query_id", F.col("v").alias("qv"), norm(F.col("v")).alias("qn")).filter("qn > 0")
-    scores = a.crossJoin(b).select("query_id", "doc_id", (dot(F.col("v"), F.col("qv")) / (F.col("n") * F.col("qn"))).alias("score"))
-    return ranked(scores.filter("score > 0"), k)
+    """vectors(doc_id, v) and queries(query_id, v): cosines above 0, best first.
+
+    Queries are searched in blocks of at most QUERY_BYTES, which go to the tasks; of a block's pairs only each
+    query's k best in a batch of documents leave the task.
+    """
+    size = (queries.agg(F.max(F.size("v"))).first()[0] or 0) * 8
+    kinds = {"query_id": queries.schema["query_id"].dataType, "doc_id": vectors.schema["doc_id"].dataType}
+    schema = StructType([*(StructField(n, t) for n, t in kinds.items()), StructField("score", DoubleType())])
+    blocks = max(1, -(-queries.count() * size // QUERY_BYTES))
+    dealt, out = queries.select("query_id", "v", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).alias("block")), None
+    for block in range(blocks):
+        rows = dealt.filter(F.col("block") == block).select("query_id", F.transform("v", lambda x: x.cast("double")).alias("v")).toPandas()  # QUERY_BYTES or so
+        part = vectors.select("doc_id", F.transform("v", lambda x: x.cast("double")).alias("v")).mapInArrow(_nearest(rows, k, to_arrow_type(kinds["query_id"])), schema)
+        out = part if out is None else out.unionByName(part)
+    return ranked(out, k)
+
+
+def _nearest(queries: pd.DataFrame, k: int | None, kind: pa.DataType):
+    """Over batches (doc_id, v): for each query the k best of the batch, with every tie of the last."""
+    names, q = queries["query_id"].to_numpy(), np.array(queries["v"].tolist(), float).reshape(len(queries), -1 if len(queries) else 1)
+    norms = np.linalg.norm(q, axis=1)
+    names, q = names[norms > 0], q[norms > 0] / norms[norms > 0, None]
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not len(names) or not batch.num_rows:
+                continue
+            v = _block(batch.column(1), q.shape[1])
+            length = np.linalg.norm(v, axis=1)
+            scores = np.round((v / np.maximum(length, 1e-300)[:, None]) @ q.T, 6)
+            scores[length == 0] = 0
+            good = scores > 0
+            if k is not None and k < len(scores):
+                good &= scores >= -np.partition(-scores, k - 1, axis=0)[k - 1]
+            d, j = np.nonzero(good)
+            yield pa.RecordBatch.from_arrays([pa.array(names[j].tolist(), kind), batch.column(0).take(pa.array(d)), pa.array(scores[d, j])], names=["query_id", "doc_id", "score"])
+
+    return work
 
 
 def map2d(vectors: DataFrame) -> DataFrame:
@@ -45,28 +86,26 @@ def unit(vectors: DataFrame) -> DataFrame:
 
 
 def seeds(vectors: DataFrame, clusters: int) -> np.ndarray:
-    """Rows c * n / C in id order are the first centroids."""
-    ids = vectors.select(F.col("doc_id").cast("long").alias("doc_id"))
-    low, high, n = ids.agg(F.min("doc_id"), F.max("doc_id"), F.count("*")).first()
+    """Rows c * n / C in id order are the first centroids.
+
+    Approximate quantiles bracket each place, ids before the bracket are counted, and only those inside, a few
+    thousandths of all however the ids are spread, are ordered.
+    """
+    ids = vectors.select("doc_id", F.col("doc_id").cast("double").alias("at"))
+    n = ids.count()
     if not n:
         raise ValueError("no vectors")
-    # ranges of ids are counted, and only those that hold a wanted place are ordered
-    width = (high - low) // SEED_RANGES + 1
-    ids = ids.withColumn("part", F.floor((F.col("doc_id") - low) / width))
-    counts = {r.part: r.n for r in ids.groupBy("part").agg(F.count("*").alias("n")).collect()}
-    wanted, before = {}, 0
     places = [c * n // clusters for c in range(min(clusters, n))]
-    for part in sorted(counts):
-        for c, place in enumerate(places):
-            if before <= place < before + counts[part]:
-                wanted[part, place - before + 1] = c
-        before += counts[part]
-    line = Window.partitionBy("part").orderBy("doc_id")
-    found = ids.filter(F.col("part").isin([p for p, _ in wanted])).withColumn("place", F.row_number().over(line))
-    found = found.filter(F.array(F.col("part"), F.col("place").cast("long")).isin([F.array(F.lit(int(p)).cast("long"), F.lit(i).cast("long")) for p, i in wanted]))
-    chosen = [i for _, i in sorted((wanted[r.part, r.place], r.doc_id) for r in found.collect())]
-    rows = {r.doc_id: r.v for r in unit(vectors.filter(F.col("doc_id").isin(chosen))).collect()}
-    return np.array([rows[i] for i in chosen])
+    wide = 2 * QUANTILE_ERROR
+    cuts = ids.approxQuantile("at", [x for p in places for x in (max(0.0, p / n - wide), min(1.0, p / n + wide))], QUANTILE_ERROR)
+    low, high = cuts[::2], cuts[1::2]
+    before = ids.agg(*(F.count_if(F.col("at") < x).alias(f"b{c}") for c, x in enumerate(low))).first()
+    wanted = F.array(*(F.struct(F.lit(c).alias("c"), F.lit(x).alias("low"), F.lit(y).alias("high"), F.lit(p - before[c] + 1).cast("long").alias("turn")) for c, (x, y, p) in enumerate(zip(low, high, places, strict=True))))
+    inside = ids.select("doc_id", "at", F.explode(wanted).alias("w")).filter("at >= w.low and at <= w.high")
+    turn = F.row_number().over(Window.partitionBy("w.c").orderBy("doc_id"))
+    chosen = {r.c: r.doc_id for r in inside.select("doc_id", F.col("w.c").alias("c"), "w.turn", turn.alias("mine")).filter("mine = turn").collect()}
+    rows = {r.doc_id: r.v for r in unit(vectors.filter(F.col("doc_id").isin(list(chosen.values())))).collect()}
+    return np.array([rows[chosen[c]] for c in range(len(places))])
 
 
 def assign(vectors: DataFrame, centroids: np.ndarray) -> DataFrame:
@@ -76,10 +115,11 @@ def assign(vectors: DataFrame, centroids: np.ndarray) -> DataFrame:
     return vectors.withColumn("cluster", (F.array_position(F.array(*scores), best) - 1).cast("int"))
 
 
-def centroids_of(vectors: DataFrame, before: np.ndarray) -> np.ndarray:
-    """Normalised means of what is nearest to each centroid; an empty cluster keeps its centroid.
+def centroids_of(vectors: DataFrame, before: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """Normalised means of what is nearest to each centroid; a cluster that is empty starts again from its first centroid.
 
-    Each partition sums its own rows, so that the driver gets a few rows per partition and no new code is compiled.
+    Each partition sums its own rows and one task per cluster the partitions' sums, so that the driver gets a
+    row per cluster and no new code is compiled.
     """
 
     def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -90,19 +130,23 @@ def centroids_of(vectors: DataFrame, before: np.ndarray) -> np.ndarray:
                 np.add.at(out, np.argmax(np.round(v @ before.T, 9), axis=1), v)
         yield pd.DataFrame({"cluster": np.arange(len(out)), "s": list(out)})
 
-    total = np.zeros_like(before)
-    for r in vectors.select("v").mapInPandas(sums, "cluster int, s array<double>").collect():
-        total[r.cluster] += np.array(r.s)
-    size = np.linalg.norm(total, axis=1, keepdims=True)
-    return np.where(size > 0, np.round(total / np.maximum(size, 1e-12), 12), before)
+    def total(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"cluster": pdf["cluster"].iloc[:1], "s": [np.sum(pdf["s"].tolist(), axis=0)]})
+
+    schema, whole = "cluster int, s array<double>", np.zeros_like(before)
+    for r in vectors.select("v").mapInPandas(sums, schema).groupBy("cluster").applyInPandas(total, schema).collect():
+        whole[r.cluster] = r.s
+    size = np.linalg.norm(whole, axis=1, keepdims=True)
+    return np.where(size > 1e-9, np.round(whole / np.maximum(size, 1e-12), 9), start)
 
 
 def kmeans(vectors: DataFrame, clusters: int = 4, rounds: int = 30) -> tuple[DataFrame, np.ndarray]:
-    """Spherical k-means; stops early when centroids stand still.  The driver holds centroids only."""
+    """Spherical k-means: as many rounds of centroids, fewer if they stand still, and the last assignment.  The driver holds centroids only."""
     v = unit(vectors)
-    c = seeds(vectors, clusters)
+    start = seeds(vectors, clusters)
+    c = start
     for _ in range(rounds):
-        new = centroids_of(v, c)
+        new = centroids_of(v, c, start)
         if np.abs(new - c).max() < 1e-9:
             break
         c = new
@@ -122,17 +166,25 @@ def _lists(rows: np.ndarray) -> pa.Array:
 
 
 def lsa(spark: SparkSession, index: Index, k: int = RANK, passes: int = 120, tolerance: float = 1e-6) -> tuple[DataFrame, DataFrame]:
-    """Latent vectors of documents (doc_id, v) and stems (stem, idf, v) by block subspace iteration.
-
-    The rank is k, or the number of documents or stems if that is less.  The block has twice as many columns, and
-    passes go on until no singular value moves by more than `tolerance` of itself, at most `passes` times.
-    A pass multiplies by the tf-idf matrix and its transpose, in buckets of (doc_id, stem, w) rows that meet each
-    vector once.  Only matrices of the block's size reach the driver, one per task.
+    """Latent vectors of documents (doc_id, v) and stems (stem, idf, v): the singular vectors of the tf-idf matrix.
+
+    The rank is k, or the number of documents or stems if that is less.  Up to GRAM_ROWS documents the products of
+    all pairs are summed over buckets of stems and solved on the driver.  Beyond that a block of twice as many columns
+    is iterated until no singular value moves by more than `tolerance` of itself, at most `passes` times: a pass
+    multiplies by the matrix and its transpose, in buckets of (doc_id, stem, w) rows that meet each vector once, and
+    only matrices of the block's size reach the driver, one per task.  Signs: the largest component of each document
+    dimension is positive.
     """
-    from tarn.operators.store import keep
+    from tarn.operators.store import Kept
 
-    matrix = keep(spark, index.stem_matrix().select("doc_id", "stem", "w", "df"), "matrix")
+    kept = Kept(spark)
+    matrix = kept.table(index.stem_matrix().select("doc_id", "stem", "w", "df"), "matrix")
     held = matrix.agg(F.count("*").alias("n"), F.count_distinct("doc_id").alias("d"), F.count_distinct("stem").alias("s")).first()
+    n = index.statistics().select("n_docs")
+    idf = matrix.groupBy("stem").agg(F.first("df").alias("df")).crossJoin(F.broadcast(n)).select("stem", F.log(F.col("n_docs").cast("double") / F.col("df")).alias("idf"))  # n: one row
+    if 0 < held.d <= GRAM_ROWS:
+        documents, stems = _exact_lsa(spark, matrix, k, held.d, held.n)
+        return documents, stems.join(idf, "stem")
     size = max(1, min(2 * k, held.d, held.s))
     buckets = max(4, held.n // BUCKET_ROWS)
     kinds = {name: matrix.schema[name].dataType.simpleString() for name in ("doc_id", "stem")}
@@ -194,28 +246,72 @@ def lsa(spark: SparkSession, index: Index, k: int = RANK, passes: int = 120, tol
         return turned(rows, by, vectors * inverse)
 
     start = F.transform(F.sequence(F.lit(1), F.lit(size)), lambda i: F.xxhash64(i, F.col("stem")) / F.lit(float(2**63)))
-    v = keep(spark, matrix.select("stem").distinct().select("stem", start.alias("v")), "start")
+    passing = Kept(spark)
+    v = passing.table(matrix.select("stem").distinct().select("stem", start.alias("v")), "start")
     before = None
     for step in range(passes):
-        v = keep(spark, orthonormal(v, "stem"), f"q{step}")
-        u = keep(spark, times(v, "stem", "doc_id"), f"u{step}")
+        v = passing.table(orthonormal(v, "stem"), f"q{step}")
+        u = passing.table(times(v, "stem", "doc_id"), f"u{step}")
         values, vectors = np.linalg.eigh(gram(u))
         sigma = np.sqrt(np.maximum(values[::-1][: min(k, size)], 0))
         if before is not None and (np.abs(sigma - before) <= tolerance * np.maximum(sigma, 1e-6)).all() or step == passes - 1:
             break
         before = sigma
-        v = keep(spark, times(u, "doc_id", "stem"), f"v{step}")
+        v = passing.table(times(u, "doc_id", "stem"), f"v{step}")
+        passing.drop(leave=1)
     order = np.argsort(-values)[: min(k, size)]
-    rotation = vectors[:, order] * np.where(np.abs(vectors[:, order]).max(axis=0) == vectors[:, order].max(axis=0), 1, -1)
-    n = index.statistics().select("n_docs")
-    idf = matrix.groupBy("stem").agg(F.first("df").alias("df")).crossJoin(F.broadcast(n)).select("stem", F.log(F.col("n_docs").cast("double") / F.col("df")).alias("idf"))
+    rotation = vectors[:, order]
     return turned(u, "doc_id", rotation), turned(v, "stem", rotation).join(idf, "stem")
 
 
-def project(terms: DataFrame, latent: DataFrame, k: int) -> DataFrame:
+def _exact_lsa(spark: SparkSession, matrix: DataFrame, k: int, documents: int, entries: int) -> tuple[DataFrame, DataFrame]:
+    """The same from the products of all pairs of documents; a stem's vector is its row of the matrix times theirs."""
+    names = sorted(r.doc_id for r in matrix.select("doc_id").distinct().collect())  # GRAM_ROWS at most
+    place = {name: i for i, name in enumerate(names)}
+    buckets = int(min(8, max(1, entries // BUCKET_ROWS)))
+    dealt = matrix.select("doc_id", "stem", F.col("w").cast("double").alias("w"), F.pmod(F.xxhash64("stem"), F.lit(buckets)).alias("bucket")).groupBy("bucket")
+
+    def columns(part: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        stems, inverse = np.unique(part["stem"].to_numpy(), return_inverse=True)
+        rows = np.array([place[x] for x in part["doc_id"].to_pylist()], np.int64)
+        return stems, inverse, rows, part["w"].to_numpy()
+
+    def products(part: pa.Table) -> pa.Table:
+        stems, inverse, rows, w = columns(part)
+        order = np.argsort(inverse, kind="stable")
+        edge = np.searchsorted(inverse[order], np.arange(0, len(stems) + 2048, 2048))
+        total = np.zeros((documents, documents))
+        for a, b in zip(edge[:-1], edge[1:], strict=True):  # some stems at a time, as columns
+            own = order[a:b]
+            x = np.zeros((documents, 2048))
+            x[rows[own], inverse[own] % 2048] = w[own]
+            total += x @ x.T
+        return pa.table({"g": pa.array([total.tobytes()], pa.binary())})
+
+    gram = sum(np.frombuffer(bytes(r.g)).reshape(documents, documents) for r in dealt.applyInArrow(products, "g binary").collect())  # 8 matrices at most
+    values, vectors = np.linalg.eigh(gram)
+    order = np.argsort(-values)[: min(k, documents)]
+    order = order[values[order] > 1e-12 * max(values.max(), 1e-300)]
+    sigma, u = np.sqrt(values[order]), vectors[:, order]
+    u = u * np.where(np.abs(u).max(axis=0) == u.max(axis=0), 1, -1)
+
+    def project(part: pa.Table) -> pa.Table:
+        stems, inverse, rows, w = columns(part)
+        out = np.zeros((len(stems), len(sigma)))
+        for a in range(0, len(rows), 1 << 16):
+            np.add.at(out, inverse[a : a + (1 << 16)], u[rows[a : a + (1 << 16)]] * w[a : a + (1 << 16), None])
+        return pa.table({"stem": pa.array(stems.tolist(), pa.string()), "v": _lists(out / sigma)})
+
+    kind = matrix.schema["doc_id"].dataType.simpleString()
+    rows = spark.createDataFrame([(name, v) for name, v in zip(names, (u * sigma).tolist(), strict=True)], f"doc_id {kind}, v array<double>")
+    return rows, dealt.applyInArrow(project, "stem string, v array<double>")
+
+
+def project(terms: DataFrame, latent: DataFrame) -> DataFrame:
     """Queries (query_id, stem, qtf) as latent vectors (query_id, v)."""
-    rows = terms.join(latent, "stem").groupBy("query_id").agg(*(F.sum(F.col("qtf") * F.col("idf") * F.col("v")[i]).alias(f"d{i}") for i in range(k)))
-    return rows.select("query_id", F.array(*(F.col(f"d{i}") for i in range(k))).alias("v"))
+    rows = terms.join(latent, "stem").select("query_id", F.posexplode(F.transform("v", lambda x: x * F.col("qtf") * F.col("idf"))).alias("i", "x"))
+    sums = rows.groupBy("query_id", "i").agg(F.sum("x").alias("x")).groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("i", "x"))).alias("v"))
+    return sums.select("query_id", F.col("v.x").alias("v"))
 
 
 def cluster_keywords(latent: DataFrame, centroids: np.ndarray, n: int = 4) -> DataFrame:

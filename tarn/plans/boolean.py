@@ -14,10 +14,12 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarn.functions.text import ENDINGS, STOPWORDS
+from tarn.functions.stemming import Stemmer, light_stem
+from tarn.functions.text import STOPWORDS
 from tarn.operators.index import Index
 from tarn.operators.positional import near, phrase_matches
 from tarn.operators.rankers import bm25, ranked, vsm
+from tarn.operators.vocabulary import wildcard_stems
 
 TOKEN = re.compile(r'\s*(?:(\()|(\))|"([^"]*)(?:"|$)(?:\s*~(\d+))?|([^\s()"]+))')
 
@@ -40,20 +42,17 @@ class Node:
         return [self] if not self.children else [x for c in self.children for x in c.leaves()]
 
 
-def light_stem(word: str) -> str:
-    return re.sub(ENDINGS, "", word) if len(word) > 4 else word
-
-
-def analyse(text: str, stopwords=STOPWORDS) -> list[str]:
+def analyse(text: str, stopwords=STOPWORDS, stem: Stemmer = light_stem) -> list[str]:
+    """The stems of a text's index words in order, as the index would see them."""
     found = re.split(r"\s+", "".join(c if c.isalpha() or c.isdecimal() or c == " " else " " for c in text.lower()))
-    return [light_stem(w) for w in found if w and not re.fullmatch("[0-9]+", w) and w not in stopwords]
+    return [stem.word(w) for w in found if w and not re.fullmatch("[0-9]+", w) and w not in stopwords]
 
 
 class Parser:
     """Recursive descent; NOT binds most, then AND, also between neighbours, then OR."""
 
-    def __init__(self, query: str, stopwords=STOPWORDS):
-        self.stopwords, self.tokens, self.at = set(stopwords), [], 0
+    def __init__(self, query: str, stopwords=STOPWORDS, stem: Stemmer = light_stem):
+        self.stopwords, self.stem, self.tokens, self.at = set(stopwords), stem, [], 0
         for left, right, phrase, window, word in TOKEN.findall(query):
             if left or right:
                 self.tokens.append((left or right, None, 0))
@@ -117,25 +116,25 @@ class Parser:
                 self.at += 1
             return inner
         if kind in ("PHRASE", "NEAR"):
-            stems = analyse(value, self.stopwords)
+            stems = analyse(value, self.stopwords, self.stem)
             return Node("none") if not stems else Node("near" if kind == "NEAR" else "phrase", stems, window)
         if value.endswith("*") and len(value) > 1:
             return Node("prefix", value[:-1].lower())
-        stems = analyse(value, self.stopwords)
+        stems = analyse(value, self.stopwords, self.stem)
         return Node("stem", stems[0]) if stems else Node("empty")
 
 
 def _leaf_sets(spark: SparkSession, index: Index, leaves: list[Node]) -> DataFrame:
     """(leaf, doc_id) for all leaves."""
     by = {kind: [(i, x) for i, x in enumerate(leaves) if x.kind == kind] for kind in ("stem", "prefix", "phrase", "near")}
-    sets = spark.createDataFrame([], "leaf int, doc_id long")
+    sets = index.docs.select(F.lit(0).alias("leaf"), "doc_id").limit(0)  # ids are of the type that the documents have
     if by["stem"]:
         rows = spark.createDataFrame([(i, x.value) for i, x in by["stem"]], "leaf int, stem string")
-        found = index.frequencies(rows.select("stem").distinct()).select("stem", "doc_id").distinct()
+        found = index.frequencies([x.value for _, x in by["stem"]]).select("stem", "doc_id").distinct()
         sets = sets.unionByName(found.join(rows, "stem").select("leaf", "doc_id"))
     for i, x in by["prefix"]:
-        stems = index.vocabulary().filter(F.col("word").startswith(x.value)).select("stem").distinct()
-        sets = sets.unionByName(index.frequencies(stems).select(F.lit(i).alias("leaf"), "doc_id").distinct())
+        found = index.frequencies(wildcard_stems(index.vocabulary(), x.value))
+        sets = sets.unionByName(found.select(F.lit(i).alias("leaf"), "doc_id").distinct())
     if by["phrase"]:
         rows = spark.createDataFrame([(i, x.value) for i, x in by["phrase"]], "query_id int, stems array<string>")
         sets = sets.unionByName(phrase_matches(index, rows).select(F.col("query_id").alias("leaf"), "doc_id"))
@@ -174,27 +173,27 @@ def matching(index: Index, tree: Node) -> DataFrame:
     return hits.filter(condition(tree)).select("doc_id")
 
 
-def positive_stems(index: Index, tree: Node) -> list[str]:
-    """Ranking terms: every leaf that is not below a NOT; a prefix gives the stems of its words."""
-    if tree.kind == "not":
-        return []
-    if tree.children:
-        return [s for c in tree.children for s in positive_stems(index, c)]
-    if tree.kind == "stem":
-        return [tree.value]
-    if tree.kind in ("phrase", "near"):
-        return list(tree.value)
-    if tree.kind == "prefix":
-        return [r.stem for r in index.vocabulary().filter(F.col("word").startswith(tree.value)).select("stem").distinct().orderBy("stem").collect()]
-    return []
+def positive_leaves(tree: Node) -> list[Node]:
+    """Every leaf that is not below a NOT."""
+    return [] if tree.kind == "not" else [x for c in tree.children for x in positive_leaves(c)] if tree.children else [tree]
+
+
+def positive_terms(index: Index, tree: Node) -> DataFrame:
+    """(query_id 0, stem, qtf): what a match is ranked by; a prefix gives the stems of its words, however many."""
+    leaves = positive_leaves(tree)
+    named = [s for x in leaves for s in ([x.value] if x.kind == "stem" else x.value if x.kind in ("phrase", "near") else [])]
+    rows = index.docs.sparkSession.createDataFrame([(s,) for s in named], "stem string")
+    for x in leaves:
+        if x.kind == "prefix":
+            rows = rows.unionByName(wildcard_stems(index.vocabulary(), x.value))
+    return rows.groupBy(F.lit(0).alias("query_id"), "stem").agg(F.count("*").alias("qtf"))
 
 
 def boolean_search(index: Index, query: str, model: str = "bm25", k: int | None = 10) -> DataFrame:
     """(query_id 0, doc_id, score, rank): matching documents ranked by BM25, or VSM for any other model."""
-    tree = Parser(query, index.stopwords).parse()
-    allowed, stems = matching(index, tree), positive_stems(index, tree)
-    if not stems:
+    tree = Parser(query, index.stopwords, index.stem).parse()
+    allowed = matching(index, tree)
+    if not any(x.kind in ("stem", "prefix", "phrase", "near") for x in positive_leaves(tree)):
         return ranked(allowed.select(F.lit(0).alias("query_id"), "doc_id", F.lit(1.0).alias("score")), k)
-    terms = index.docs.sparkSession.createDataFrame([(0, s) for s in stems], "query_id int, stem string").groupBy("query_id", "stem").agg(F.count("*").alias("qtf"))
-    scored = (bm25 if model == "bm25" else vsm)(index, terms, None)
+    scored = (bm25 if model == "bm25" else vsm)(index, positive_terms(index, tree), None)
     return ranked(scored.drop("rank").join(allowed, "doc_id", "left_semi").select("query_id", "doc_id", "score"), k)

@@ -2,15 +2,18 @@
 
 Each micro-batch is analysed and appended once: a batch that is replayed after a failure replaces the
 folder of its number.  Document frequencies and norms depend on the whole collection, so refresh() derives
-them anew from the appended postings.
+them anew from the appended postings.  A document that comes again in a later batch replaces what the earlier
+one brought; one that comes twice in a batch counts twice, as in an index of a table that holds it twice.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from tarn.functions.text import STOPWORDS, light_stem
+from tarn.functions.stemming import light_stem
+from tarn.functions.text import STOPWORDS
 from tarn.operators.index import Index
 
 
@@ -29,5 +32,7 @@ def refresh(docs: DataFrame, path: str, stopwords=STOPWORDS, stem=light_stem) ->
     """The index over all that has come in; docs serves texts for snippets only."""
     spark = docs.sparkSession
     index = Index(docs, stopwords, stem)
-    index._saved = {name: spark.read.parquet(f"{path}/incoming/{name}").drop("batch") for name in ("postings", "lengths")}
+    came = {name: spark.read.parquet(f"{path}/incoming/{name}") for name in ("postings", "lengths")}
+    latest = came["lengths"].groupBy("doc_id").agg(F.max("batch").alias("batch"))  # every document has a length, if not a posting
+    index._saved = {name: rows.join(latest, ["doc_id", "batch"], "left_semi").drop("batch") for name, rows in came.items()}
     return index

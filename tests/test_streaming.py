@@ -16,3 +16,14 @@ def test_stream_equals_batch(spark, tmp_path):
     streamed, batch = refresh(docs, f"{tmp_path}/index"), Index(docs)
     for ranker in (rankers.bm25, rankers.vsm):
         assert ranker(streamed, terms).orderBy("rank").collect() == ranker(batch, terms).orderBy("rank").collect()
+
+
+def test_a_document_sent_again_replaces_itself(spark, tmp_path):
+    schema, source = "doc_id long, text string", f"{tmp_path}/in"
+    for rows in ([(1, "chest pain"), (2, "heart pain")], [(1, "arm"), (3, "pain")]):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(source)
+        index_stream(spark.readStream.schema(schema).parquet(source), f"{tmp_path}/index", f"{tmp_path}/checkpoint").awaitTermination()
+    docs = spark.createDataFrame([(1, "arm"), (2, "heart pain"), (3, "pain")], schema)
+    streamed, now = refresh(docs, f"{tmp_path}/index"), Index(docs)
+    assert sorted(map(tuple, streamed.frequencies().collect())) == sorted(map(tuple, now.frequencies().collect()))
+    assert sorted(map(tuple, streamed.lengths().collect())) == sorted(map(tuple, now.lengths().collect()))
