@@ -1,7 +1,8 @@
-"""Readers: articles, topics, judgments, stop words, and stored models."""
+"""Readers: articles, topics, judgments, runs, stop words, and stored models."""
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,9 +40,9 @@ def articles(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def as_documents(found: DataFrame) -> DataFrame:
-    """Articles as (doc_id, text, path, type): fields in index order, so that phrases may straddle them."""
+    """Articles as (doc_id, text, head, path, type) and their fields: text has these in index order, so that phrases may straddle them."""
     text = F.concat_ws(" ", "title", "abstract", "body", "journal", "publisher", F.concat_ws(" ", "authors"), F.concat_ws(" ", "categories"))
-    return found.select("doc_id", text.alias("text"), F.concat_ws(" ", "title", "abstract").alias("head"), "path", "type")
+    return found.select("doc_id", text.alias("text"), F.concat_ws(" ", "title", "abstract").alias("head"), "path", "type", *FIELDS, *LISTS)
 
 
 def topics(spark: SparkSession, path: str) -> DataFrame:
@@ -74,16 +75,41 @@ def run_file(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+
+
 def stopwords(spark: SparkSession, path: str) -> list[str]:
     """A word per line, trimmed and lower-cased, a byte order mark stripped; a missing file has none.  Lists are small by nature."""
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    if not at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at):
+    if not exists(spark, path):
         return []
-    word = F.lower(F.trim(F.regexp_replace("value", "^﻿", "")))
+    word = F.lower(F.trim(F.regexp_replace("value", "^\ufeff", "")))
     return sorted(r.w for r in spark.read.text(path).select(word.alias("w")).filter("w != ''").distinct().collect())
 
 
+def latent(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame] | None:
+    """A stored latent model, (documents, stems); None where there is none or it can't be read."""
+    if not (exists(spark, f"{path}/documents") and exists(spark, f"{path}/stems")):
+        return None
+    try:
+        documents, stems = spark.read.parquet(f"{path}/documents"), spark.read.parquet(f"{path}/stems")
+        return documents.select("doc_id", "v"), stems.select("stem", "idf", "v")
+    except AnalysisException:
+        return None
+
+
+def weights(spark: SparkSession, path: str) -> list[float] | None:
+    """Stored ranking weights; None where there are none or not one for each feature."""
+    if not exists(spark, path):
+        return None
+    try:
+        rows = sorted((r.feature, r.weight) for r in spark.read.parquet(path).select("feature", "weight").limit(100).collect())
+    except AnalysisException:
+        return None
+    return [w for _, w in rows] if [i for i, _ in rows] == list(range(5)) else None
+
+
 def query_string(column):
     """The parameters of a URL query string as a map; names and values are decoded once."""
     pairs = F.filter(F.split(F.coalesce(column, F.lit("")), "&"), lambda x: x != "")
