@@ -1,7 +1,11 @@
 """All queries of the engine over the test tables, each with its SQL where SQL can express it.
 
-Corpus: documents, type: lang.  Queries: every passage of benchmark.  Judgments: documents that hold the
-passage as it stands (grade 2) and, where a label says so, documents of good quality (grade by label).
+Corpus: documents, type: lang.  Queries: every passage of benchmark.  Judgments: the twenty best documents of a
+passage by BM25, as far as they have a label: grade 0 for poor quality, 1 for good quality but toxic, 2 for good.
+They are made up to have something to measure with, and say nothing about which model is better.
+
+What builds an index reads the documents; everything else reads an index that the session's first such query
+saves in the shared folder.
 """
 
 from __future__ import annotations
@@ -12,10 +16,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarn.engine import Engine
-from tarn.functions.text import ENDINGS, STOPWORDS, highlight, highlighted_snippet, html_escape, light_stem, pmcid_of, snippet, type_of
+from tarn.functions.stemming import ENDINGS
+from tarn.functions.text import STOPWORDS, highlight, highlighted_snippet, html_escape, pmcid_of, snippet, type_of
 from tarn.operators import evaluation, feedback, ltr, rankers, vectors, vocabulary
 from tarn.operators.index import Index
-from tarn.operators.positional import combined_search, near, phrase_matches, spans
+from tarn.operators.positional import combined_search, near, phrase_matches, spans, stem_positions
+from tarn.operators.store import keep, stored_index
 from tarn.plans.boolean import boolean_search, matching, Parser
 from tarn.sources.articles import query_string
 from tarn.sources.sinks import curve_json, metric_rows, qrels_lines, run_lines
@@ -32,10 +38,19 @@ class Setting:
     """The tables of one query run."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
-        self.spark, self.sf_dir = spark, sf_dir
+        self.spark, self.sf_dir, self._made = spark, sf_dir, {}
         self.docs = table(spark, sf_dir, "documents").withColumn("type", F.col("lang"))
-        self.index = Index(self.docs)
-        self.engine = Engine(spark, self.index)
+        self.raw = Index(self.docs)
+
+    @property
+    def index(self) -> Index:
+        if "index" not in self._made:
+            self._made["index"] = stored_index(self.spark, self.sf_dir, lambda: self.raw)
+        return self._made["index"]
+
+    @property
+    def engine(self) -> Engine:
+        return Engine(self.spark, self.index)
 
     def queries(self) -> DataFrame:
         return table(self.spark, self.sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
@@ -46,18 +61,23 @@ class Setting:
     def types(self) -> DataFrame:
         return self.docs.select("doc_id", "type")
 
+    def best(self, model: str, k: int) -> DataFrame:
+        """The k best by a model, 50 at most: ranked once in a query run."""
+        if model not in self._made:
+            rank = {"bm25": rankers.bm25, "vsm": rankers.vsm, "semantic": rankers.tfidf_cosine}[model]
+            self._made[model] = keep(self.spark, rank(self.index, self.terms(), 50), model)
+        return self._made[model].filter(F.col("rank") <= k)
+
     def qrels(self) -> DataFrame:
-        """Graded by how a query's own five best documents of either lexical model overlap with labels."""
+        """Grades of the twenty best documents of each query by BM25, where they have labels."""
         labels = table(self.spark, self.sf_dir, "labels")
-        pool = rankers.bm25(self.index, self.terms(), 20).select("query_id", "doc_id")
+        pool = self.best("bm25", 20).select("query_id", "doc_id")
         return pool.join(labels, "doc_id").select("query_id", "doc_id", (F.col("quality") + F.when(F.col("toxic") == 0, F.col("quality")).otherwise(0)).alias("rel"))
 
     def run(self, k: int = 10) -> DataFrame:
-        terms = self.terms()
-        bm, vs = rankers.bm25(self.index, terms, k), rankers.vsm(self.index, terms, k)
-        hy = rankers.fuse([rankers.bm25(self.index, terms, 50), rankers.vsm(self.index, terms, 50)], k)
-        parts = [x.select(F.lit(m).alias("model"), "query_id", "doc_id", "score", "rank") for m, x in (("bm25", bm), ("hybrid", hy), ("vsm", vs))]
-        return parts[0].unionByName(parts[1]).unionByName(parts[2])
+        parts = {"bm25": self.best("bm25", k), "hybrid": rankers.fuse([self.best("bm25", 50), self.best("vsm", 50)], k), "vsm": self.best("vsm", k)}
+        rows = [x.select(F.lit(m).alias("model"), "query_id", "doc_id", "score", "rank") for m, x in parts.items()]
+        return rows[0].unionByName(rows[1]).unionByName(rows[2])
 
     def words(self, *stems: str) -> DataFrame:
         return self.spark.createDataFrame([(s,) for s in stems], "stem string")
@@ -84,7 +104,8 @@ def _words(text: str) -> str:
 
 _INDEXED = f"NOT regexp_full_match(word, '[0-9]+') AND word NOT IN ({_STOP})"
 
-#: Tables that the oracles share; DuckDB evaluates those that a query uses.
+#: Tables that the oracles share; DuckDB evaluates those that a query uses.  Fixed values: the coefficients of
+#: Abramowitz and Stegun 26.2.17 in wz and wp.
 CTES = rf"""
 WITH raw AS (SELECT doc_id, lang AS type, text, {_words('text')} AS ws FROM documents),
 dl AS (SELECT doc_id, len(ws)::INT AS dl FROM raw),
@@ -116,19 +137,22 @@ sem AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC,
 hyall AS (SELECT query_id, doc_id, round(sum(1.0 / (60 + rank)), 6) AS score FROM (SELECT * FROM bm WHERE rank <= 50 UNION ALL SELECT * FROM vs WHERE rank <= 50) GROUP BY ALL),
 hy AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id)::INT AS rank FROM hyall),
 qrels AS (SELECT query_id, doc_id, (quality + CASE WHEN toxic = 0 THEN quality ELSE 0 END)::INT AS rel FROM bm JOIN labels USING (doc_id) WHERE rank <= 20),
-run AS (SELECT 'bm25' AS model, * FROM bm WHERE rank <= 10 UNION ALL SELECT 'hybrid', * FROM hy WHERE rank <= 10 UNION ALL SELECT 'vsm', * FROM vs WHERE rank <= 10),
+found AS (SELECT 'bm25' AS model, * FROM bm WHERE rank <= 10 UNION ALL SELECT 'hybrid', * FROM hy WHERE rank <= 10 UNION ALL SELECT 'vsm', * FROM vs WHERE rank <= 10),
+run AS (SELECT * FROM found),
 tot AS (SELECT query_id, count(*) FILTER (rel >= 1) AS num_rel FROM qrels GROUP BY ALL),
 jd AS (SELECT *, (rel >= 1)::INT AS hit, sum((rel >= 1)::INT) OVER (PARTITION BY model, query_id ORDER BY rank) AS hits FROM (
     SELECT run.*, num_rel, coalesce(qrels.rel, 0) AS rel FROM run JOIN tot USING (query_id) LEFT JOIN qrels USING (query_id, doc_id))),
 ideal AS (SELECT query_id, sum(CASE WHEN p <= 5 THEN rel * ln(2) / ln(p + 1) ELSE 0 END) AS idcg5, sum(rel * ln(2) / ln(p + 1)) AS idcg10 FROM (
     SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rel DESC, doc_id) AS p FROM qrels) WHERE p <= 10 GROUP BY ALL),
-msum AS (SELECT model, query_id, max(num_rel) AS num_rel, count(*) AS num_ret, sum(hit) AS num_rel_ret, sum(hit) FILTER (rank <= 5) AS h5, sum(hit) FILTER (rank <= 10) AS h10,
+base AS (SELECT model, query_id, num_rel FROM (SELECT DISTINCT model FROM found) CROSS JOIN tot),
+msum AS (SELECT model, query_id, count(*) AS num_ret, sum(hit) AS num_rel_ret, sum(hit) FILTER (rank <= 5) AS h5, sum(hit) FILTER (rank <= 10) AS h10,
     sum(CASE WHEN hit = 1 THEN hits / rank ELSE 0 END) AS ap_sum, sum(CASE WHEN rank <= 5 THEN rel * ln(2) / ln(rank + 1) ELSE 0 END) AS dcg5,
     sum(CASE WHEN rank <= 10 THEN rel * ln(2) / ln(rank + 1) ELSE 0 END) AS dcg10, sum(CASE WHEN rank <= num_rel THEN hit ELSE 0 END) AS hr FROM jd GROUP BY model, query_id),
-mraw AS (SELECT model, query_id, num_rel, num_ret, num_rel_ret, h5 / 5 AS p5, h10 / 10 AS p10, CASE WHEN num_rel > 0 THEN h5 / num_rel ELSE 0 END AS r5,
-    CASE WHEN num_rel > 0 THEN h10 / num_rel ELSE 0 END AS r10, CASE WHEN num_rel > 0 THEN ap_sum / num_rel ELSE 0 END AS ap,
-    CASE WHEN idcg5 > 0 THEN dcg5 / idcg5 ELSE 0 END AS ndcg5, CASE WHEN idcg10 > 0 THEN dcg10 / idcg10 ELSE 0 END AS ndcg10,
-    CASE WHEN num_rel > 0 THEN hr / num_rel ELSE 0 END AS rprec FROM msum JOIN ideal USING (query_id)),
+mraw AS (SELECT model, query_id, num_rel, coalesce(num_ret, 0) AS num_ret, coalesce(num_rel_ret, 0) AS num_rel_ret, coalesce(h5, 0) / 5 AS p5, coalesce(h10, 0) / 10 AS p10,
+    CASE WHEN num_rel > 0 THEN coalesce(h5, 0) / num_rel ELSE 0 END AS r5, CASE WHEN num_rel > 0 THEN coalesce(h10, 0) / num_rel ELSE 0 END AS r10,
+    CASE WHEN num_rel > 0 THEN coalesce(ap_sum, 0) / num_rel ELSE 0 END AS ap, CASE WHEN idcg5 > 0 THEN coalesce(dcg5, 0) / idcg5 ELSE 0 END AS ndcg5,
+    CASE WHEN idcg10 > 0 THEN coalesce(dcg10, 0) / idcg10 ELSE 0 END AS ndcg10, CASE WHEN num_rel > 0 THEN coalesce(hr, 0) / num_rel ELSE 0 END AS rprec
+    FROM base LEFT JOIN msum USING (model, query_id) JOIN ideal USING (query_id)),
 met AS (SELECT model, query_id, num_rel::BIGINT AS num_rel, num_ret::BIGINT AS num_ret, num_rel_ret::BIGINT AS num_rel_ret, round(p5, 6) AS p5, round(p10, 6) AS p10, round(r5, 6) AS r5, round(r10, 6) AS r10,
     round(CASE WHEN p5 + r5 > 0 THEN 2 * p5 * r5 / (p5 + r5) ELSE 0 END, 6) AS f5, round(CASE WHEN p10 + r10 > 0 THEN 2 * p10 * r10 / (p10 + r10) ELSE 0 END, 6) AS f10,
     round(ap, 6) AS ap, round(ndcg5, 6) AS ndcg5, round(ndcg10, 6) AS ndcg10, round(rprec, 6) AS rprec FROM mraw),
@@ -150,6 +174,16 @@ feats AS (SELECT query_id, doc_id, max(f0) AS f0, max(f1) AS f1, max(f2) AS f2,
     UNION ALL SELECT query_id, doc_id, 0, score / max(score) OVER (PARTITION BY query_id), 0, 0, 0 FROM vs WHERE rank <= 50
     UNION ALL SELECT query_id, doc_id, 0, 0, score, 0, 1.0 / rank FROM sem WHERE rank <= 50) GROUP BY ALL),
 ltr AS (SELECT query_id, doc_id, round(0.4113 * f0 + 0.2071 * f1 + 0.1937 * f2 + 0.0983 * f3 + 0.0896 * f4, 6) AS score FROM feats),
+known AS (SELECT DISTINCT stem FROM vocab),
+wide AS (SELECT c, chr((CASE WHEN n < 48 THEN n ELSE n + 10 END)::INT) AS byte FROM (SELECT c, row_number() OVER (ORDER BY c) AS n FROM (SELECT DISTINCT unnest(string_split(stem, '')) AS c FROM (SELECT stem FROM known UNION SELECT stem FROM qs)) WHERE c > '~')),
+plain AS (SELECT stem, translate(stem, (SELECT coalesce(string_agg(c, '' ORDER BY c), '') FROM wide), (SELECT coalesce(string_agg(byte, '' ORDER BY c), '') FROM wide)) AS p FROM known),
+lost AS (SELECT DISTINCT stem, translate(stem, (SELECT coalesce(string_agg(c, '' ORDER BY c), '') FROM wide), (SELECT coalesce(string_agg(byte, '' ORDER BY c), '') FROM wide)) AS q FROM qs WHERE stem NOT IN (SELECT stem FROM known)),
+lostsug AS (SELECT * FROM (SELECT t.stem, v.stem AS suggestion, row_number() OVER (PARTITION BY t.stem ORDER BY levenshtein(q, p), v.stem) AS place
+    FROM lost t JOIN plain v ON left(v.stem, 3) = left(t.stem, 3) AND length(t.stem) >= 3 AND length(v.stem) >= 3 WHERE levenshtein(q, p) <= 2) WHERE place <= 3),
+lexq AS (SELECT query_id, stem, sum(qtf) AS qtf FROM (SELECT * FROM qs WHERE stem IN (SELECT stem FROM known) UNION ALL SELECT query_id, suggestion, qtf FROM qs JOIN lostsug USING (stem)) GROUP BY ALL),
+bx AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id)::INT AS rank FROM (SELECT query_id, doc_id, round(sum(w), 6) AS score FROM wbm JOIN lexq USING (stem) GROUP BY ALL)),
+vx AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id)::INT AS rank FROM (SELECT query_id, doc_id, round(CASE WHEN norm > 0 THEN s / norm ELSE 0 END, 6) AS score FROM (
+    SELECT query_id, doc_id, sum(pow(ln(n_docs::DOUBLE / df), 2) * tf * qtf) AS s FROM post JOIN vocab USING (word, stem) CROSS JOIN stats JOIN lexq USING (stem) GROUP BY ALL) JOIN norms USING (doc_id))),
 emb AS (SELECT vec_id AS doc_id, embedding AS v, sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))) AS n FROM embeddings)
 """
 
@@ -169,37 +203,37 @@ def query(name: str, sql: str | None = None, plain: bool = False):
 
 @query("tokenize", "SELECT doc_id, pos, word, stem FROM tok")
 def _(s):
-    return s.index.tokens()
+    return s.raw.tokens()
 
 
 @query("term_frequencies", "SELECT word, stem, doc_id, tf FROM post")
 def _(s):
-    return s.index.frequencies()
+    return s.raw.frequencies()
 
 
 @query("postings_positions", "SELECT word, stem, doc_id, count(*) AS tf, string_agg(pos, ',' ORDER BY pos) AS positions FROM tok GROUP BY word, stem, doc_id")
 def _(s):
-    return s.index.postings().withColumn("positions", F.concat_ws(",", F.col("positions").cast("array<string>")))
+    return s.raw.postings().withColumn("positions", F.concat_ws(",", F.col("positions").cast("array<string>")))
 
 
 @query("vocabulary_df", "SELECT word, stem, df FROM vocab")
 def _(s):
-    return s.index.vocabulary()
+    return s.raw.vocabulary()
 
 
 @query("doc_norms", "SELECT doc_id, round(norm, 6) AS norm FROM norms")
 def _(s):
-    return s.index.norms().withColumn("norm", F.round("norm", 6))
+    return s.raw.norms().withColumn("norm", F.round("norm", 6))
 
 
 @query("doc_lengths", "SELECT doc_id, dl FROM dl")
 def _(s):
-    return s.index.lengths()
+    return s.raw.lengths()
 
 
 @query("collection_stats", "SELECT n_docs, round(avgdl, 6) AS avgdl, (SELECT count(*) FROM vocab) AS vocabulary FROM stats")
 def _(s):
-    return s.index.vocabulary().agg(F.count("*").alias("vocabulary")).crossJoin(s.index.statistics()).select("n_docs", F.round("avgdl", 6).alias("avgdl"), "vocabulary")
+    return s.raw.vocabulary().agg(F.count("*").alias("vocabulary")).crossJoin(s.raw.statistics()).select("n_docs", F.round("avgdl", 6).alias("avgdl"), "vocabulary")
 
 
 @query("top_terms", "SELECT word, df FROM vocab ORDER BY df DESC, word LIMIT 12")
@@ -209,19 +243,17 @@ def _(s):
 
 @query("tfidf_matrix", "SELECT doc_id, stem, tf::BIGINT AS tf, df, round(w, 6) AS w FROM sw")
 def _(s):
-    return s.index.stem_matrix().withColumn("w", F.round("w", 6))
+    return s.raw.stem_matrix().withColumn("w", F.round("w", 6))
 
 
 @query("posting_lookup", "SELECT word, doc_id, tf FROM post WHERE stem IN ('thble', 'anea', 'que')")
 def _(s):
-    return s.index.frequencies(s.words("thble", "anea", "que")).select("word", "doc_id", "tf")
+    return s.index.frequencies(["thble", "anea", "que"]).select("word", "doc_id", "tf")
 
 
 @query("stem_positions", "SELECT stem, doc_id, string_agg(pos, ',' ORDER BY pos) AS positions FROM sp WHERE stem IN ('thble', 'anea') GROUP BY ALL")
 def _(s):
-    from tarn.operators.positional import stem_positions
-
-    rows = stem_positions(s.index, s.words("thble", "anea")).groupBy("stem", "doc_id").agg(F.sort_array(F.collect_list("pos")).alias("p"))
+    rows = stem_positions(s.index, ["thble", "anea"]).groupBy("stem", "doc_id").agg(F.sort_array(F.collect_list("pos")).alias("p"))
     return rows.select("stem", "doc_id", F.concat_ws(",", F.col("p").cast("array<string>")).alias("positions"))
 
 
@@ -256,8 +288,13 @@ def _(s):
 
 @query("rrf_hybrid", "SELECT query_id, doc_id, score, rank FROM hy WHERE rank <= 10")
 def _(s):
-    terms = s.terms()
-    return rankers.fuse([rankers.bm25(s.index, terms, 50), rankers.vsm(s.index, terms, 50)], 10)
+    return rankers.fuse([s.best("bm25", 50), s.best("vsm", 50)], 10)
+
+
+@query("hybrid_semantic", """, hx AS (SELECT query_id, doc_id, round(sum(1.0 / (60 + rank)), 6) AS score FROM (SELECT query_id, doc_id, rank FROM bx WHERE rank <= 50 UNION ALL SELECT query_id, doc_id, rank FROM sem WHERE rank <= 50) GROUP BY ALL)
+    SELECT query_id, doc_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id)::INT AS rank FROM hx) WHERE rank <= 10""")
+def _(s):
+    return s.engine.rank(s.terms(), "hybrid", 10)
 
 
 @query("max_norm", "SELECT query_id, doc_id, round(score / max(score) OVER (PARTITION BY query_id), 6) AS score FROM bm WHERE rank <= 50")
@@ -269,8 +306,7 @@ def _(s):
 
 
 def _features(s):
-    terms = s.terms()
-    return rankers.features(rankers.bm25(s.index, terms, 50), rankers.vsm(s.index, terms, 50), rankers.tfidf_cosine(s.index, terms, 50))
+    return rankers.features(s.best("bm25", 50), s.best("vsm", 50), s.best("semantic", 50))
 
 
 @query("ltr_features", "SELECT query_id, doc_id, round(f0, 6) AS f0, round(f1, 6) AS f1, round(f2, 6) AS f2, round(f3, 6) AS f3, round(f4, 6) AS f4 FROM feats")
@@ -295,7 +331,7 @@ def _(s):
 
 @query("ltr_train")
 def _(s):
-    return ltr.train(s.spark, ltr.training_data(_features(s), s.qrels()))
+    return ltr.train(s.spark, keep(s.spark, ltr.training_data(_features(s), s.qrels()), "training"))
 
 
 @query("model_dispatch", "SELECT query_id, doc_id, score, rank FROM vs WHERE rank <= 5")
@@ -371,30 +407,23 @@ def _(s):
 
 
 TYPOS = ["threx", "thblx", "anexx", "zzzz", "th"]
-_OOV = ", typo(stem) AS (VALUES " + ", ".join(f"('{t}')" for t in TYPOS) + """), sug AS (SELECT * FROM (SELECT t.stem, v.stem AS suggestion, levenshtein(t.stem, v.stem)::INT AS distance,
-    row_number() OVER (PARTITION BY t.stem ORDER BY levenshtein(t.stem, v.stem), v.stem)::INT AS place FROM typo t JOIN (SELECT DISTINCT stem FROM vocab WHERE length(stem) >= 3 AND regexp_full_match(stem, '[a-z0-9]+')) v
-    ON left(v.stem, 3) = left(t.stem, 3) AND length(t.stem) >= 3 WHERE levenshtein(t.stem, v.stem) <= 2 AND t.stem NOT IN (SELECT stem FROM vocab)) WHERE place <= 3)
+_OOV = ", typo(stem) AS (VALUES " + ", ".join(f"('{t}')" for t in TYPOS) + """), sug AS (SELECT * FROM (SELECT t.stem, v.stem AS suggestion, levenshtein(t.stem, p)::INT AS distance,
+    row_number() OVER (PARTITION BY t.stem ORDER BY levenshtein(t.stem, p), v.stem)::INT AS place FROM typo t JOIN plain v
+    ON left(v.stem, 3) = left(t.stem, 3) AND length(t.stem) >= 3 AND length(v.stem) >= 3 WHERE levenshtein(t.stem, p) <= 2 AND t.stem NOT IN (SELECT stem FROM known)) WHERE place <= 3)
 """
 
 
-def _ascii_vocabulary(s):
-    return s.index.vocabulary().select("stem").distinct().filter(F.col("stem").rlike("^[a-z0-9]+$"))
-
-
 @query("oov_suggestions", _OOV + "SELECT stem, suggestion, distance, place FROM sug")
 def _(s):
-    known = s.index.vocabulary().select("stem").distinct()
-    return vocabulary.suggestions(s.words(*TYPOS).join(known, "stem", "left_anti"), _ascii_vocabulary(s))
+    known = s.index.stems().select("stem")
+    return vocabulary.suggestions(s.words(*TYPOS).join(known, "stem", "left_anti"), known)
 
 
-@query("oov_bm25", _OOV + """, os AS (SELECT DISTINCT suggestion AS stem FROM sug) SELECT 0 AS query_id, doc_id, score, rank FROM (SELECT *, row_number() OVER (ORDER BY score DESC, doc_id)::INT AS rank FROM (
+@query("oov_bm25", _OOV + """, os AS (SELECT suggestion AS stem FROM sug UNION SELECT stem FROM typo WHERE stem IN (SELECT stem FROM known)) SELECT 0 AS query_id, doc_id, score, rank FROM (SELECT *, row_number() OVER (ORDER BY score DESC, doc_id)::INT AS rank FROM (
     SELECT doc_id, round(sum(w), 6) AS score FROM wbm JOIN os USING (stem) GROUP BY doc_id)) WHERE rank <= 10""")
 def _(s):
     terms = s.words(*TYPOS).select(F.lit(0).alias("query_id"), "stem", F.lit(1).cast("long").alias("qtf"))
-    known = s.index.vocabulary().select("stem").distinct()
-    near_ = vocabulary.suggestions(terms.select("stem").join(known, "stem", "left_anti"), _ascii_vocabulary(s))
-    chosen = terms.join(near_, "stem").select("query_id", F.col("suggestion").alias("stem")).groupBy("query_id", "stem").agg(F.count("*").alias("qtf"))
-    return rankers.bm25(s.index, chosen, 10)
+    return s.engine.rank(terms, "bm25", 10)
 
 
 @query("edit_distance", "SELECT a.n_name AS a, b.n_name AS b, levenshtein(a.n_name, b.n_name)::INT AS distance FROM nation a JOIN nation b ON a.n_nationkey < b.n_nationkey", plain=True)
@@ -424,26 +453,41 @@ def _(s):
     return rankers.bm25(s.index, feedback.expand(s.index, s.terms()), 10)
 
 
-@query("similar_docs", rf""", hraw AS (SELECT doc_id AS query_id, unnest({_words('substring(text, 1, 600)')}) AS word FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1)),
+@query("similar_docs", rf""", hraw AS (SELECT doc_id AS query_id, unnest({_words('substring(text, 1, 600)')}) AS word FROM documents WHERE doc_id % 50 = 0),
     ht AS (SELECT query_id, {_stem('word')} AS stem, count(*) AS qtf FROM hraw WHERE {_INDEXED} GROUP BY ALL),
     hs AS (SELECT query_id, stem FROM ht JOIN sfirst USING (stem) CROSS JOIN stats WHERE df > 1 AND df < n_docs QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY qtf DESC, stem) <= 15),
     hb AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM (SELECT query_id, doc_id, round(sum(w), 6) AS score FROM wbm JOIN hs USING (stem) GROUP BY ALL)),
     hf AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank)::INT AS r FROM hb WHERE rank <= 6 AND doc_id <> query_id)
     SELECT query_id, doc_id, score, r AS rank FROM hf WHERE r <= 5""")
 def _(s):
-    return feedback.similar(s.index, table(s.spark, s.sf_dir, "labels").filter("toxic = 1").select("doc_id"), 5)
+    return feedback.similar(s.index, s.docs.filter("doc_id % 50 = 0").select("doc_id"), 5)
 
 
 @query("doc_tf_cosine", """, v AS (SELECT query_id, doc_id, stem, tf::DOUBLE AS tf FROM bm JOIN smat USING (doc_id) WHERE rank <= 10), nv AS (SELECT query_id, doc_id, sqrt(sum(tf * tf)) AS norm FROM v GROUP BY ALL)
     SELECT query_id, doc_a, doc_b, round(s / (na.norm * nb.norm), 6) AS cosine FROM (SELECT a.query_id, a.doc_id AS doc_a, b.doc_id AS doc_b, sum(a.tf * b.tf) AS s FROM v a JOIN v b ON a.query_id = b.query_id AND a.stem = b.stem AND a.doc_id < b.doc_id GROUP BY ALL) p
     JOIN nv na ON na.query_id = p.query_id AND na.doc_id = doc_a JOIN nv nb ON nb.query_id = p.query_id AND nb.doc_id = doc_b""".replace("SELECT query_id, doc_a, doc_b", "SELECT p.query_id, doc_a, doc_b"))
 def _(s):
-    return feedback.pair_cosines(s.index, rankers.bm25(s.index, s.terms(), 10))
+    return feedback.pair_cosines(s.index, s.best("bm25", 10))
+
 
+def _mmr(weight: float, k: int) -> str:
+    """Greedy choice unrolled: each step takes the best by weighted score less its likeness to what is taken."""
+    out = [f""", pool AS (SELECT query_id, doc_id, score, rank, {weight} * score / max(score) OVER (PARTITION BY query_id) AS value FROM bm WHERE rank <= 30),
+    pv AS (SELECT query_id, doc_id, stem, tf::DOUBLE AS tf FROM pool JOIN smat USING (doc_id)), pn AS (SELECT query_id, doc_id, sqrt(sum(tf * tf)) AS norm FROM pv GROUP BY ALL),
+    pc AS MATERIALIZED (SELECT p.query_id, p.a, p.b, s / (na.norm * nb.norm) AS c FROM (SELECT x.query_id, x.doc_id AS a, y.doc_id AS b, sum(x.tf * y.tf) AS s FROM pv x JOIN pv y ON x.query_id = y.query_id AND x.stem = y.stem AND x.doc_id <> y.doc_id GROUP BY ALL) p
+        JOIN pn na ON na.query_id = p.query_id AND na.doc_id = p.a JOIN pn nb ON nb.query_id = p.query_id AND nb.doc_id = p.b),
+    s1 AS MATERIALIZED (SELECT query_id, doc_id, score, 1 AS rank FROM pool WHERE rank = 1)"""]
+    for step in range(2, k + 1):
+        out.append(f""", s{step} AS MATERIALIZED (SELECT * FROM s{step - 1} UNION ALL SELECT query_id, doc_id, score, {step} FROM (
+        SELECT p.query_id, p.doc_id, p.score, row_number() OVER (PARTITION BY p.query_id ORDER BY round(any_value(p.value) - {round(1 - weight, 9)} * coalesce(max(c), 0), 9) DESC, any_value(p.rank)) AS n
+        FROM pool p JOIN s{step - 1} t ON t.query_id = p.query_id LEFT JOIN pc ON pc.query_id = p.query_id AND pc.a = p.doc_id AND pc.b = t.doc_id
+        WHERE (p.query_id, p.doc_id) NOT IN (SELECT query_id, doc_id FROM s{step - 1}) GROUP BY p.query_id, p.doc_id, p.score) WHERE n = 1)""")
+    return "".join(out) + f" SELECT query_id, doc_id, score, rank::INT AS rank FROM s{k}"
 
-@query("mmr_diversify")
+
+@query("mmr_diversify", _mmr(0.7, 10))
 def _(s):
-    return feedback.diversify(s.index, rankers.bm25(s.index, s.terms(), 30), 0.7, 10)
+    return feedback.diversify(s.index, s.best("bm25", 30), 0.7, 10)
 
 
 # ---- presentation -----------------------------------------------------------------------------------------
@@ -472,7 +516,11 @@ def _(s):
     return s.docs.select("doc_id", highlighted_snippet([F.col("text")], _stems("thble", "anea")).alias("snippet"))
 
 
-@query("highlight_text")
+_HIT = f"({_stem("regexp_replace(lower(x), '[^\\p{L}\\p{Nd}]', '', 'g')")}) IN ('thble', 'anea')"
+
+
+@query("highlight_text", rf"""SELECT doc_id, array_to_string(list_transform(regexp_extract_all(coalesce(text, ''), '\s+|\S+'),
+    lambda x: CASE WHEN {_HIT} THEN '<mark>' || {_ESC.format(x='x')} || '</mark>' ELSE {_ESC.format(x='x')} END), '') AS html FROM documents""", plain=True)
 def _(s):
     return s.docs.select("doc_id", highlight(F.col("text"), _stems("thble", "anea")).alias("html"))
 
@@ -507,7 +555,7 @@ def _(s):
 
 @query("search_page")
 def _(s):
-    return s.engine.search_response('thble anea "erin thon"', model="bm25", k=10)
+    return s.engine.search_response('thble anea "erin thon"', model="bm25", k=10, timed=False)
 
 
 @query("trec_run", "SELECT printf('%s Q0 %s %d %.6f %s', query_id::VARCHAR, doc_id::VARCHAR, rank, score, upper(model)) AS value FROM run")
@@ -528,13 +576,36 @@ def _(s):
     return evaluation.metrics(s.run(), s.qrels())
 
 
+@query("eval_missing", "SELECT * FROM met")
+def _(s):
+    """A run that lacks one judged query altogether."""
+    qrels = keep(s.spark, s.qrels(), "qrels")
+    first = qrels.agg(F.min("query_id").alias("query_id"))
+    return evaluation.metrics(s.run().join(first, "query_id", "left_anti"), qrels)
+
+
+ORACLES["eval_missing"] = ORACLES["eval_missing"].replace("run AS (SELECT * FROM found)", "run AS (SELECT * FROM found WHERE query_id <> (SELECT min(query_id) FROM qrels))")
+
+
+@query("eval_typed_run", """, ask AS (SELECT item_id AS query_id, CASE item_id % 3 WHEN 0 THEN 'en' WHEN 1 THEN 'de' ELSE 'all' END AS asked FROM benchmark),
+    hx AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id)::INT AS rank FROM (
+        SELECT query_id, doc_id, round(sum(1.0 / (60 + rank)), 6) AS score FROM (SELECT query_id, doc_id, rank FROM bx WHERE rank <= 200 UNION ALL SELECT query_id, doc_id, rank FROM sem WHERE rank <= 200) GROUP BY ALL)),
+    every AS (SELECT 'bm25' AS model, * FROM bx UNION ALL SELECT 'vsm', * FROM vx UNION ALL SELECT 'semantic', * FROM sem UNION ALL SELECT 'hybrid', * FROM hx)
+    SELECT model, query_id, doc_id, score, r AS rank FROM (SELECT model, query_id, doc_id, score, row_number() OVER (PARTITION BY model, query_id ORDER BY rank)::INT AS r
+        FROM every JOIN raw USING (doc_id) JOIN ask USING (query_id) WHERE rank <= 200 AND (asked = 'all' OR lower(type) = asked)) WHERE r <= 10""")
+def _(s):
+    """Models asked for 20 times as much as is wanted, then the topic's type, then the cut."""
+    kind = F.when(F.col("query_id") % 3 == 0, "EN").when(F.col("query_id") % 3 == 1, "de").otherwise("all")
+    return s.engine.run(s.queries().withColumn("type", kind), ("bm25", "vsm", "semantic", "hybrid"), 10)
+
+
 @query("eval_means", "SELECT * FROM means")
 def _(s):
     return evaluation.means(evaluation.metrics(s.run(), s.qrels()))
 
 
-_CURVE = """, cv AS (SELECT model, query_id, level, round(max(CASE WHEN hits / num_rel >= level / 10 - 1e-9 THEN hits / rank ELSE 0 END), 6) AS precision
-    FROM jd CROSS JOIN (SELECT unnest(range(11))::INT AS level) WHERE num_rel > 0 GROUP BY ALL)
+_CURVE = """, cv AS (SELECT model, query_id, level, round(max(CASE WHEN hits / base.num_rel >= level / 10 - 1e-9 THEN hits / rank ELSE 0 END), 6) AS precision
+    FROM base CROSS JOIN (SELECT unnest(range(11))::INT AS level) LEFT JOIN jd USING (model, query_id) WHERE base.num_rel > 0 GROUP BY ALL)
 """
 
 
@@ -548,7 +619,11 @@ def _(s):
     return evaluation.mean_curve(s.run(), s.qrels())
 
 
-@query("pr_curve_json")
+_LEVELS = ",".join(str(i / 10) for i in range(11))
+
+
+@query("pr_curve_json", _CURVE + f""", mc AS (SELECT model, level, round(avg(precision), 6) AS precision FROM cv GROUP BY ALL), mj AS (SELECT model, '[' || string_agg(precision::VARCHAR, ',' ORDER BY level) || ']' AS curve FROM mc GROUP BY model)
+    SELECT '{{"recall_levels":[{_LEVELS}],"curves":{{' || string_agg('"' || model || '":' || curve, ',' ORDER BY model) || '}}}}' AS value FROM mj""")
 def _(s):
     return curve_json(s.run(), s.qrels())
 
@@ -588,16 +663,27 @@ def _(s):
     return vectors.map2d(s.vectors().withColumn("v", F.col("v").cast("array<double>")))
 
 
-@query("kmeans_1iter", """, u AS (SELECT doc_id, CASE WHEN n > 0 THEN list_transform(v, lambda x: x::DOUBLE / n) ELSE v::DOUBLE[] END AS v, row_number() OVER (ORDER BY doc_id) - 1 AS place, count(*) OVER () AS total FROM emb),
-    c AS (SELECT (place * 4 / total)::INT AS cluster, v AS c FROM u WHERE place IN (0, total // 4, 2 * total // 4, 3 * total // 4)),
-    sc AS (SELECT doc_id, cluster, round(list_sum(list_transform(list_zip(v, c), lambda x: x[1] * x[2])), 9) AS s FROM u CROSS JOIN c)
-    SELECT doc_id, cluster FROM sc QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY s DESC, cluster) = 1""")
+def _kmeans(clusters: int, rounds: int) -> str:
+    """k-means unrolled: assignment to the highest product, normalised sums, an empty cluster back to its first row."""
+    product = "round(list_sum(list_transform(list_zip(v, c), lambda x: x[1] * x[2])), 9)"
+    starts = ", ".join(f"{c} * total // {clusters}" for c in range(clusters))
+    out = [f""", u AS MATERIALIZED (SELECT doc_id, CASE WHEN n > 0 THEN list_transform(v, lambda x: x::DOUBLE / n) ELSE v::DOUBLE[] END AS v, row_number() OVER (ORDER BY doc_id) - 1 AS place, count(*) OVER () AS total FROM emb),
+    c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY place)::INT - 1 AS cluster, v AS c FROM u WHERE place IN ({starts}))"""]
+    for i in range(rounds + 1):
+        out.append(f""", a{i} AS MATERIALIZED (SELECT doc_id, v, cluster FROM (SELECT doc_id, v, cluster, row_number() OVER (PARTITION BY doc_id ORDER BY {product} DESC, cluster) AS k FROM u CROSS JOIN c{i}) WHERE k = 1)""")
+        if i < rounds:
+            out.append(f""", c{i + 1} AS MATERIALIZED (SELECT cluster, CASE WHEN norm > 1e-9 THEN list_transform(s, lambda x: round(x / norm, 9)) ELSE c END AS c FROM c0 LEFT JOIN (
+                SELECT cluster, s, sqrt(list_sum(list_transform(s, lambda x: x * x))) AS norm FROM (SELECT cluster, list(x ORDER BY i) AS s FROM (
+                SELECT cluster, i, sum(x) AS x FROM (SELECT cluster, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM a{i}) GROUP BY ALL) GROUP BY cluster)) USING (cluster))""")
+    return "".join(out) + f" SELECT doc_id, cluster FROM a{rounds}"
+
+
+@query("kmeans_1iter", _kmeans(4, 1))
 def _(s):
-    v = vectors.unit(s.vectors())
-    return vectors.assign(v, vectors.seeds(s.vectors(), 4)).select("doc_id", "cluster")
+    return vectors.kmeans(s.vectors(), 4, 1)[0].select("doc_id", "cluster")
 
 
-@query("kmeans_assign")
+@query("kmeans_assign", _kmeans(4, 30))
 def _(s):
     return vectors.kmeans(s.vectors(), 4, 30)[0].select("doc_id", "cluster")
 
@@ -605,13 +691,11 @@ def _(s):
 @query("lsa_topk")
 def _(s):
     documents, stems = vectors.lsa(s.spark, s.index)
-    return vectors.cosine_topk(documents, vectors.project(s.terms(), stems, len(stems.first().v)), 10)
+    return vectors.cosine_topk(documents, vectors.project(s.terms(), stems), 10)
 
 
 @query("cluster_keywords")
 def _(s):
     documents, stems = vectors.lsa(s.spark, s.index)
-    from tarn.operators.store import keep
-
     documents = keep(s.spark, documents, "latent")
     return vectors.cluster_keywords(stems, vectors.kmeans(documents, 4, 10)[1], 4)
