@@ -492,12 +492,17 @@ def _(s):
 
 # ---- presentation -----------------------------------------------------------------------------------------
 
-_SNIP = rf""", sn AS (SELECT doc_id, regexp_split_to_array(coalesce(text, ''), '\s+') AS w FROM documents),
-sf AS (SELECT doc_id, w, list_transform(w, lambda x: ({_stem("regexp_replace(lower(x), '[^\\p{L}\\p{Nd}]', '', 'g')")}) IN ('thble', 'anea')) AS f FROM sn),
+def _snip(*stems: str) -> str:
+    asked = ", ".join(f"'{x}'" for x in stems)
+    return rf""", sn AS (SELECT doc_id, regexp_split_to_array(coalesce(text, ''), '\s+') AS w FROM documents),
+sf AS (SELECT doc_id, w, list_transform(w, lambda x: ({_stem("regexp_replace(lower(x), '[^\\p{L}\\p{Nd}]', '', 'g')")}) IN ({asked})) AS f FROM sn),
 sc AS (SELECT doc_id, w, f, list_position(f, true) AS i FROM sf), sb AS (SELECT *, greatest(i - 8, 1) AS a, least(len(w), i + 11) AS b FROM sc)
 """
 
 
+_SNIP = _snip("thble", "anea")
+
+
 def _stems(*values: str):
     return F.array(*[F.lit(v) for v in values])
 
@@ -510,8 +515,11 @@ def _(s):
 _ESC = "replace(replace(replace(replace({x}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;')"
 
 
-@query("highlighted_snippet", _SNIP + f"""SELECT doc_id, CASE WHEN i > 0 THEN CASE WHEN a > 1 THEN '... ' ELSE '' END || array_to_string(list_transform(list_zip(w[a:b], f[a:b]),
-    lambda x: CASE WHEN x[2] THEN '<mark>' || {_ESC.format(x='x[1]')} || '</mark>' ELSE {_ESC.format(x='x[1]')} END), ' ') || CASE WHEN b < len(w) THEN ' ...' ELSE '' END ELSE '(no snippet)' END AS snippet FROM sb""")
+_MARKED = f"""SELECT doc_id, CASE WHEN i > 0 THEN CASE WHEN a > 1 THEN '... ' ELSE '' END || array_to_string(list_transform(list_zip(w[a:b], f[a:b]),
+    lambda x: CASE WHEN x[2] THEN '<mark>' || {_ESC.format(x='x[1]')} || '</mark>' ELSE {_ESC.format(x='x[1]')} END), ' ') || CASE WHEN b < len(w) THEN ' ...' ELSE '' END ELSE '(no snippet)' END AS snippet FROM sb"""
+
+
+@query("highlighted_snippet", _SNIP + _MARKED)
 def _(s):
     return s.docs.select("doc_id", highlighted_snippet([F.col("text")], _stems("thble", "anea")).alias("snippet"))
 
@@ -553,7 +561,14 @@ def _(s):
     return hits.groupBy("query_id").agg(F.to_json(F.array_sort(F.collect_list(F.struct("rank", "doc_id", "type")))).alias("results"))
 
 
-@query("search_page")
+@query("search_page", _snip("thble", "anea", "erin", "thon") + f""", marked AS ({_MARKED}),
+    b1 AS (SELECT *, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM (SELECT doc_id, round(sum(w), 6) AS score FROM wbm WHERE stem IN ('thble', 'anea') GROUP BY doc_id)),
+    side AS (SELECT DISTINCT x.doc_id FROM sp x JOIN sp y ON x.doc_id = y.doc_id AND y.pos = x.pos + 1 WHERE x.stem = 'erin' AND y.stem = 'thon'),
+    fl AS (SELECT *, doc_id IN (SELECT doc_id FROM side) AS hit FROM b1 WHERE rank <= 50), fa AS (SELECT *, bool_or(hit) OVER () AS any_hit FROM fl),
+    top AS (SELECT doc_id, score, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM fa WHERE hit OR NOT any_hit)
+    SELECT '{{"query":"thble anea \\"erin thon\\"","stems":["thble","anea"],"expanded_terms":[],"phrases":[["erin","thon"]],"model":"bm25","type":"all","mode":"phrase","page":1,"oov":{{}},"results":['
+        || string_agg('{{"rank":' || rank || ',"doc_id":' || doc_id || ',"score":' || printf('%.6f', score) || ',"type":' || to_json(coalesce(type, '')) || ',"snippet":' || to_json(snippet) || '}}', ',' ORDER BY rank) || ']}}' AS value
+    FROM top JOIN marked USING (doc_id) JOIN raw USING (doc_id) WHERE rank <= 10""")
 def _(s):
     return s.engine.search_response('thble anea "erin thon"', model="bm25", k=10, timed=False)
 
