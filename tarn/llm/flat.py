@@ -15,8 +15,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 U64 = np.uint64
-#: Bytes of text worked on at a time; a longer text forms a slice of its own.
-SLICE_BYTES = 2 << 20
+#: Bytes of text worked on at a time, and texts at most, for tables of very short ones; a longer text forms a slice of its own.
+SLICE_BYTES, SLICE_ROWS = 2 << 20, 1024
 #: Bytes hashed at a time inside a slice.
 SEGMENT_BYTES = 1 << 19
 
@@ -92,11 +92,11 @@ def buffers(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]
 
 
 def slices(batch: pa.RecordBatch, column: str = "text", limit: int = SLICE_BYTES) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
-    """Runs of rows of about limit bytes of text, each with its bytes and offsets."""
+    """Runs of rows of about limit bytes of text, SLICE_ROWS at most, each with its bytes and offsets."""
     data, at = buffers(batch.column(batch.schema.get_field_index(column)))
     i, n = 0, batch.num_rows
     while i < n:
-        j = max(i + 1, int(np.searchsorted(at, at[i] + limit, "right")) - 1)
+        j = min(i + SLICE_ROWS, max(i + 1, int(np.searchsorted(at, at[i] + limit, "right")) - 1))
         yield batch.slice(i, j - i), data[at[i] : at[j]], at[i : j + 1] - at[i]
         i = j
 
