@@ -31,7 +31,7 @@ from tarn.llm.common import input_bytes, partitions
 
 COORDINATES = 128
 #: Bytes of input that a range of ids stands for, and how many sampled ids it takes to place its start.
-RANGE_BYTES, RANGE_SAMPLE = 32 << 20, 4
+RANGE_BYTES, RANGE_SAMPLE = 64 << 20, 16
 #: Terms sampled at a time: few enough for the cache, and always so many, so that any machine rounds alike.
 _TERMS_AT_ONCE = 128
 _SEEDS = flat.keyed(COORDINATES, 5)
