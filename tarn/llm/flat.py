@@ -7,6 +7,7 @@ bytes: delimiters are ASCII, and no ASCII byte occurs inside a multi-byte UTF-8
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -91,6 +92,18 @@ def buffers(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]
     return raw[at[0] : at[-1]], at - at[0]
 
 
+try:
+    _trim = ctypes.CDLL(None).malloc_trim
+except (AttributeError, OSError, TypeError):  # another C library
+    _trim = None
+
+
+def trim() -> None:
+    """Give memory that numpy has freed back to the system: several workers share a machine, and each lives long."""
+    if _trim is not None:
+        _trim(0)
+
+
 def slices(batch: pa.RecordBatch, column: str = "text", limit: int = SLICE_BYTES) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Runs of rows of about limit bytes of text, SLICE_ROWS at most, each with its bytes and offsets."""
     data, at = buffers(batch.column(batch.schema.get_field_index(column)))
@@ -99,6 +112,8 @@ def slices(batch: pa.RecordBatch, column: str = "text", limit: int = SLICE_BYTES
         j = min(i + SLICE_ROWS, max(i + 1, int(np.searchsorted(at, at[i] + limit, "right")) - 1))
         yield batch.slice(i, j - i), data[at[i] : at[j]], at[i : j + 1] - at[i]
         i = j
+    if len(data) > SLICE_BYTES:
+        trim()
 
 
 def spans(data: np.ndarray, at: np.ndarray, is_word: np.ndarray = NOT_SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -21,7 +21,6 @@ from collections.abc import Iterator
 from fractions import Fraction
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -149,16 +148,16 @@ def mix(spark: SparkSession, docs: DataFrame, weights=WEIGHTS, share=Fraction(3,
     schema = "skey string, source_size long, target double, times long, rest long"
     budgets = spark.createDataFrame(budgets, schema)
 
-    def plan(pdf: pd.DataFrame) -> pd.DataFrame:
-        lengths, counts, rest = pdf["size"].to_numpy(), pdf["n"].to_numpy(), int(pdf["rest"].iloc[0])
-        extra = np.zeros(len(pdf), np.int64)
+    def plan(rows: pa.Table) -> pa.Table:
+        lengths, counts, rest = rows["size"].to_numpy(), rows["n"].to_numpy(), rows["rest"][0].as_py()
+        extra = np.zeros(len(lengths), np.int64)
         if rest:
             full = lengths > 0
             extra[full] = fit(lengths[full], counts[full], rest)
-        return pdf.assign(extra=extra)
+        return rows.append_column("extra", pa.array(extra))
 
     hist = rows.groupBy("skey", "size").agg(F.count("*").alias("n")).join(budgets.hint("merge"), "skey")
-    plans = hist.groupBy("skey").applyInPandas(plan, f"skey string, size long, n long, {schema.partition(', ')[2]}, extra long").drop("rest")
+    plans = hist.groupBy("skey").applyInArrow(plan, f"skey string, size long, n long, {schema.partition(', ')[2]}, extra long").drop("rest")
     plans = scratch.keep(plans, "plans")
     planned = scratch.keep(join_hot(rows, plans, ["skey", "size"], "n", total), "planned")
     split = (F.col("extra") > 0) & (F.col("extra") < F.col("n"))

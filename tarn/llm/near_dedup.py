@@ -31,7 +31,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tarn.llm import flat
@@ -250,11 +250,9 @@ def near_groups(spark: SparkSession, docs: DataFrame, shingle: int = 5, percent:
     slots = classes.select("cls", F.explode("bands").alias("key"))
     shared = scratch.keep(slots.groupBy("key").agg(F.count("*").alias("held")).filter("held > 1"), "shared")
     members = scratch.keep(slots.join(shared, "key"), "members")
-    # a class's bands, 32 at most, in one row, so that the sum over them needs no join
-    held = members.groupBy("cls").agg(F.sum("held").alias("meets"), F.collect_list(F.struct("key", "held")).alias("bands"))
-
-    # pairs: all of a small band, and each class of a large one with its pivot
-    large = held.select("cls", "meets", F.explode(F.filter("bands", lambda x: x["held"] > ALL_PAIRS)).alias("band")).select("band.key", "cls", "meets")
+    # pairs: all of a small band, and each class of a large one with its pivot; a class has 32 bands at most to sum over
+    meets = F.sum("held").over(Window.partitionBy("cls"))
+    large = members.withColumn("meets", meets).filter(f"held > {ALL_PAIRS}").select("key", "cls", "meets")
     large = scratch.keep(large, "large")
     pivots = scratch.keep(large.groupBy("key").agg(F.max(F.struct("meets", "cls"))["cls"].alias("p")), "pivots")
     family = scratch.keep(large.join(pivots, "key").select("p", "cls").distinct(), "family")

@@ -212,9 +212,11 @@ def pack_documents(spark: SparkSession, docs: DataFrame, vocabulary: str = "byte
                     if now is not None and shard[a] != now:
                         yield from finish(now, held)
                         held = []
+                        flat.trim()
                     now = int(shard[a])
                     held.append((ids[a:b], tags[a:b], data[at[a] : at[b]].copy(), at[a : b + 1] - at[a]))
         if held:
             yield from finish(now, held)
+        flat.trim()
 
     return rows.mapInArrow(work, SCHEMA + ", ids array<long>" * ids_out)

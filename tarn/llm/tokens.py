@@ -17,7 +17,7 @@ import os
 import re
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 
 from tarn.llm import flat
 
@@ -160,7 +160,8 @@ class Encoder:
         cut[n] = False
         start = np.flatnonzero(cut)
         end = np.append(start[1:], n)
-        which, every = pd.factorize(flat.hashes(data, start, end))  # by a hash table: no sort of all pieces
+        coded = pa.array(flat.hashes(data, start, end)).dictionary_encode()  # by a hash table: no sort of all pieces
+        which, every = coded.indices.to_numpy(), coded.dictionary.to_numpy()
         place = np.empty(len(every), np.int64)
         place[which[::-1]] = np.arange(len(which) - 1, -1, -1)
         if len(self.names) + len(self.new) + len(every) > REMEMBERED:
