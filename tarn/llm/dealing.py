@@ -165,9 +165,9 @@ def tree(sample: np.ndarray, weight: np.ndarray, regions: int) -> Tree:
     return Tree(np.array(direction) if direction else empty, np.array(cut), np.array(left, np.int64), np.array(right, np.int64), np.array(across), marks)
 
 
-def fit(rows: DataFrame, regions: int, tag: Column) -> tuple[np.ndarray, Tree]:
-    """Directions and tree for rows(doc_id, text, tag); `tag` is a number that differs between rows, its hash samples."""
-    n = max(1, rows.count())
+def fit(rows: DataFrame, regions: int, tag: Column, n: int) -> tuple[np.ndarray, Tree]:
+    """Directions and tree for n rows(doc_id, text, tag); `tag` is a number that differs between rows, its hash samples."""
+    n = max(1, n)
     scratch = Scratch(rows.sparkSession, "dealing")
     pick = F.pmod(F.xxhash64(F.lit("sample"), F.col("k")), F.lit(1 << 40))
 
@@ -226,13 +226,13 @@ class Repeats:
         return ((before > 0) | (count > 1))[inverse], flat.mix64(tags.view(np.uint64) + salt)
 
 
-def deal(rows: DataFrame, shards: int, tag: Column) -> DataFrame:
-    """rows with a column shard, below `shards` or the next multiple of REGIONS above it."""
+def deal(rows: DataFrame, shards: int, tag: Column, n: int | None = None) -> DataFrame:
+    """rows, n of them, with a column shard, below `shards` or the next multiple of REGIONS above it."""
     if shards == 1:
         return rows.withColumn("shard", F.lit(0).cast("long"))
     regions = min(shards, REGIONS)
     parts = -(-shards // regions)
-    basis, splits = fit(rows, regions, tag)
+    basis, splits = fit(rows, regions, tag, rows.count() if n is None else n)
     spark = rows.sparkSession
     shared = spark.sparkContext.broadcast((basis, splits))  # at most REGIONS directions and quantiles
 

@@ -27,14 +27,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarn.llm import flat
-from tarn.llm.common import input_bytes, partitions
+from tarn.llm.common import partitions
 from tarn.llm.dealing import deal
 from tarn.llm.tokens import Encoder
 
 WINDOW = 2048
 CLOSING_ID = 1
-#: Bytes of compressed input a shard stands for.
-SHARD_BYTES = 4 << 20
+#: Bytes of text in a shard, about.
+SHARD_BYTES = 7 << 20
 #: Shards that a task packs one after another, about, where there are more than the session's shuffle partitions ask for.
 SHARDS_PER_TASK = 8
 #: Words that more documents of a shard have than this share of them are kept as rows over all its documents.
@@ -162,12 +162,14 @@ def pack_documents(spark: SparkSession, docs: DataFrame, vocabulary: str = "byte
 
     vocabulary: the path of a tokenizers file, or the name of one of the public tokenizers.
     """
-    shards = max(1, -(-input_bytes(docs) // SHARD_BYTES))
     text = F.col("text").cast("string")
+    # what a worker has to hold follows the texts, not their files, which copies make small; 64 bytes a row stand for the rest
+    about = docs.agg(F.count("*").alias("n"), F.sum(F.coalesce(F.octet_length(text), F.lit(0)) + 64).alias("bytes")).first()
+    shards = max(1, -(-int(about.bytes or 0) // SHARD_BYTES))
     rows = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(text, F.lit("")).alias("text"), F.xxhash64(text).alias("tag")
     )
-    rows = deal(rows, shards, F.xxhash64("doc_id", "tag"))
+    rows = deal(rows, shards, F.xxhash64("doc_id", "tag"), about.n)
     tasks = max(partitions(spark), -(-shards // SHARDS_PER_TASK))
     rows = rows.repartitionById(tasks, F.pmod("shard", F.lit(tasks)).cast("int")).sortWithinPartitions("shard", "doc_id", "tag")
 
