@@ -34,7 +34,7 @@ from tarn.llm.tokens import Encoder
 WINDOW = 2048
 CLOSING_ID = 1
 #: Bytes of text in a shard, about.
-SHARD_BYTES = 7 << 20
+SHARD_BYTES = 5 << 20
 #: Shards that a task packs one after another, about, where there are more than the session's shuffle partitions ask for.
 SHARDS_PER_TASK = 8
 #: Words that more documents of a shard have than this share of them are kept as rows over all its documents.
@@ -204,7 +204,7 @@ def pack_documents(spark: SparkSession, docs: DataFrame, vocabulary: str = "byte
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held = None, []
         for batch in batches:
-            for part, data, at in flat.slices(batch):
+            for part, data, at in flat.slices(batch, limit=flat.SLICE_BYTES // 2):
                 shard = part.column(part.schema.get_field_index("shard")).to_numpy(zero_copy_only=False)
                 edge = [0, *(np.flatnonzero(np.diff(shard)) + 1).tolist(), len(shard)]
                 ids, tags = part.column(0).to_pylist(), part.column(2).to_pylist()
