@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 #: A key with more than 1 / HOT_SHARE of all rows is hot; so there are fewer than HOT_SHARE of them.
 HOT_SHARE = 1000
+#: Partitions that go to one file where rows are small.
+FILES_SHARE = 8
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -79,8 +81,11 @@ class Scratch:
         except Exception:  # noqa: BLE001  the session may be gone
             pass
 
-    def keep(self, df: DataFrame, name: str) -> DataFrame:
+    def keep(self, df: DataFrame, name: str, few: bool = False) -> DataFrame:
+        """Write a table and read it back; few: rows are small, so that a task writes what FILES_SHARE of them would."""
         at = f"{self.path}/{name}"
+        if few:
+            df = df.coalesce(max(8, partitions(self.spark) // FILES_SHARE))
         df.write.mode("overwrite").option("compression", "zstd").parquet(at)
         return self.spark.read.schema(df.schema).parquet(at)
 

@@ -91,19 +91,19 @@ def exact_report(spark: SparkSession, docs: DataFrame, index: DigestIndex | None
         middle = (rows.approxQuantile("doc_id", [0.5], 0.1) or [0.0])[0]
         late = F.coalesce(F.col("doc_id") > int(middle), F.lit(False))
         # written, so that a join finds one row per digest and no optimiser joins before it aggregates
-        groups = scratch.keep(_groups(rows.withColumn("late", late), "late"), "groups")
+        groups = scratch.keep(_groups(rows.withColumn("late", late), "late"), "groups", few=True)
         own.append(groups.filter("late"), "late")
         own.append(groups.filter("not late"), "early")
         sizes = groups.groupBy("digest").agg(F.sum("group_size").alias("group_size"))
-        resolved = scratch.keep(sizes.join(own.read().select("digest", "keep_id").hint("merge"), "digest").withColumn("known", F.lit(False)), "resolved")
+        resolved = scratch.keep(sizes.join(own.read().select("digest", "keep_id").hint("merge"), "digest").withColumn("known", F.lit(False)), "resolved", few=True)
         own.drop()
         scratch.drop("index", "groups")
     else:
         batch = batch or f"{about[0]}:{about[1]}"
-        groups = scratch.keep(_groups(rows), "groups")
+        groups = scratch.keep(_groups(rows), "groups", few=True)
         index.append(groups, batch)
         entries = index.read().withColumn("known", F.col("batch") != batch).drop("batch")
-        resolved = scratch.keep(groups.drop("keep_id").join(entries.hint("merge"), "digest"), "resolved")
+        resolved = scratch.keep(groups.drop("keep_id").join(entries.hint("merge"), "digest"), "resolved", few=True)
         scratch.drop("groups")
     return join_hot(rows, resolved, ["digest"], "group_size", about[0]).select(
         "doc_id",
@@ -118,7 +118,7 @@ def deduplicate(spark: SparkSession, docs: DataFrame, index: DigestIndex | None
     """The documents that stay, with all their columns."""
     scratch = Scratch(spark, "exact-kept")
     of, own, times, mine, other = unused(docs, "of", "own", "times", "mine", "other")
-    kept = scratch.keep(exact_report(spark, docs, index, batch).filter("kept").select("doc_id", "text_sha256"), "kept")
+    kept = scratch.keep(exact_report(spark, docs, index, batch).filter("kept").select("doc_id", "text_sha256"), "kept", few=True)
     stay = kept.groupBy(F.col("doc_id").alias(of), F.unhex("text_sha256").alias(own)).agg(F.count("*").alias(times))
     digest = F.unhex(F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")), 256))
     tagged = docs.withColumns({mine: digest, other: F.col("doc_id").cast("long")})

@@ -158,8 +158,8 @@ def mix(spark: SparkSession, docs: DataFrame, weights=WEIGHTS, share=Fraction(3,
 
     hist = rows.groupBy("skey", "size").agg(F.count("*").alias("n")).join(budgets.hint("merge"), "skey")
     plans = hist.groupBy("skey").applyInArrow(plan, f"skey string, size long, n long, {schema.partition(', ')[2]}, extra long").drop("rest")
-    plans = scratch.keep(plans, "plans")
-    planned = scratch.keep(join_hot(rows, plans, ["skey", "size"], "n", total), "planned")
+    plans = scratch.keep(plans, "plans", few=True)
+    planned = scratch.keep(join_hot(rows, plans, ["skey", "size"], "n", total), "planned", few=True)
     split = (F.col("extra") > 0) & (F.col("extra") < F.col("n"))
     cut = planned.filter(split).withColumn(
         "bucket", F.pmod(F.shiftrightunsigned("h", 20), F.ceil(F.col("n") / F.lit(BUCKET_ROWS)))
@@ -189,7 +189,7 @@ def apply_mix(spark: SparkSession, docs: DataFrame, **how) -> DataFrame:
     of, own, times, every, mine, other, place, copy = unused(docs, "of", "own", "times", "every", "mine", "other", "place", "copy")
     copies = F.sum(F.when(F.col("size") > 0, F.col("copies")).otherwise(0))
     decided = mix(spark, docs, **how).groupBy(F.col("doc_id").alias(of), F.col("crc").alias(own)).agg(copies.alias(every), F.count("*").alias(times))
-    decided = scratch.keep(decided, "decided")
+    decided = scratch.keep(decided, "decided", few=True)
     tagged = docs.withColumns({mine: F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))), other: F.col("doc_id").cast("long")})
     joined = tagged.join(decided, F.col(other).eqNullSafe(F.col(of)) & (F.col(mine) == F.col(own))).filter(F.col(every) > 0)
     if not decided.filter(F.col(times) > 1).isEmpty():

@@ -248,17 +248,17 @@ def near_groups(spark: SparkSession, docs: DataFrame, shingle: int = 5, percent:
     )
     classes = scratch.keep(classes, "classes")
     slots = classes.select("cls", F.explode("bands").alias("key"))
-    shared = scratch.keep(slots.groupBy("key").agg(F.count("*").alias("held")).filter("held > 1"), "shared")
+    shared = scratch.keep(slots.groupBy("key").agg(F.count("*").alias("held")).filter("held > 1"), "shared", few=True)
     members = scratch.keep(slots.join(shared, "key"), "members")
     # pairs: all of a small band, and each class of a large one with its pivot; a class has 32 bands at most to sum over
     meets = F.sum("held").over(Window.partitionBy("cls"))
     large = members.withColumn("meets", meets).filter(f"held > {ALL_PAIRS}").select("key", "cls", "meets")
-    large = scratch.keep(large, "large")
-    pivots = scratch.keep(large.groupBy("key").agg(F.max(F.struct("meets", "cls"))["cls"].alias("p")), "pivots")
-    family = scratch.keep(large.join(pivots, "key").select("p", "cls").distinct(), "family")
+    large = scratch.keep(large, "large", few=True)
+    pivots = scratch.keep(large.groupBy("key").agg(F.max(F.struct("meets", "cls"))["cls"].alias("p")), "pivots", few=True)
+    family = scratch.keep(large.join(pivots, "key").select("p", "cls").distinct(), "family", few=True)
     small = members.filter(f"held <= {ALL_PAIRS}").select("key", "cls")
     pairs = small.alias("x").join(small.alias("y"), "key").filter("x.cls < y.cls").select(F.col("x.cls").alias("p"), F.col("y.cls").alias("m"))
-    pairs = scratch.keep(pairs.union(family.filter("p != cls").select("p", F.col("cls").alias("m"))).distinct(), "pairs")
+    pairs = scratch.keep(pairs.union(family.filter("p != cls").select("p", F.col("cls").alias("m"))).distinct(), "pairs", few=True)
     scratch.drop("members", "large", "pivots")
     least = least_agreeing(percent)
 
@@ -280,7 +280,7 @@ def near_groups(spark: SparkSession, docs: DataFrame, shingle: int = 5, percent:
 
     def measured(pairs: DataFrame, name: str) -> DataFrame:
         """(a, b, both, union) of pairs(p, m), from full sets: a pivot's text goes to one group per BLOCK partners, a partner's once."""
-        uses = scratch.keep(pairs.groupBy("p").agg(F.count("*").alias("uses")), f"{name}-uses")
+        uses = scratch.keep(pairs.groupBy("p").agg(F.count("*").alias("uses")), f"{name}-uses", few=True)
         dealt = pairs.join(uses, "p").withColumn("part", F.pmod(F.xxhash64("m"), F.ceil(F.col("uses") / BLOCK)))
         wanted = dealt.select("p", "part", F.lit(0).alias("role"), F.col("p").alias("cls")).distinct().union(dealt.select("p", "part", F.lit(1), F.col("m")))
         rows = wanted.join(texts, "cls").select("role", "cls", "text", "p", "part").repartition(parts, "p", "part").sortWithinPartitions("p", "part", "role")
@@ -300,23 +300,23 @@ def near_groups(spark: SparkSession, docs: DataFrame, shingle: int = 5, percent:
         family.join(distances(compared), ["p", "cls"], "left").withColumn("d", F.when(F.col("p") == F.col("cls"), 0.0).otherwise(F.col("d")))
         .join(roots.select(F.col("node").alias("cls"), "root"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     )
-    state = scratch.keep(state, "state")
-    base = scratch.keep(state.filter("p = cls").select("p", F.col("root").alias("base")), "base")
-    away = scratch.keep(state.join(base, "p").filter("root != base").select("p", "cls", "d"), "away")
+    state = scratch.keep(state, "state", few=True)
+    base = scratch.keep(state.filter("p = cls").select("p", F.col("root").alias("base")), "base", few=True)
+    away = scratch.keep(state.join(base, "p").filter("root != base").select("p", "cls", "d"), "away", few=True)
     unknown = away.filter("d is null").select("p", F.col("cls").alias("m"))
     if not unknown.isEmpty():
         away = away.filter("d is not null").unionByName(distances(measured(unknown, "compared-open")))
     nearest = away.groupBy("p").agg(F.min("d").alias("nearest"), F.count("*").alias("open"))
-    nearest = scratch.keep(nearest.join(base, "p"), "nearest")
+    nearest = scratch.keep(nearest.join(base, "p"), "nearest", few=True)
     if not nearest.isEmpty():
         left = state.join(nearest, "p").withColumn("side", (F.col("root") == F.col("base")).cast("int")).filter(
             (F.col("p") != F.col("cls")) & ((F.col("side") == 0) | (F.coalesce("d", F.lit(1.0)) >= F.col("nearest") - far - 1e-9))
         )
-        left = scratch.keep(left.select("p", "cls", "root", "open", "side"), "open")
+        left = scratch.keep(left.select("p", "cls", "root", "open", "side"), "open", few=True)
         left = left.join(sketches, "cls")
         mine = F.when(F.col("side") == 0, F.col("n"))
         many = left.groupBy("p").agg(F.count("*").alias("every"), F.sum("n").alias("shingles"), F.sum(mine).alias("open_shingles"))
-        left = left.join(scratch.keep(many, "many"), "p")
+        left = left.join(scratch.keep(many, "many", few=True), "p")
         own, all_ = (F.ceil(F.greatest(F.col(k) / OPEN_BLOCK, F.col(m) / OPEN_SHINGLES)).cast("int") for k, m in (("open", "open_shingles"), ("every", "shingles")))
         i, j = F.pmod(F.xxhash64("cls"), own).cast("int"), F.pmod(F.xxhash64("cls"), all_).cast("int")
         columns = ["cls", "root", "sk", "n"]
@@ -336,11 +336,11 @@ def near_groups(spark: SparkSession, docs: DataFrame, shingle: int = 5, percent:
             merged = merged.select(F.col("node").alias("root"), F.col("root").alias("top"))
             known = roots.join(merged, "root", "left").select("node", F.coalesce("top", "root").alias("root"))
             alone = merged.join(roots.select(F.col("node").alias("root")), "root", "left_anti").select(F.col("root").alias("node"), F.col("top").alias("root"))
-            roots = scratch.keep(known.union(alone), "roots")
+            roots = scratch.keep(known.union(alone), "roots", few=True)
     final = classes.select("cls", "least_id").join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
-    final = scratch.keep(final, "final")
-    least = scratch.keep(final.groupBy("root").agg(F.min("least_id").alias("component_id")), "least")
-    resolved = scratch.keep(final.join(least, "root").select("cls", "component_id"), "resolved")
+    final = scratch.keep(final, "final", few=True)
+    least = scratch.keep(final.groupBy("root").agg(F.min("least_id").alias("component_id")), "least", few=True)
+    resolved = scratch.keep(final.join(least, "root").select("cls", "component_id"), "resolved", few=True)
     out = sig.filter("cls is not null").select("doc_id", "tag", "n", "cls").join(resolved, "cls").select("doc_id", "tag", "n", "cls", "component_id")
     none = sig.filter("cls is null").select("doc_id", "tag", "n", "cls", F.col("doc_id").alias("component_id"))
     return out.unionByName(none).select(
@@ -353,7 +353,7 @@ def one_per_group(spark: SparkSession, docs: DataFrame, shingle: int = 5, percen
     scratch = Scratch(spark, "near-kept")
     of, own, times, mine, other = unused(docs, "of", "own", "times", "mine", "other")
     kept = near_groups(spark, docs, shingle, percent).filter("kept").groupBy(F.col("doc_id").alias(of), F.col("tag").alias(own)).agg(F.count("*").alias(times))
-    kept = scratch.keep(kept, "kept")
+    kept = scratch.keep(kept, "kept", few=True)
     tagged = docs.withColumns({mine: F.xxhash64(F.col("text").cast("string")), other: F.col("doc_id").cast("long")})
     out = tagged.join(kept, F.col(other).eqNullSafe(F.col(of)) & (F.col(mine) == F.col(own)), "left_semi")
     if not kept.filter(F.col(times) > 1).isEmpty():
