@@ -87,11 +87,11 @@ class Encoder:
         self.new: dict[int, int] = {}
         self.pool, self.used = np.zeros(1 << 20, np.int32), 0
 
-    def _ids(self, pieces: list[str]) -> list[list[int]]:
+    def _ids(self, pieces: list[str], special: list[str]) -> list[list[int]]:
         out: list = [None] * len(pieces)
         slow = []
         for k, piece in enumerate(pieces):
-            if _PRINTABLE.fullmatch(piece) and not any(t in piece for t in self.special):
+            if _PRINTABLE.fullmatch(piece) and not (special and any(t in piece for t in special)):
                 out[k] = self.fast(piece)
             else:
                 slow.append(k)
@@ -99,8 +99,8 @@ class Encoder:
             out[k] = got.ids
         return out
 
-    def _learn(self, names: list[int], pieces: list[str]) -> None:
-        ids = self._ids(pieces)
+    def _learn(self, names: list[int], pieces: list[str], special: list[str]) -> None:
+        ids = self._ids(pieces, special)
         sizes = np.fromiter(map(len, ids), np.int64, len(ids))
         total = int(sizes.sum())
         if self.used + total > len(self.pool):
@@ -115,20 +115,25 @@ class Encoder:
             order = np.argsort(names_)
             self.names, self.where, self.new = names_[order], where[order], {}
 
-    def _find(self, every: np.ndarray, piece) -> np.ndarray:
-        """Where the ids of each distinct piece lie, learning what is not known; piece(k) is the k-th one's text."""
+    def _find(self, every: np.ndarray, piece, special: list[str]) -> np.ndarray:
+        """Where the ids of each distinct piece lie, learning what is not known; piece(k) is the k-th one's text.
+
+        special: the special tokens that occur in any of them.
+        """
         held = np.full(len(every), -1, np.int64)
         if len(self.names):
-            at = np.minimum(np.searchsorted(self.names, every), len(self.names) - 1)
-            known = self.names[at] == every
-            held[known] = self.where[at[known]]
+            order = np.argsort(every)  # so that the search goes through the names from front to back
+            line = every[order]
+            at = np.minimum(np.searchsorted(self.names, line), len(self.names) - 1)
+            known = self.names[at] == line
+            held[order[known]] = self.where[at[known]]
         open_ = np.flatnonzero(held < 0)
         names = every[open_].tolist()
         held[open_] = [self.new.get(h, -1) for h in names]
         open_ = np.flatnonzero(held < 0)
         if len(open_):
             names = every[open_].tolist()
-            self._learn(names, [piece(k) for k in open_.tolist()])
+            self._learn(names, [piece(k) for k in open_.tolist()], special)
             if self.new:
                 held[open_] = [self.new[h] for h in names]
             else:
@@ -166,7 +171,9 @@ class Encoder:
         place[which[::-1]] = np.arange(len(which) - 1, -1, -1)
         if len(self.names) + len(self.new) + len(every) > REMEMBERED:
             self.forget()
-        held = self._find(every, lambda k: raw[start[place[k]] : end[place[k]]].decode())
+        special = [t for t in self.special if t.encode() in raw]
+        begin, stop = start[place].tolist(), end[place].tolist()
+        held = self._find(every, lambda k: raw[begin[k] : stop[k]].decode(), special)
         first, size = (held >> 28)[which], (held & ((1 << 28) - 1))[which]
         edge = np.concatenate([[0], np.cumsum(size)])
         out = self.pool[np.repeat(first - edge[:-1], size) + np.arange(edge[-1])]
