@@ -90,3 +90,15 @@ def test_no_query_saves_an_index_first(spark, name, monkeypatch):
     monkeypatch.setattr(Index, "stem_matrix", save)
     assert __spark_entry__.queries()[name](spark, "/root/testdata/sf0.001").agg(F.count("*")).first()[0] >= 0
     assert queries.Setting(spark, "/root/testdata/sf0.001").index._saved == {}
+
+
+@pytest.mark.parametrize("name", ["wildcard_docs", "proximity_spans", "phrase_count"])
+def test_tokens_are_not_shuffled_for_a_few_stems(spark, name):
+    """The stems' size is known, so they are broadcast even where the documents are far too large for it."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "16k")
+    try:
+        plan = __spark_entry__.queries()[name](spark, "/root/testdata/sf0.01")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    semi = [line for line in plan.splitlines() if "LeftSemi" in line]
+    assert semi and all("BroadcastHashJoin" in line for line in semi)
