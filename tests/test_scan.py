@@ -102,3 +102,31 @@ def test_tokens_are_not_shuffled_for_a_few_stems(spark, name):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     semi = [line for line in plan.splitlines() if "LeftSemi" in line]
     assert semi and all("BroadcastHashJoin" in line for line in semi)
+
+
+def test_one_row_group_is_dealt_to_all_tasks(spark, tmp_path):
+    """A file of one row group is read by one task; its texts go on to all, and even files stay as they lie."""
+    path = str(tmp_path / "docs")
+    spark.range(0, 4000, 1, 1).selectExpr("id AS doc_id", "concat('alpha rare', id) AS text").write.parquet(path)
+    index = Index(spark.read.parquet(path))
+    many = [len(rows) for rows in index.texts().rdd.glom().collect()]
+    assert sum(many) == 4000 and max(many) * spark.sparkContext.defaultParallelism <= 2 * 4000
+    even = spark.range(0, 4000, 1, 8).selectExpr("id AS doc_id", "'alpha' AS text")
+    assert Index(even).texts().rdd.getNumPartitions() == 8
+
+
+def test_words_that_cannot_have_a_stem_are_not_stemmed(spark, both):
+    """Texts and words are sorted out by the stem they have to begin with, with the same tokens."""
+    index = Index(both[0].docs)
+    for stems in (["walk"], ["alpha", "gamma", "straße"], ["unheard"]):
+        expected = index.tokens().filter(F.col("stem").isin(stems))
+        assert sorted(map(tuple, index.tokens(stems).collect())) == sorted(map(tuple, expected.collect()))
+    plan = index.tokens(["walk"])._jdf.queryExecution().optimizedPlan().toString()
+    assert "Contains(" in plan and "StartsWith(" in plan
+
+
+def test_documents_without_a_hit_are_joined_only_where_they_count():
+    from tarn.plans.boolean import Parser, without
+
+    for query, expected in (("a1x", False), ("a1x AND b1x", False), ("NOT a1x", True), ("a1x OR NOT b1x", True), ("a1x AND NOT b1x", False), ("NOT (NOT a1x)", False), ("NOT the", True)):
+        assert without(Parser(query).parse()) is expected
