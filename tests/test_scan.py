@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 import __spark_entry__
 from tarn import queries
+from tarn.functions.stemming import identity_stem, light_stem
+from tarn.functions.text import STOPWORDS
 from tarn.operators import feedback, rankers, scan
 from tarn.operators.index import Index
 
@@ -130,3 +132,31 @@ def test_documents_without_a_hit_are_joined_only_where_they_count():
 
     for query, expected in (("a1x", False), ("a1x AND b1x", False), ("NOT a1x", True), ("a1x OR NOT b1x", True), ("a1x AND NOT b1x", False), ("NOT (NOT a1x)", False), ("NOT the", True)):
         assert without(Parser(query).parse()) is expected
+
+
+def test_passes_share_kept_texts(both):
+    """Texts are cleaned once, and a pass over them runs no regular expression."""
+    passes = Index(both[0].docs).scan()
+    passes.counts(), passes.norms()
+    plan = passes._texts()._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp" not in plan and passes._texts() is passes._texts()
+
+
+def test_words_are_stemmed_as_arrow_arrays():
+    import pyarrow as pa
+
+    words = pa.array("the walking walks 42 42nd ings sings lists agedly über straßes é ssings gas".split())
+    for stemmer in (light_stem, identity_stem):
+        of, stems = scan._coded(words, frozenset(STOPWORDS), stemmer, {})
+        codes, known = scan.stems_of(words.to_pylist(), frozenset(STOPWORDS), stemmer.word, {})
+        name = list(known)
+        assert [stems[int(i)].as_py() if i >= 0 else None for i in of] == [name[i] if i >= 0 else None for i in codes]
+
+
+def test_texts_are_split_in_slices_of_bounded_bytes(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(scan, "SLICE_BYTES", 10)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(6)), pa.array(["abcd", None, "abcdef", "a" * 30, "", "b"])], names=["doc_id", "text"])
+    parts = list(scan.sliced(iter([batch]), 1))
+    assert [p.num_rows for p in parts] == [3, 1, 2] and pa.Table.from_batches(parts).combine_chunks().to_batches()[0].equals(batch)
