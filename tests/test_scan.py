@@ -134,6 +134,21 @@ def test_documents_without_a_hit_are_joined_only_where_they_count():
         assert without(Parser(query).parse()) is expected
 
 
+def test_several_models_are_scored_in_one_pass(spark, both, monkeypatch):
+    passes = []
+    scored = scan.Scan._scored
+    monkeypatch.setattr(scan.Scan, "_scored", lambda self, models, *rest: passes.append(tuple(models)) or scored(self, models, *rest))
+    index = Index(both[0].docs)
+    found = rankers.rank_each(["bm25", "vsm", "semantic"], index, _terms(spark, index), 7)
+    assert passes == [("bm25", "vsm", "semantic")]
+    for model, rows in found.items():
+        assert _rows(rows) == _rows(rankers.RANKERS[model](both[1], _terms(spark, both[1]), 7))
+    passes.clear()
+    setting = queries.Setting(spark, "/root/testdata/sf0.001")
+    setting.run(), setting.qrels()
+    assert passes == [("bm25", "vsm")]
+
+
 def test_passes_share_kept_texts(both):
     """Texts are cleaned once, and a pass over them runs no regular expression."""
     passes = Index(both[0].docs).scan()
